@@ -85,33 +85,33 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+# Classes of the `regex` syntax and what the standard library calls them.
+_PLAIN_CLASSES = ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"))
+
+
 @functools.cache
-def _members(kind: str) -> str:
-    """The inside of a character class: every code point that ``kind`` matches, as ranges."""
+def _odd_points() -> frozenset[str]:
+    """Code points that the two columns of ``_PLAIN_CLASSES``, or the two meanings of white space, tell apart."""
     points = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    runs = ((m[0][0], m[0][-1]) for m in regex.finditer(f"(?:{kind})+", points, regex.DOTALL))
-    return "".join(rf"\U{ord(a):08x}-\U{ord(b):08x}" for a, b in runs)
-
-
-def compiled(pattern: str):
-    """``pattern`` for the standard library's matcher, which is faster: its Unicode classes are
-    spelled out. Patterns with other constructs are left to the ``regex`` package."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        kind = next((k for k in (r"\p{L}", r"\p{N}", r"\s", r"\S") if pattern.startswith(k, i)), None)
-        if kind is None and pattern[i] == "\\":
-            return regex.compile(pattern)
-        if kind == r"\S" and inside:
-            return regex.compile(pattern)
-        if kind:
-            own = _members(r"\p{White_Space}" if kind in (r"\s", r"\S") else kind)
-            out.append(own if inside else f"[{'^' * (kind == chr(92) + 'S')}{own}]")
-            i += len(kind)
-            continue
-        inside = pattern[i] == "[" or inside and pattern[i] != "]"
-        out.append(pattern[i])
-        i += 1
-    return re.compile("".join(out))
+    pairs = [(regex.compile(a), re.compile(b)) for a, b in (*_PLAIN_CLASSES, (r"\p{White_Space}", r"\s"))]
+    return frozenset().union(*(set(a.findall(points)) ^ set(b.findall(points)) for a, b in pairs))
+
+
+class Splitter:
+    """All matches of a pattern with Unicode classes, by the standard library's faster matcher where
+    the text holds no code point on which the two differ, else by the ``regex`` package."""
+
+    def __init__(self, pattern: str):
+        self.exact = regex.compile(pattern)
+        for theirs, ours in _PLAIN_CLASSES:
+            pattern = pattern.replace(theirs, ours)
+        self.fast = None if r"\p" in pattern else re.compile(pattern)
+        self.odd = _odd_points()
+
+    def __call__(self, text: str) -> list[str]:
+        if self.fast and self.odd.isdisjoint(set(text)):
+            return self.fast.findall(text)
+        return self.exact.findall(text)
 
 
 class _Known(dict):
@@ -135,14 +135,14 @@ class Codec:
     """Encodes and decodes whole texts; remembers the tokens of short pieces, in bounded number."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, compiled(pattern)
+        self.ranks, self.split = ranks, Splitter(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
         self.spelled = {str(i): t for t, i in ranks.items()}
         self.known = _Known(lambda piece: ",".join(map(str, merge(piece.encode(), ranks))))
 
     def encode_joined(self, text: str) -> str:
         """The ids of ``text`` in decimal, joined by commas."""
-        return ",".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        return ",".join(map(self.known.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         joined = self.encode_joined(text)

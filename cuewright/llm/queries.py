@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, mixing, quality, secrets, simhash
+from cuewright.llm import bpe, mixing, quality, secrets, simhash, suffixes
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -34,6 +34,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
+        "op8_suffixes": op8_suffixes,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
