@@ -89,11 +89,12 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     )
     close = F.expr(f"bit_count(u ^ v) <= {MAX_BITS}")
     two = shared.where("n = 2").select("u", "v").where(close)
-    few = _variants(fps).join(shared.where(f"n > 2 and n <= {dense}").select("k"), "k")
+    # Both joins deal the variants out by k once more, whatever the size of the other side, and share that exchange.
+    few = _variants(fps).join(shared.where(f"n > 2 and n <= {dense}").select("k").hint("merge"), "k")
     some = (
         few.select("k", F.col("fp").alias("u")).join(few.select("k", F.col("fp").alias("v")), "k").where("u < v").select("u", "v").where(close)
     )
-    many = _variants(fps).join(shared.where(f"n > {dense}").select("k"), "k").select("fp").distinct()
+    many = _variants(fps).join(shared.where(f"n > {dense}").select("k").hint("merge"), "k").select("fp").distinct()
     around = many.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("b")).select(
         F.expr("if(b < 0, fp, fp ^ shiftleft(1L, b))").alias("p"), "fp"
     )
