@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, mixing, quality, secrets, simhash, suffixes
+from cuewright.llm import bpe, mixing, quality, secrets, simhash, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -21,6 +21,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
     return bpe.digest(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -44,6 +48,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_syncmers": op1_syncmers,
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
