@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, mixing, quality, secrets, simhash, suffixes, syncmers
+from cuewright.llm import bpe, html_text, mixing, quality, secrets, simhash, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -25,6 +25,10 @@ def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(spark, public_tokenizers.path(RANKS))
     return bpe.digest(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -49,6 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_syncmers": op1_syncmers,
+        "op2_html": op2_html,
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
