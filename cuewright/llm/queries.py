@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, html_text, mixing, quality, secrets, simhash, suffixes, syncmers
+from cuewright.llm import bpe, html_text, mixing, quality, secrets, sharding, simhash, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -46,6 +46,10 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
         "op8_suffixes": op8_suffixes,
+        "op9_sharding": op9_sharding,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
