@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, html_text, mixing, quality, secrets, sharding, simhash, suffixes, syncmers
+from cuewright.llm import bpe, html_text, licenses, mixing, quality, secrets, sharding, simhash, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -38,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
+        "op6_licenses": op6_licenses,
         "op7_mixing": op7_mixing,
         "op8_suffixes": op8_suffixes,
         "op9_sharding": op9_sharding,

@@ -54,18 +54,24 @@ def simhash(text: bytes | None, width: int = WIDTH) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
+def _keys(id_col: str, text_col: str) -> list:
+    """Two hashes that tell rows apart by id and text; repeated rows share them."""
+    return [F.xxhash64(id_col, text_col).alias("ka"), F.hash(text_col, id_col).alias("kb")]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, fp long)`` for every row, repeated rows and null ids included."""
+    """``(id_col, ka, kb, fp long)`` for every row, repeated rows and null ids included; ka and kb
+    are hashes of id and text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            found = [simhash(t) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], names=["id", "ka", "kb", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    slim = docs.select(F.col(id_col).alias("id"), *_keys(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
+    return slim.mapInArrow(run, f"id {kind}, ka long, kb int, fp long").withColumnRenamed("id", id_col)
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -103,6 +109,14 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     return two.unionAll(some).unionAll(hubs).distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, dense: int) -> tuple[DataFrame, DataFrame]:
+    """``fingerprints`` of the rows, and for each fingerprint its component: ``(fp, root)``."""
+    each = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = written(each.select("fp").distinct(), "distinct")
+    roots = components(links(fps, dense))
+    return each, fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -111,12 +125,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Rows with a null id are returned with their component's id and never name one; a
     component of such rows only has a null id. Repeated rows stay. Other columns are not read.
     """
-    each = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = written(each.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct")
-    roots = components(links(fps.select("fp"), dense))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    each, rooted = _grouped(docs, id_col, text_col, dense)
+    first = each.groupBy("fp").agg(F.min(id_col).alias("first_id")).join(rooted, "fp")
+    named = first.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return each.join(by_fp, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = DENSE) -> DataFrame:
+    """``docs`` with one row of each component, the one of the smallest id, all columns as they are.
+
+    Null ids come after all others; of rows with one id the smallest hash of id and text stays, and of
+    repeated rows one. Null texts count as empty in comparing and stay null.
+    """
+    each, rooted = _grouped(docs, id_col, text_col, dense)
+    place = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), "ka", "kb")
+    first = each.groupBy("fp").agg(F.min(place).alias("p")).join(rooted, "fp")
+    kept = first.groupBy("root").agg(F.min("p").alias("p")).select(F.col("p.ka").alias("__cw_ka"), F.col("p.kb").alias("__cw_kb"))
+    ka, kb = _keys(id_col, text_col)
+    keyed = docs.withColumns({"__cw_ka": ka, "__cw_kb": kb})
+    found = keyed.join(kept.hint("merge"), ["__cw_ka", "__cw_kb"], "left_semi")
+    return found.dropDuplicates(["__cw_ka", "__cw_kb"]).select(*docs.columns)
