@@ -1,0 +1,36 @@
+"""The text functions on plain Python strings, for folds that cannot be expressed over columns."""
+
+from __future__ import annotations
+
+import re
+
+from cuewright.functions.text import FILLERS
+
+_PUNCT = re.compile(
+    "[\\t-\\r \\x85\\xa0\\u1680!-/:-@\\[-`{-~\\u2000-\\u206f\\u3000-\\u303f\\uff00-\\uff0f\\uff1a-\\uff20\\uff3b-\\uff40\\uff5b-\\uff65\\ufe30-\\ufe4f\\xb7]"
+)
+_ECHO = re.compile(r"(.)\1{2,}|(..)\2{2,}|(.{3,128}?)\3+", re.DOTALL)
+
+
+def strip_punct(text: str) -> str:
+    return _PUNCT.sub("", text)
+
+
+def collapse_repeats(text: str) -> str:
+    return _ECHO.sub(lambda m: (m[1] or "") * 2 + (m[2] or "") * 2 + (m[3] or ""), text)
+
+
+def is_pure_filler(stripped: str) -> bool:
+    return bool(stripped) and set(stripped) <= set(FILLERS)
+
+
+def cue_verdict(text: str, last_kept: str | None) -> str:
+    own = strip_punct(text)
+    if not own:
+        return "empty"
+    if last_kept is None:
+        return "keep"
+    base = strip_punct(collapse_repeats(last_kept))
+    if own == base:
+        return "duplicate"
+    return "filler_repeat" if is_pure_filler(base) and is_pure_filler(own) else "keep"

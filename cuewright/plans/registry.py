@@ -1,19 +1,448 @@
-"""Every query of the engine and the DuckDB statement that must give the same rows."""
+"""Every query of the engine and the DuckDB statement that must give the same rows.
+
+Queries run over whole tables. Those without a statement fold over an order or use back references,
+which the statement's dialect lacks; the tests compare them with plain Python.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuewright.functions import text as X
+from cuewright.operators import corpus, dedup, layout, quality, segment
+from cuewright.plans.inputs import FRAMES, UTTERANCES, frames, pairs, utterances
+from cuewright.session import table
+from cuewright.sources import corpus as sources
+from cuewright.sources import srt
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+# Fixed values for the statements: the classes of functions.text in their dialect.
+_WS = r"\x{9}-\x{D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_P = X.PUNCT
+_SEGS = "select source_id, start_frame, end_frame"
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _sub(text: str, inside: str, negate: bool = False) -> str:
+    return f"regexp_replace({text}, '[{'^' if negate else ''}{inside}]', '', 'g')".replace("[" + "^" * negate + inside + "]", "[" + "^" * negate + inside.replace("'", "''") + "]")
+
+
+def _utrim(text: str) -> str:
+    return f"regexp_replace({text}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# ---- text scalars
+
+
+@_query(f"select doc_id, {_sub('text', _P + _WS)} as stripped from documents")
+def strip_punct(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.strip_punct("text").alias("stripped"))
+
+
+@_query()
+def collapse_repeats(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.collapse_repeats("text").alias("collapsed"))
+
+
+@_query(f"select doc_id, regexp_matches({_sub('text', _P + _WS)}, '^[{X.FILLERS}]+$') as filler from documents")
+def filler_flag(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.is_pure_filler(X.strip_punct("text")).alias("filler"))
+
+
+@_query(
+    f"select doc_id, length(text) + length({_sub('text', X.WIDE, True)}) as width, "
+    rf"length(text) + length({_sub('text', r'\x{2E81}-\x{10FFFF}', True)}) as qa_width from documents"
+)
+def display_width(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.display_width("text").alias("width"), X.qa_width("text").alias("qa_width"))
+
+
+@_query(
+    f"select doc_id, case when n = 0 then 0.0 else length({_sub('s', X.KANA, True)}) / n end as kana, "
+    f"case when n = 0 then 0.0 else length({_sub('s', X.CJK, True)}) / n end as cjk, "
+    f"length({_sub('s', 'a-zà-ÿ', True)}) / greatest(1, n) as lower "
+    f"from (select doc_id, s, length(s)::double as n from (select doc_id, {_sub('text', _WS)} as s from documents))"
+)
+def script_ratios(spark, sf_dir):
+    return _docs(spark, sf_dir).select(
+        "doc_id", X.script_ratio("text", X.KANA).alias("kana"), X.script_ratio("text", X.CJK).alias("cjk"), X.script_ratio("text", "a-zà-ÿ", floor=True).alias("lower")
+    )
+
+
+@_query("select doc_id, left(text, 60) || case when length(text) > 60 then '…' else '' end as head, replace(text, chr(10), ' ') as flat from documents")
+def truncate_flatten(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.truncate("text", 60).alias("head"), X.flatten_lines("text").alias("flat"))
+
+
+@_query(r"select doc_id, regexp_replace(text, '[。.、！？!?]+$', '') as bare from documents")
+def rstrip_marks(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.rstrip_sentence_marks("text").alias("bare"))
+
+
+@_query(
+    f"select doc_id, lang, body, body as after from (select doc_id, lang, {_utrim('text')} as body, text from documents)".replace("body as after", f"{_utrim('text')} as after")
+)
+def parse_tagged(spark, sf_dir):
+    raw = F.concat(F.lit(" language "), F.col("lang"), F.lit(f" {X.TAG} "), F.col("text"))
+    p = _docs(spark, sf_dir).withColumn("raw", raw).withColumn("p", X.parse_tagged("raw"))
+    return p.select("doc_id", X.parse_tagged_strict("raw").alias("lang"), F.col("p.text").alias("body"), X.utrim(X.after_tag("raw")).alias("after"))
+
+
+@_query(
+    "select doc_id, list_aggregate(list_transform(range(1, 13), lambda i: list_extract(["
+    + ", ".join(f"'{w}'" for w in X.STUB_WORDS)
+    + "], (strpos('0123456789abcdef', substr(sha1(text), i::bigint, 1)) - 1) % 8 + 1)), 'string_agg', '') as target, sha1(text) as key from documents"
+)
+def stub_translate(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.stub_translate("text").alias("target"), F.sha1("text").alias("key"))
+
+
+@_query("select page_id, regexp_extract(html || ' BV1xx411c7' || lpad(cast(page_id as varchar), 9, '0'), '(BV[0-9A-Za-z]{10})', 1) as media, split_part(url, '.', 1) as family from pages")
+def media_ids(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    shown = F.concat("html", F.lit(" BV1xx411c7"), F.lpad(F.col("page_id").cast("string"), 9, "0"))
+    return p.select("page_id", X.media_id(shown).alias("media"), X.codec_family("url").alias("family"))
+
+
+@_query(
+    "select item_id, '<|im_start|>system' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || "
+    "'<|audio_start|><|audio_pad|><|audio_end|><|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt from benchmark"
+)
+def chat_prompts(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", X.chat_prompt("text").alias("prompt"))
+
+
+# ---- segmentation
+
+_TRACK = f"""with f as {FRAMES}, n as (select source_id, max(frame_idx) + 1 as n from f group by 1),
+g as (select *, frame_idx - lag(frame_idx) over w - 1 as gap from f where prob >= 0.5 window w as (partition by source_id order by frame_idx)),
+i as (select *, sum(case when gap is null or gap >= $GAP then 1 else 0 end) over (partition by source_id order by frame_idx) as isl from g),
+s as (select source_id, isl, min(frame_idx) as a, max(frame_idx) + 1 as b from i group by 1, 2),
+e as (select s.source_id, a, case when isl = max(isl) over (partition by s.source_id) and n - b < $SILENCE then n else b end as b, n from s join n using (source_id)),
+k as (select * from e where b - a >= $SPEECH)"""
+
+
+def _track(gap: int, silence: int, speech: int) -> str:
+    return _TRACK.replace("$GAP", str(gap)).replace("$SILENCE", str(silence)).replace("$SPEECH", str(speech))
+
+
+# The tables' values alternate quickly, so these limits are shorter than the defaults.
+_L = segment.Limits(min_speech=2, min_silence=3, merge_gap=2, pad=2)
+_SPLIT = segment.Limits(min_speech=2, min_silence=2, merge_gap=4, pad=2, max_seg=8)
+
+
+@_query(_track(15, 15, 7) + "select source_id, greatest(a - 3, 0) as start_frame, least(b + 3, n) as end_frame from k")
+def vad_default(spark, sf_dir):
+    return segment.track(frames(spark, sf_dir))
+
+
+@_query(_track(3, 3, 2) + "select source_id, greatest(a - 2, 0) as start_frame, least(b + 2, n) as end_frame, greatest(a - 2, 0) * 512 * 1000 // 16000 as start_ms, least(b + 2, n) * 512 * 1000 // 16000 as end_ms from k")
+def vad_segments(spark, sf_dir):
+    return segment.bounds_ms(segment.track(frames(spark, sf_dir), _L))
+
+
+@_query(
+    _track(2, 2, 2)
+    + """, m as (select *, case when lag(b) over w is null or a - lag(b) over w >= 4 then 1 else 0 end as o from k window w as (partition by source_id order by a)),
+r as (select *, sum(o) over (partition by source_id order by a) as run from m),
+q as (select source_id, greatest(min(a) - 2, 0) as a, least(max(b) + 2, max(n)) as b from r group by source_id, run),
+z as (select *, case when b - a > 8 then (b - a) // 8 + 1 else 1 end as c from q)
+select source_id, a + i * ((b - a) // c) as start_frame, case when i + 1 = c then b else a + (i + 1) * ((b - a) // c) end as end_frame
+from z, lateral (select unnest(range(c)) as i)"""
+)
+def vad_batch(spark, sf_dir):
+    return segment.merge_pad_split(segment.mask(frames(spark, sf_dir), _SPLIT), _SPLIT)
+
+
+@_query()
+def vad_capped(spark, sf_dir):
+    return segment.track_capped(frames(spark, sf_dir), segment.Limits(min_speech=2, min_silence=3, merge_gap=4, pad=2, max_seg=8))
+
+
+@_query(
+    """with s as (select *, case when lag(ts) over w is null or ts - lag(ts) over w > interval 12 hour then 1 else 0 end as o from events window w as (partition by user_id order by ts)),
+i as (select *, sum(o) over (partition by user_id order by ts) as g from s)
+select user_id, count(*) as n_events, min(ts) as first_ts, max(ts) as last_ts from i group by user_id, g"""
+)
+def session_events(spark, sf_dir):
+    return segment.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 12 * 3_600_000)
+
+
+# ---- layout and cues
+
+_PIECES = f"regexp_extract_all(replace(text, chr(10), ' '), '[^{layout.STOPS}]*[{layout.STOPS}]|[^{layout.STOPS}]+')"
+
+
+@_query(f"select doc_id, p as piece, pieces[p + 1] as text from (select doc_id, pieces, unnest(range(len(pieces))) as p from (select doc_id, {_PIECES} as pieces from documents))")
+def sentence_pieces(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.posexplode(layout.sentence_pieces(X.flatten_lines("text"))).alias("piece", "text"))
+    return d.select("doc_id", F.col("piece").cast("long").alias("piece"), "text")
+
+
+@_query(
+    "select doc_id, list_aggregate(list_filter(list_transform(range(c), lambda k: "
+    + _utrim("substr(text, n * k // c + 1, n * (k + 1) // c - n * k // c)")
+    + "), lambda s: s <> ''), 'string_agg', '|') as parts from (select doc_id, text, length(text) as n, greatest(1, least(7, length(text))) as c from documents)"
+)
+def split_even(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(layout.split_even(F.col("text"), F.lit(7)), "|").alias("parts"))
+
+
+@_query()
+def split_long_cues(spark, sf_dir):
+    return layout.split_long_cues(utterances(spark, sf_dir)).select("source_id", "seq", "piece", "start_ms", "end_ms", "text")
+
+
+@_query()
+def wrap_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", layout.wrap_text("text").alias("wrapped"))
+
+
+@_query()
+def layout_cues(spark, sf_dir):
+    return layout.layout(utterances(spark, sf_dir)).select("source_id", "index", "start_ms", "end_ms", "text")
+
+
+_TS = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+_SRT = (
+    f"select source_id, string_agg(cast(n as varchar) || chr(10) || {_TS.format('start_ms')} || ' --> ' || {_TS.format('end_ms')} || chr(10) || {_utrim('text')} || chr(10) || chr(10), '' order by n) as srt "
+    f"from (select *, row_number() over (partition by source_id order by start_ms) as n from {UTTERANCES}) group by 1"
+)
+
+
+@_query(_SRT)
+def srt_files(spark, sf_dir):
+    return srt.render(utterances(spark, sf_dir))
+
+
+@_query(f"select source_id, row_number() over (partition by source_id order by start_ms) as index, start_ms, end_ms, text from (select *, {_utrim('text')} as t from {UTTERANCES}) where t <> ''".replace("end_ms, text from", "end_ms, t as text from"))
+def srt_roundtrip(spark, sf_dir):
+    return srt.parse(srt.render(utterances(spark, sf_dir)))
+
+
+def _judged(spark, sf_dir):
+    u = utterances(spark, sf_dir).withColumn("raw", F.concat(F.lit("language "), F.when(F.col("role") == "user", "None").otherwise("English"), F.lit(X.TAG), F.col("text")))
+    return dedup.segment_verdicts(u)
+
+
+@_query()
+def segment_verdicts(spark, sf_dir):
+    return _judged(spark, sf_dir)
+
+
+def _cues(spark, sf_dir):
+    kept = _judged(spark, sf_dir).where("verdict = 'process'").select("source_id", "seq", "start_ms", "end_ms", "text")
+    return dedup.cue_verdicts(layout.split_long_cues(kept))
+
+
+@_query()
+def cue_verdicts(spark, sf_dir):
+    return _cues(spark, sf_dir)
+
+
+@_query()
+def transcript_counters(spark, sf_dir):
+    return dedup.counters(_judged(spark, sf_dir), _cues(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Utterances to subtitle cues: clean, split, drop what repeats, number, format the times."""
+    cues = dedup.kept_cues(_cues(spark, sf_dir))
+    return cues.select("source_id", F.col("index").cast("long").alias("index"), X.format_timestamp("start_ms").alias("start"), X.format_timestamp("end_ms").alias("end"), "text")
+
+
+@_query()
+def subtitles(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# ---- training sets
+
+_BARE = r"regexp_replace({}, '[。.、！？!?]+$', '')"
+
+
+@_query(
+    f"""with d as (select doc_id, lang, text, {_utrim('text')} as k from documents), t as (select text as src, 'T' || item_id as dst, item_id from benchmark),
+e as (select src, arg_max(dst, item_id) as dst, min(item_id) as l from t group by 1), z as (select {_BARE.format('src')} as b, arg_min(dst, l) as dst from e group by 1)
+select d.doc_id, coalesce(e.dst, z.dst) as target, case when e.dst is not null then 'exact' when z.dst is not null then 'loose' else 'miss' end as match
+from d left join e on e.src = d.k left join z on z.b = {_BARE.format('d.k')}"""
+)
+def lookup(spark, sf_dir):
+    return corpus.translate(_docs(spark, sf_dir).select("doc_id", "text"), pairs(spark, sf_dir)).select("doc_id", "target", "match")
+
+
+@_query(f"select doc_id, lang from documents where {_utrim('text')} not in (select text from benchmark where text is not null)")
+def lookup_missing(spark, sf_dir):
+    return corpus.missing(_docs(spark, sf_dir), pairs(spark, sf_dir)).select("doc_id", "lang")
+
+
+@_query("select d.doc_id, d.source, l.quality, l.toxic from documents d join labels l using (doc_id) where d.n_chars between 100 and 5000")
+def labelled_range(spark, sf_dir):
+    rows = corpus.within_duration(_docs(spark, sf_dir), 5000, 100, "n_chars")
+    return rows.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", "toxic")
+
+
+_DRAW = "cast('0x' || substr(sha1('7:' || cast(doc_id as varchar)), 1, 8) as bigint) / 4294967296.0"
+
+
+@_query(
+    f"""with p as (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents),
+r as (select doc_id, 'train' as split, case when {_DRAW} >= 0.3 then 'translate' else 'transcribe' end as task, text, lang from p where position < lim
+union all select doc_id, 'eval', t, text, lang from p, (values ('translate'), ('transcribe')) v(t) where position >= lim)
+select doc_id, split, 'd' || doc_id || '.wav' as audio, task, 'language Japanese<asr_text>' || case when task = 'translate' then upper(lang) else text end as text,
+case when task = 'translate' then 'to zh' else '' end as prompt from r"""
+)
+def training_records(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    rows = corpus.position(docs.select(F.col("doc_id").alias("row_id"), "text", F.upper("lang").alias("target"), F.format_string("d%d.wav", "doc_id").alias("audio")), ["row_id"])
+    return corpus.records(rows, docs.count() * 9 // 10, 0.3, 7, "to zh").withColumnRenamed("row_id", "doc_id")
+
+
+@_query(
+    f"""with p as (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents)
+select split, task, count(*) as n from (select 'train' as split, case when {_DRAW} >= 0.3 then 'translate' else 'transcribe' end as task from p where position < lim
+union all select 'eval', t from p, (values ('translate'), ('transcribe')) v(t) where position >= lim) group by 1, 2"""
+)
+def training_mix(spark, sf_dir):
+    return corpus.composition(training_records(spark, sf_dir))
+
+
+@_query("select i as j, i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range(200) t(i)")
+def silence_rows(spark, sf_dir):
+    return corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7).drop("secs")
+
+
+@_query(
+    """select src, arg_max(dst, n) as dst from (select regexp_replace(split_part(line, chr(9), 1), '^ +| +$', '', 'g') as src, regexp_replace(substr(line, strpos(line, chr(9)) + 1), '^ +| +$', '', 'g') as dst, n
+from (select doc_id as n, case when doc_id % 10 = 0 then '#' else '' end || source || ' ' || chr(9) || ' ' || lang || chr(9) || doc_id as line from documents) where line not like '#%') group by 1"""
+)
+def parallel_pairs(spark, sf_dir):
+    line = F.concat(F.when(F.col("doc_id") % 10 == 0, "#").otherwise(""), "source", F.lit(" \t "), "lang", F.lit("\t"), F.col("doc_id").cast("string"))
+    lines = _docs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), line.alias("line"))
+    return corpus.last_wins(sources.parallel_pairs(lines)).select("src", "dst")
+
+
+@_query("with c as (select sha1(text) as k, arg_max(lang || doc_id, doc_id) as v from documents where lang = 'en' group by 1) select doc_id, c.v as hit from documents d left join c on c.k = sha1(d.text)")
+def cache_lookup(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    line = F.to_json(F.struct(F.sha1("text").alias("k"), F.concat("lang", F.col("doc_id").cast("string")).alias("v")))
+    lines = docs.where("lang = 'en'").select(F.col("doc_id").alias("line_no"), line.alias("line"))
+    return sources.cached(docs.select("doc_id", "text"), sources.cache(lines)).select("doc_id", "hit")
+
+
+# ---- quality
+
+_CUES = f"(select source_id, start_ms / 1000.0 as start_s, end_ms / 1000.0 as end_s, start_ms, text, {_sub('text', _WS)} as s, replace(text, chr(10), '') as flat from {UTTERANCES})"
+_METRICS = f"""select source_id, count(*) as n_cues, sum(length({_sub('s', X.KANA, True)})) / greatest(sum(length(s)), 1) as kana, sum(length({_sub('s', X.CJK, True)})) / greatest(sum(length(s)), 1) as cjk,
+greatest(0.05::double, max(end_s::double) / 60) as minutes, max(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x) + length(regexp_replace(x, '[^\\x{{2E81}}-\\x{{10FFFF}}]', '', 'g'))))) as widest,
+max(end_s::double - start_s::double) as longest, max(length(flat)) as most_chars, count_if(length({_utrim('flat')}) < 2)::bigint as n_skinny from {_CUES} group by 1"""
+
+
+def _timed(spark, sf_dir):
+    return utterances(spark, sf_dir).select("source_id", "start_ms", (F.col("start_ms") / 1000.0).alias("start_s"), (F.col("end_ms") / 1000.0).alias("end_s"), "text")
+
+
+@_query(_METRICS.replace("max(end_s::double - start_s::double) as longest", "round(max(end_s::double - start_s::double), 6) as longest"))
+def subtitle_metrics(spark, sf_dir):
+    return quality.subtitle_metrics(_timed(spark, sf_dir)).withColumn("longest", F.round("longest", 6))
+
+
+@_query(
+    f"""with m as ({_METRICS}) select source_id, c."check", c.ok from m, lateral (values ('density', n_cues >= minutes * 4), ('kana', kana <= 0.05), ('cjk', cjk >= 0.5), ('width', widest <= 40),
+('longest', longest <= 12.0), ('chars', most_chars <= 44), ('skinny', n_skinny = 0)) c("check", ok)"""
+)
+def subtitle_checks(spark, sf_dir):
+    return quality.subtitle_checks(quality.subtitle_metrics(_timed(spark, sf_dir)))
+
+
+@_query(f"select source_id, sum(length(text)) / greatest(0.05::double, max(end_s::double) / 60) as chars_per_min, count(*) / greatest(0.05::double, max(end_s::double) / 60) as cues_per_min from {_CUES} group by 1")
+def subtitle_density(spark, sf_dir):
+    return quality.density(_timed(spark, sf_dir))
+
+
+@_query(f"select source_id, start_ms // 20000 as bucket, count(*) as n_cues, sum(length(text))::bigint as n_chars from {UTTERANCES} group by 1, 2")
+def buckets_20s(spark, sf_dir):
+    return quality.buckets(utterances(spark, sf_dir))
+
+
+_RATIO = "(case when length(s) = 0 then 0.0::double else length({}) / length(s)::double end)"
+
+
+@_query(
+    f"""with r as (select source, lang = 'en' as mt, {_RATIO.format(_sub('s', X.KANA, True))} as kana, {_RATIO.format(_sub('s', X.CJK, True))} as cjk from (select *, {_sub('text', _WS)} as s from documents))
+select source, avg(kana) filter (mt) as translated_kana, avg(cjk) filter (mt) as translated_cjk, avg(kana) filter (not mt) as transcribed_kana, (count(*) filter (not mt and kana < 0.05))::bigint as leaks,
+avg(kana) filter (mt) <= 0.1 as translation_takes_effect, avg(kana) filter (not mt) >= 0.15 as no_forgetting from r group by 1"""
+)
+def eval_metrics(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("source", F.when(F.col("lang") == "en", "p").otherwise("").alias("prompt"), F.col("text").alias("out"))
+    return quality.eval_checks(quality.eval_metrics(rows, ["source"]))
+
+
+_LINES = "(select doc_id as source_id, unnest(string_split(text, chr(10))) as line from documents)"
+
+
+def _lines(spark, sf_dir):
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.explode(F.split("text", "\n")).alias("line"))
+
+
+@_query(f"select source_id, marker, count(*) as n_lines from {_LINES}, (values ('token'), ('the'), ('que'), ('$$$')) m(marker) where contains(line, marker) and {_utrim('line')} <> '' group by 1, 2")
+def noise_markers(spark, sf_dir):
+    return quality.noise_hits(_lines(spark, sf_dir), ("token", "the", "que", "$$$"))
+
+
+@_query(f"select source_id, marker, bool_or(contains(line, marker)) as found from {_LINES}, (values ('License'), ('the')) m(marker) group by 1, 2")
+def required_markers(spark, sf_dir):
+    return quality.required_markers(_lines(spark, sf_dir), ("License", "the"))
+
+
+@_query(
+    f"""with l as (select source_id, count_if({_utrim('line')} <> '')::bigint as n_lines, greatest(1, sum((length(line) - length(replace(line, 'the', ''))) // 3))::bigint as n_files,
+sum(len(regexp_extract_all(line, '([0-9]{{1,6}})')))::bigint as n_found, coalesce(sum(list_sum(list_transform(regexp_extract_all(line, '([0-9]{{1,6}})', 1), lambda x: x::bigint))), 0)::bigint as n_kept from {_LINES} group by 1),
+c as (select *, case when n_found > 0 then n_kept + 4 * n_files + 8 else 30 * n_files + 12 end as cap from l) select source_id, n_lines, n_files, n_kept, cap, n_lines <= cap as ok from c"""
+)
+def line_cap(spark, sf_dir):
+    return quality.line_cap(_lines(spark, sf_dir), r"([0-9]{1,6})", "the")
+
+
+@_query("select source, doc_id, rank from (select source, doc_id, row_number() over (partition by source order by doc_id desc) as rank from documents) where rank <= 25")
+def last_per_source(spark, sf_dir):
+    return quality.first_per_group(_docs(spark, sf_dir), "source", [F.desc("doc_id")], 25).select("source", "doc_id", "rank")
+
+
+@_query("select l_partkey, arg_max(l_orderkey * 10 + l_linenumber, (l_quantity, -(l_orderkey * 10 + l_linenumber))) as best from lineitem group by 1")
+def best_line(spark, sf_dir):
+    own = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return quality.best_by(table(spark, sf_dir, "lineitem"), "l_partkey", own, F.col("l_quantity"), own)
+
+
+@_query("select conv_id as source_id, avg((length(text) < 40)::int) as drop_rate from conversations group by 1")
+def drop_rate(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "source_id")
+    return quality.drop_rate(c, F.length("text") < 40)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
