@@ -134,20 +134,21 @@ def chat_prompts(spark, sf_dir):
 # ---- segmentation
 
 _TRACK = f"""with f as {FRAMES}, n as (select source_id, max(frame_idx) + 1 as n from f group by 1),
-g as (select *, frame_idx - lag(frame_idx) over w - 1 as gap from f where prob >= 0.5 window w as (partition by source_id order by frame_idx)),
+g as (select *, frame_idx - lag(frame_idx) over w - 1 as gap from f where prob >= $THR window w as (partition by source_id order by frame_idx)),
 i as (select *, sum(case when gap is null or gap >= $GAP then 1 else 0 end) over (partition by source_id order by frame_idx) as isl from g),
 s as (select source_id, isl, min(frame_idx) as a, max(frame_idx) + 1 as b from i group by 1, 2),
 e as (select s.source_id, a, case when isl = max(isl) over (partition by s.source_id) and n - b < $SILENCE then n else b end as b, n from s join n using (source_id)),
 k as (select * from e where b - a >= $SPEECH)"""
 
 
-def _track(gap: int, silence: int, speech: int) -> str:
-    return _TRACK.replace("$GAP", str(gap)).replace("$SILENCE", str(silence)).replace("$SPEECH", str(speech))
+def _track(gap: int, silence: int, speech: int, threshold: float = 0.5) -> str:
+    return _TRACK.replace("$THR", str(threshold)).replace("$GAP", str(gap)).replace("$SILENCE", str(silence)).replace("$SPEECH", str(speech))
 
 
-# The tables' values alternate quickly, so these limits are shorter than the defaults.
-_L = segment.Limits(min_speech=2, min_silence=3, merge_gap=2, pad=2)
-_SPLIT = segment.Limits(min_speech=2, min_silence=2, merge_gap=4, pad=2, max_seg=8)
+# The tables' values are small and alternate quickly, so these limits are lower than the defaults.
+_LOW = 0.1
+_L = segment.Limits(threshold=_LOW, min_speech=2, min_silence=3, merge_gap=2, pad=2)
+_SPLIT = segment.Limits(threshold=_LOW, min_speech=2, min_silence=2, merge_gap=4, pad=2, max_seg=8)
 
 
 @_query(_track(15, 15, 7) + "select source_id, greatest(a - 3, 0) as start_frame, least(b + 3, n) as end_frame from k")
@@ -155,13 +156,13 @@ def vad_default(spark, sf_dir):
     return segment.track(frames(spark, sf_dir))
 
 
-@_query(_track(3, 3, 2) + "select source_id, greatest(a - 2, 0) as start_frame, least(b + 2, n) as end_frame, greatest(a - 2, 0) * 512 * 1000 // 16000 as start_ms, least(b + 2, n) * 512 * 1000 // 16000 as end_ms from k")
+@_query(_track(3, 3, 2, _LOW) + "select source_id, greatest(a - 2, 0) as start_frame, least(b + 2, n) as end_frame, greatest(a - 2, 0) * 512 * 1000 // 16000 as start_ms, least(b + 2, n) * 512 * 1000 // 16000 as end_ms from k")
 def vad_segments(spark, sf_dir):
     return segment.bounds_ms(segment.track(frames(spark, sf_dir), _L))
 
 
 @_query(
-    _track(2, 2, 2)
+    _track(2, 2, 2, _LOW)
     + """, m as (select *, case when lag(b) over w is null or a - lag(b) over w >= 4 then 1 else 0 end as o from k window w as (partition by source_id order by a)),
 r as (select *, sum(o) over (partition by source_id order by a) as run from m),
 q as (select source_id, greatest(min(a) - 2, 0) as a, least(max(b) + 2, max(n)) as b from r group by source_id, run),
@@ -175,7 +176,7 @@ def vad_batch(spark, sf_dir):
 
 @_query()
 def vad_capped(spark, sf_dir):
-    return segment.track_capped(frames(spark, sf_dir), segment.Limits(min_speech=2, min_silence=3, merge_gap=4, pad=2, max_seg=8))
+    return segment.track_capped(frames(spark, sf_dir), segment.Limits(threshold=_LOW, min_speech=2, min_silence=3, merge_gap=4, pad=2, max_seg=8))
 
 
 @_query(

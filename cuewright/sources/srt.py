@@ -42,7 +42,7 @@ def parse(files: DataFrame, id_col: str = "source_id", text_col: str = "srt") ->
     lines = blocks.withColumn("lines", F.split("block", "\n"))
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit("-->"))), True)
     lines = lines.withColumn("at", at.cast("int")).where("at > 0")
-    sides = F.split(F.element_at("lines", F.col("at")), "-->", 2)
+    sides = F.split(F.get("lines", F.col("at") - 1), "-->", 2)
     rest = F.filter(F.transform(F.slice("lines", F.col("at") + 1, F.size("lines")), lambda x: X.utrim(x)), lambda x: x != "")
     lines = lines.select("source_id", "b", X.parse_timestamp(sides[0]).alias("start_ms"), X.parse_timestamp(sides[1]).alias("end_ms"), F.array_join(rest, "\n").alias("text"))
     good = lines.where("start_ms is not null and end_ms is not null and text <> ''")
@@ -58,7 +58,7 @@ def parse_strict(files: DataFrame, id_col: str = "source_id", text_col: str = "s
     a time line; times in seconds; text lines as they are."""
     blocks = files.select(F.col(id_col).alias("source_id"), F.posexplode(F.split(X.utrim(text_col), "\n\n")).alias("seq", "block"))
     lines = blocks.withColumn("lines", F.filter(F.split("block", "\r\n|\n|\r"), lambda x: X.utrim(x) != ""))
-    lines = lines.where("size(lines) >= 3").withColumn("time", F.element_at("lines", 2)).where(F.col("time").rlike(_STRICT))
+    lines = lines.where("size(lines) >= 3").withColumn("time", F.get("lines", F.lit(1))).where(F.col("time").rlike(_STRICT))
     g = lambda i: F.regexp_extract("time", _STRICT, i).cast("double")
     seconds = lambda a: g(a) * 3600 + g(a + 1) * 60 + g(a + 2) + g(a + 3) / 1000
     return lines.select("source_id", "seq", seconds(1).alias("start_s"), seconds(5).alias("end_s"), F.array_join(F.slice("lines", 3, F.size("lines")), "\n").alias("text"))
