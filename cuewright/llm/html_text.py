@@ -27,7 +27,7 @@ from cuewright.llm._shared import small_batches
 MIN_SEEN = 20
 MOST_FEATURES = 50_000
 WORD = 1.0
-UNSEEN = 0.25
+UNSEEN = 0.02
 SCALE = 6.0
 
 # Element names without article text, class and id words that mark such elements,
