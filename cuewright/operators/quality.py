@@ -127,3 +127,10 @@ def buckets(cues: DataFrame, seconds: int = 20) -> DataFrame:
     """Cues and characters by buckets of their start."""
     b = F.expr(f"start_ms div {seconds * 1000}")
     return cues.groupBy("source_id", b.alias("bucket")).agg(F.count("*").alias("n_cues"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def adjacency(cues: DataFrame) -> DataFrame:
+    """Per source: cues that end before they start or with it, and cues that overlap the next by over a millisecond."""
+    following = F.lead("start_ms").over(Window.partitionBy("source_id").orderBy("start_ms", "end_ms"))
+    own = cues.withColumn("next_ms", following)
+    return own.groupBy("source_id").agg(F.count_if(F.col("end_ms") <= F.col("start_ms")).alias("n_backward"), F.count_if(F.col("end_ms") > F.col("next_ms") + 1).alias("n_overlap"))

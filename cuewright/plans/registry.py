@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewright.functions import kernels
 from cuewright.functions import text as X
 from cuewright.operators import corpus, dedup, layout, quality, segment
 from cuewright.plans.inputs import FRAMES, UTTERANCES, frames, pairs, utterances
@@ -441,6 +442,25 @@ def drop_rate(spark, sf_dir):
     return quality.drop_rate(c, F.length("text") < 40)
 
 
+@_query(f"select source_id, 0::bigint as n_backward, (count(*) filter (end_ms > nxt + 1))::bigint as n_overlap from (select *, lead(start_ms) over (partition by source_id order by start_ms, end_ms) as nxt from {UTTERANCES}) group by 1")
+def cue_adjacency(spark, sf_dir):
+    return quality.adjacency(utterances(spark, sf_dir))
+
+
+@_query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) as norm, round(list_sum(embedding::double[]) * 0.5 + 1, 6) as unit from embeddings")
+def embedding_kernels(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    n = e.select(F.max(F.size("embedding"))).first()[0] or 0
+    unit = kernels.pointwise(F.col("embedding"), [[0.5] * n], [1.0])[0]
+    return e.select("vec_id", F.round(kernels.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"), F.round(unit, 6).alias("unit"))
+
+
+@_query("select source_id, round(max(end_ms) / 2000.0 / (max(end_ms) / 1000.0), 3) as rtf from (select *, 1 from " + UTTERANCES + ") group by 1")
+def real_time_factors(spark, sf_dir):
+    u = utterances(spark, sf_dir).groupBy("source_id").agg((F.max("end_ms") / 1000.0).alias("audio"))
+    return u.select("source_id", kernels.real_time_factor(F.col("audio") / 2, F.col("audio")).alias("rtf"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

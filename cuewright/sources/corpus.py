@@ -43,6 +43,11 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.select("audio", "text", "prompt").write.mode("overwrite").json(path)
 
 
+def dump_transcripts(rows: DataFrame, path: str, text_col: str = "text") -> None:
+    """One trimmed line for each row, before any filter."""
+    rows.select(X.utrim(X.flatten_lines(text_col)).alias("value")).write.mode("overwrite").text(path)
+
+
 def report_json(metrics: DataFrame) -> DataFrame:
     """One JSON object for each row, nulls kept."""
     return metrics.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
