@@ -117,6 +117,24 @@ def _deal(held: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     return left
 
 
+TABLE_BLOCKS = 1 << 16
+TABLES_HELD = 1 << 22
+_TABLES: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _ranks(blocks: int, key: int, own: np.ndarray | int) -> np.ndarray:
+    """Places of ``own`` blocks in the permutation of all; a short permutation is kept as a table, of which
+    a worker holds a bounded number."""
+    if blocks > TABLE_BLOCKS:
+        return _scramble(blocks, key)(np.atleast_1d(own))
+    table = _TABLES.get((blocks, key))
+    if table is None:
+        if sum(map(len, _TABLES.values())) > TABLES_HELD:
+            _TABLES.clear()
+        table = _TABLES[blocks, key] = _scramble(blocks, key)(np.arange(blocks))
+    return table[own] if isinstance(own, np.ndarray) else table[own : own + 1]
+
+
 @dataclass
 class Source:
     """A source's line of words and the draws that the mix takes from it."""
@@ -156,10 +174,13 @@ class Source:
         """(pass, shard, from, to) of the words [start, end) of the line that the mix takes."""
         if start >= end:
             return
+        if start // self.block == (end - 1) // self.block:
+            yield from self._within_block(start // self.block, start, end)
+            return
         own = np.arange(start // self.block, -(-end // self.block), dtype=np.int64)
         low, high = np.maximum(own * self.block, start), np.minimum((own + 1) * self.block, end)
         for turn in range(self.passes + bool(self.whole or self.part)):
-            rank = _scramble(self.blocks, self.key + turn)(own)
+            rank = _ranks(self.blocks, self.key + turn, own)
             top = high
             if turn == self.passes:
                 keep = rank < self.whole + bool(self.part)
@@ -180,6 +201,17 @@ class Source:
                 yield held
 
 
+    def _within_block(self, block: int, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+        """``pieces`` of words that lie in one block, without arrays."""
+        for turn in range(self.passes + bool(self.whole or self.part)):
+            rank = int(_ranks(self.blocks, self.key + turn, block)[0])
+            top = end
+            if turn == self.passes and rank >= self.whole:
+                top = min(end, block * self.block + self.part) if rank == self.whole else start
+            if start < top:
+                yield turn, int(np.searchsorted(self.starts, turn * self.blocks + rank, side="right")) - 1, start, top
+
+
 def _inverse_probe(blocks: int) -> np.ndarray:
     """The last block of a line, the one that may be short."""
     return np.array([blocks - 1], dtype=np.int64)
