@@ -35,7 +35,8 @@ BLOCK_WORDS = 4096
 BLOCKS_PER_SOURCE = 64
 SHARD_WORDS = 4_000_000
 MOST_SHARDS = 10_000
-BUCKETS = 256
+BUCKET_ROWS = 20_000
+MOST_BUCKET_BITS = 20
 _WORD = r"[^ \t-\r]+"
 
 
@@ -243,27 +244,29 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     return slim.mapInArrow(run, f"id {kind}, source string, size long")
 
 
-def _placed(rows: DataFrame, names: dict[str, str], sized: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str | None, int]]]:
+def _placed(rows: DataFrame, names: dict[str, str], n_rows: int, sized: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str | None, int]]]:
     """``rows`` with ``__cw_start``, each row's first word on its source's line, and the sources' sizes.
 
     ``names`` says which columns hold id, source and size; ``sized`` has those alone, if it is cheaper
     to read. The order on a line is that of a hash of id and size. Rows are dealt by source and bucket
     of that hash; only the buckets' totals, a row for each source and bucket, are summed along a line.
+    There are enough buckets for ``BUCKET_ROWS`` rows in each; their number does not change the order.
     """
+    bits = min(MOST_BUCKET_BITS, max(8, (n_rows // BUCKET_ROWS).bit_length()))
     key, source, size = (F.col(names[k]) for k in ("id", "source", "size"))
 
     def bucketed(df: DataFrame) -> DataFrame:
-        return df.withColumn("__cw_h", F.xxhash64(key, size)).withColumn("__cw_bucket", F.shiftrightunsigned("__cw_h", 56))
+        return df.withColumn("__cw_h", F.xxhash64(key, size)).withColumn("__cw_bucket", F.shiftrightunsigned("__cw_h", 64 - bits))
 
-    totals = bucketed(rows if sized is None else sized).groupBy(source.alias("o_source"), F.col("__cw_bucket").alias("o_bucket")).agg(F.sum(size).alias("o_words"))
-    along = Window.partitionBy("o_source").orderBy("o_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(totals.withColumn("o_offset", F.coalesce(F.sum("o_words").over(along), F.lit(0))), "offsets")
-    sizes = [(r["o_source"], r["words"]) for r in offsets.groupBy("o_source").agg(F.sum("o_words").alias("words")).collect()]
+    totals = bucketed(rows if sized is None else sized).groupBy(source.alias("__cw_o_source"), F.col("__cw_bucket").alias("__cw_o_bucket")).agg(F.sum(size).alias("__cw_o_words"))
+    along = Window.partitionBy("__cw_o_source").orderBy("__cw_o_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = written(totals.withColumn("__cw_o_offset", F.coalesce(F.sum("__cw_o_words").over(along), F.lit(0))), "offsets")
+    sizes = [(r["__cw_o_source"], r["words"]) for r in offsets.groupBy("__cw_o_source").agg(F.sum("__cw_o_words").alias("words")).collect()]
     inner = Window.partitionBy(source, "__cw_bucket").orderBy("__cw_h", key, size).rowsBetween(Window.unboundedPreceding, -1)
     own = bucketed(rows).withColumn("__cw_before", F.coalesce(F.sum(size).over(inner), F.lit(0)))
-    placed = own.join(offsets, source.eqNullSafe(F.col("o_source")) & (F.col("__cw_bucket") == F.col("o_bucket")))
-    placed = placed.withColumn("__cw_start", F.col("o_offset") + F.col("__cw_before"))
-    return placed.drop("__cw_h", "__cw_bucket", "__cw_before", "o_source", "o_bucket", "o_words", "o_offset"), sizes
+    placed = own.join(offsets, source.eqNullSafe(F.col("__cw_o_source")) & (F.col("__cw_bucket") == F.col("__cw_o_bucket")))
+    placed = placed.withColumn("__cw_start", F.col("__cw_o_offset") + F.col("__cw_before"))
+    return placed.drop("__cw_h", "__cw_bucket", "__cw_before", "__cw_o_source", "__cw_o_bucket", "__cw_o_words", "__cw_o_offset"), sizes
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
@@ -273,7 +276,8 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ids are rows like any other. The same rows give the same result in any order. Other columns
     are not read. ``settings`` go to ``plan``.
     """
-    placed, sizes = _placed(written(_sized(docs, id_col, text_col, source_col), "sizes"), {k: k for k in ("id", "source", "size")})
+    sized = written(_sized(docs, id_col, text_col, source_col), "sizes")
+    placed, sizes = _placed(sized, {k: k for k in ("id", "source", "size")}, sized.count())
     made = plan(sizes, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +300,13 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return out.withColumnRenamed("id", id_col)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **settings) -> DataFrame:
-    """The mix itself: the columns of ``docs``, then ``mix_shard int`` and ``mix_order long``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", shard_col: str = "mix_shard", order_col: str = "mix_order", **settings) -> DataFrame:
+    """The mix itself: the columns of ``docs``, then ``shard_col`` (int) and ``order_col`` (long).
 
     A row for every piece of a document that the mix takes in a pass over its source: the whole text
     if all its words are taken together, else the text from the piece's first word to its last;
     ``length_col``, if there, is the piece's length. A document never takes more than ``most`` passes.
-    Rows without words are never taken. Shards are read in the order of ``mix_order``, which is
+    Rows without words are never taken. Shards are read in the order of ``order_col``, which is
     shuffled within each shard; ``write_shards`` stores them so. Nulls as in ``mix_sizes``.
     """
     small_batches(docs.sparkSession)
@@ -315,9 +319,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     schema = T.StructType([*docs.schema.fields, T.StructField("__cw_size", T.LongType())])
     light = _sized(docs, id_col, text_col, source_col).toDF(id_col, source_col, "__cw_size")
-    placed, sizes = _placed(docs.mapInArrow(count, schema), {"id": id_col, "source": source_col, "size": "__cw_size"}, light)
+    placed, sizes = _placed(docs.mapInArrow(count, schema), {"id": id_col, "source": source_col, "size": "__cw_size"}, docs.count(), light)
     made = plan(sizes, **settings)
-    out_schema = T.StructType([*docs.schema.fields, T.StructField("mix_shard", T.IntegerType()), T.StructField("mix_order", T.LongType())])
+    out_schema = T.StructType([*docs.schema.fields, T.StructField(shard_col, T.IntegerType()), T.StructField(order_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +344,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             columns[names.index(text_col)] = pa.array(texts, columns[names.index(text_col)].type)
             if length_col in names:
                 columns[names.index(length_col)] = pa.array(map(len, texts), columns[names.index(length_col)].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards, pa.int32()), pa.array(order, pa.int64())], names=[*names, "mix_shard", "mix_order"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(shards, pa.int32()), pa.array(order, pa.int64())], names=[*names, shard_col, order_col])
 
     return placed.select(*names, "__cw_size", "__cw_start").mapInArrow(run, out_schema)
 
