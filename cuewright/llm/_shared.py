@@ -37,3 +37,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Bound the rows, hence the text bytes, that one Arrow batch hands to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables. Results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
