@@ -34,7 +34,7 @@ LENGTH = 400
 GRAM = 128
 CROWD = 64
 BLOCK = 1 << 20
-PIECE = 1 << 23
+PIECE = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -296,13 +296,15 @@ def _spans(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     found = written(docs.mapInArrow(find, f"id {kind}, rid long, start long, run long, key long, digest long"), "segments")
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Counts are written before they are joined: both sides of the join are then plain shuffles, of which
+    # a hot key's partition can be split.
+    often = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     same = ["key", "digest", "run"]
     shared = written(found.join(often.hint("merge"), "key", "left_semi"), "shared")
     distinct = shared.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "start")).alias("one"))
     distinct = written(distinct, "distinct")
-    crowds = distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    compared = distinct.join(crowds, "key").select(*same, "one.*", (F.col("kinds") > crowd).alias("crowded"))
+    crowds = written(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "crowds")
+    compared = distinct.join(crowds.hint("merge"), "key").select(*same, "one.*", (F.col("kinds") > crowd).alias("crowded"))
 
     asked = compared.groupBy("id", "rid").agg(F.collect_list(F.struct(*same, "start", "crowded")).alias("asked"))
     asked = asked.withColumnsRenamed({"id": "a_id", "rid": "a_rid"})
