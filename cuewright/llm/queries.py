@@ -47,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.dedup(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,8 +383,9 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
     return slim.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("rid") == F.col("s_rid")), "left").select("id", "text", "spans")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col, n_bytes, n_removed, n_spans, kept_sha256, kept binary``.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, texts: bool = True) -> DataFrame:
+    """One row for each row of ``docs``: ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``,
+    ``kept binary``: the bytes that stay.
 
     Every byte covered by a ``length``-byte string that also starts anywhere else in the input, the
     same text included, is removed; overlaps count, and strings are judged on the input. Null texts
@@ -399,11 +400,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = text or b""
                 kept, removed, runs = without(text, [(s["a"], s["b"]) for s in spans or ()])
-                rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] * texts)))
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * texts
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds) + 1])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = _with_spans(docs, id_col, text_col, length, gram, crowd).mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = _with_spans(docs, id_col, text_col, length, gram, crowd).mapInArrow(finish, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
     return out.withColumnRenamed("id", id_col)
