@@ -45,8 +45,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+# A private key goes on to its END line. If none comes before the next BEGIN, its headers and lines of base64 belong to it
+# however they are broken, quoted or escaped; the last line may be short, so that the word after whole lines goes with them.
+_KEY_END = r"(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY-----"
+_KEY_GAP = r"""(?:[\s>#*|"'`,;]|\\[nrt])*+"""
+_KEY_REST = rf"(?:{_KEY_GAP}[A-Za-z][A-Za-z-]*+:\x20[^\n\\]*+)*+(?:{_KEY_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_KEY_GAP}[A-Za-z0-9+/=]++)?"
+_PEM = rf"-----BEGIN [A-Z0-9 ]{{0,30}}PRIVATE KEY-----(?:{_KEY_END}|{_KEY_REST})?"
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
