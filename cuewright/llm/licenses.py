@@ -6,7 +6,7 @@ aligned in the same way, where other words have become unique. Coverage is the s
 template's words that are aligned with equal words of the text.
 
 A text is only aligned with templates of which it holds enough distinct words to reach the coverage,
-and then within the stretches where those words stand close enough together, so the texts of a clean
+and then from every place on where those words stand close enough together, so the texts of a clean
 corpus are passed over by set intersection.
 """
 
@@ -163,45 +163,44 @@ class Matcher:
             spare = len(own) - self.coverage * len(own)
             if not own or len(self.kinds[name] - held) > spare:
                 continue
-            for low, high in self._stretches(text, own, self.kinds[name], spare):
+            done = 0
+            for low, high in self._windows(text, own, spare):
+                if low < done:
+                    continue
                 pairs = align(text[low:high], own)
                 share = len(pairs) / len(own)
                 if share >= self.coverage:
                     match = Match(name, share, low + pairs[0][0], low + pairs[-1][0] + 1)
                     if match.end - match.start <= self.stretch * len(own) + 1:
                         found.append((-len(pairs), -share, order, match))
+                    if share == 1.0 and match.end - match.start == len(own):
+                        done = match.end  # nothing that starts before its end can be better
         kept: list[Match] = []
-        for *_, match in sorted(found, key=lambda x: (*x[:3], x[3].start)):
+        for *_, match in sorted(found, key=lambda x: (*x[:3], x[3].end - x[3].start, x[3].start)):
             if all(match.end <= k.start or match.start >= k.end for k in kept):
                 kept.append(match)
         return sorted(kept, key=lambda k: k.start)
 
-    def _stretches(self, text: list[bytes], own: list[bytes], kinds: frozenset[bytes], spare: float) -> Iterator[tuple[int, int]]:
-        """Parts of the text that may hold a match, each wide enough for one; parts do not overlap."""
-        at = [i for i, w in enumerate(text) if w in kinds]
+    def _windows(self, text: list[bytes], own: list[bytes], spare: float) -> Iterator[tuple[int, int]]:
+        """Windows of the text from every place of a template's word on, but those that hold too few of the
+        template's words, counted with repeats, to reach the coverage."""
+        wanted = Counter(own)
+        at = [i for i, w in enumerate(text) if w in wanted]
         need = len(own) - int(spare)
         width = int(self.stretch * len(own)) + 1
-        i = 0
-        while i + need <= len(at):
-            if at[i + need - 1] - at[i] < width:
-                # Widen while the template's words go on without a gap in which nothing could align.
-                j = i + need - 1
-                while j + 1 < len(at) and at[j + 1] - at[j] <= len(own) and at[j + 1] - at[i] < width:
-                    j += 1
-                best = self._best_start(text, at, own, i, j)
-                yield best, min(len(text), best + width)
-                while i < len(at) and at[i] < best + len(own):
-                    i += 1
-            else:
-                i += 1
-
-    @staticmethod
-    def _best_start(text: list[bytes], at: list[int], own: list[bytes], i: int, j: int) -> int:
-        """Where the template's beginning stands among the places at[i..j], else the first of them."""
-        for x in at[i : j + 1]:
-            if text[x] == own[0] and (len(own) < 2 or text[x + 1 : x + 2] == own[1:2]):
-                return x
-        return at[i]
+        held: Counter[bytes] = Counter()
+        j = useful = 0
+        for low in at:
+            while j < len(at) and at[j] < low + width:
+                w = text[at[j]]
+                held[w] += 1
+                useful += held[w] <= wanted[w]
+                j += 1
+            if useful >= need:
+                yield low, min(len(text), low + width)
+            w = text[low]
+            useful -= held[w] <= wanted[w]
+            held[w] -= 1
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

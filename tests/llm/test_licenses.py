@@ -42,3 +42,32 @@ def test_operator(spark):
     assert rows[0][1].encode()[int(a) : int(b)].decode() == mit.rstrip(".")
     assert by[2]["license"] == "MIT-statement" and [by[k]["n_licenses"] for k in (3, None, 4)] == [0, 0, 0]
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def best_of_all_starts(matcher, name, text):
+    own = matcher.templates[name]
+    width = int(matcher.stretch * len(own)) + 1
+    return max(len(L.align(text[i : i + width], own)) for i in range(len(text))) / len(own)
+
+
+def test_no_start_is_passed_over():
+    rng = random.Random(6)
+    matcher = L.Matcher()
+    name = "GPL-3.0-notice"
+    notice = L.TEMPLATES[name]
+    changed = notice.replace("This program is free software:", "Foo is free software:")
+    header = "This program reads a table and writes it " + " ".join(rng.choice("of the and to a with it for file".split()) for _ in range(64))
+    texts = [changed, f"some words {changed} some words", notice + " " + changed]
+    for n in (0, 20, 45, 64):
+        texts += [" ".join(header.split()[: 8 + n]) + " " + notice, " ".join(header.split()[: 8 + n]) + " " + changed]
+    own = notice.split()
+    for _ in range(10):
+        edited = [w if rng.random() > 0.1 else "edited" for w in own]
+        texts.append(" ".join([*own[: rng.randrange(60)], *edited, *own[rng.randrange(60) :][:20]]))
+    for t in texts:
+        text = L.words(t.encode())
+        best = best_of_all_starts(matcher, name, text)
+        found = [m for m in matcher.scan(text) if m.name == name]
+        assert best < matcher.coverage or max((m.coverage for m in found), default=0) == best, t
+    found = matcher.scan(L.words(changed.encode()))
+    assert [m.name for m in found] == [name] and found[0].coverage == 94 / 96
