@@ -26,6 +26,7 @@ from cuewright.llm._shared import small_batches
 
 COVERAGE = 0.8
 STRETCH = 1.5
+SHORT = 20  # templates of fewer words must align whole
 
 # Public license texts, notices and statements.
 TEMPLATES = {
@@ -51,7 +52,22 @@ this list of conditions and the following disclaimer in the documentation and/or
 distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
 COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
-IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
@@ -62,6 +78,29 @@ General Public License as published by the Free Software Foundation, either vers
 any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
 the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details. You should have received a copy of the GNU General Public License along with this program.""",
+    "GPL-2.0-notice": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details. You should have received a copy of the GNU General Public License along with this program; if not, write to
+the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-2.1-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
+even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public
+License for more details. You should have received a copy of the GNU Lesser General Public License along with this
+library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301
+USA.""",
+    "LGPL-3.0-notice": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License
+for more details. You should have received a copy of the GNU Lesser General Public License along with this library.""",
+    "AGPL-3.0-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License
+for more details. You should have received a copy of the GNU Affero General Public License along with this program.""",
     "MPL-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
@@ -75,13 +114,30 @@ software. 3. This notice may not be removed or altered from any source distribut
     "Apache-2.0-statement": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-statement": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-statement": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-statement": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0-statement": "This work is licensed under the GNU Affero General Public License, version 3.",
     "BSD-statement": "Released under the BSD License.",
     "CC-BY-4.0-statement": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-statement": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0-statement": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-statement": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-statement": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-statement": "Released under CC0 1.0.",
 }
 
+# Where a statement names its license: from this word of the template on no other word may stand in between.
+NAMED_FROM = {
+    "MIT-statement": b"mit", "MIT-statement-2": b"mit", "Apache-2.0-statement": b"apache", "GPL-3.0-statement": b"gnu", "GPL-2.0-statement": b"gnu",
+    "LGPL-3.0-statement": b"gnu", "LGPL-2.1-statement": b"gnu", "AGPL-3.0-statement": b"gnu", "BSD-statement": b"bsd", "CC-BY-4.0-statement": b"cc",
+    "CC-BY-SA-4.0-statement": b"cc", "CC-BY-NC-4.0-statement": b"cc", "CC-BY-ND-4.0-statement": b"cc", "CC-BY-NC-SA-4.0-statement": b"cc",
+    "CC-BY-NC-ND-4.0-statement": b"cc", "CC0-statement": b"cc0",
+}
+
+# Words without which a notice is another license's.
+NAMING = {"Apache-2.0-notice": (b"apache",), "MPL-2.0-notice": (b"mozilla",), "GPL-3.0-notice": (b"3",), "GPL-2.0-notice": (b"2",), "LGPL-2.1-notice": (b"lesser", b"2", b"1"), "LGPL-3.0-notice": (b"lesser", b"3"), "AGPL-3.0-notice": (b"affero", b"3")}
+
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -152,15 +208,19 @@ class Matcher:
         self.coverage, self.stretch = coverage, stretch
         self.templates = {name: words(t.encode()) for name, t in (TEMPLATES if templates is None else templates).items()}
         self.kinds = {name: frozenset(t) for name, t in self.templates.items()}
+        self.least = {name: max(coverage, 1.0) if len(t) < SHORT else coverage for name, t in self.templates.items()}
+        self.named = {name: t.index(NAMED_FROM[name]) for name, t in self.templates.items() if NAMED_FROM.get(name) in t}
+        self.naming = {name: frozenset(NAMING.get(name, ())) & kinds for name, kinds in self.kinds.items()}
         self.all = frozenset().union(*self.kinds.values())
 
     def scan(self, text: list[bytes]) -> list[Match]:
-        """All matches that reach the coverage, by start; where matches overlap the one with more aligned
-        words stays, then the one of greater coverage, then the earlier in the templates' order."""
+        """All matches that reach the coverage, by start; where matches overlap the one stays whose aligned
+        words exceed its missing ones by most, then the one of greater coverage, then the earlier in the templates' order."""
         held = self.all & set(text)
         found: list[tuple[int, float, int, Match]] = []
         for order, (name, own) in enumerate(self.templates.items()):
-            spare = len(own) - self.coverage * len(own)
+            least, named = self.least[name], self.named.get(name)
+            spare = len(own) - least * len(own)
             if not own or len(self.kinds[name] - held) > spare:
                 continue
             done = 0
@@ -169,10 +229,10 @@ class Matcher:
                     continue
                 pairs = align(text[low:high], own)
                 share = len(pairs) / len(own)
-                if share >= self.coverage:
+                if share >= least and (named is None or pairs[-1][0] - pairs[named][0] == len(own) - 1 - named) and self.naming[name] <= {own[y] for _, y in pairs}:
                     match = Match(name, share, low + pairs[0][0], low + pairs[-1][0] + 1)
                     if match.end - match.start <= self.stretch * len(own) + 1:
-                        found.append((-len(pairs), -share, order, match))
+                        found.append((len(own) - 2 * len(pairs), -share, order, match))
                     if share == 1.0 and match.end - match.start == len(own):
                         done = match.end  # nothing that starts before its end can be better
         kept: list[Match] = []

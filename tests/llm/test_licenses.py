@@ -71,3 +71,23 @@ def test_no_start_is_passed_over():
         assert best < matcher.coverage or max((m.coverage for m in found), default=0) == best, t
     found = matcher.scan(L.words(changed.encode()))
     assert [m.name for m in found] == [name] and found[0].coverage == 94 / 96
+
+
+def test_a_statement_must_name_its_license():
+    matcher = L.Matcher()
+    names = lambda t: [m.name for m in matcher.scan(L.words(t.encode()))]
+    for text in ["Released under the Apache License.", "Licensed under the BSD License.", "it was released under the license of the city", "Licensed under CC BY-XY 4.0.", "This work is licensed under the GNU General Public License, version 1."]:
+        assert names(text) == [], text
+    assert names("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0-statement"]
+    assert names("Released under the permissive MIT License.") == ["MIT-statement"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0-statement"]
+
+
+def test_relatives_are_told_apart():
+    matcher = L.Matcher()
+    for name, template in L.TEMPLATES.items():
+        found = matcher.scan(L.words(template.encode()))
+        assert [(m.name, m.coverage) for m in found] == [(name, 1.0)]
+    bsd = L.TEMPLATES["BSD-3-Clause"]
+    assert bsd.endswith("SUCH DAMAGE.") and len(bsd.split()) > 200
+    assert matcher.scan(L.words(bsd[: len(bsd) // 2].encode())) == []
