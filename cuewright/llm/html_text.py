@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewright.llm._shared import small_batches
+from cuewright.llm._shared import small_batches, written
 
 MIN_SEEN = 20
 MOST_FEATURES = 50_000
@@ -201,9 +201,9 @@ def learnt(seen: dict[tuple[str, bool], int]) -> Weights:
     return Weights(costs, frozenset(holes))
 
 
-def train(pages: DataFrame, html_col: str = "html", most_features: int = MOST_FEATURES) -> Weights:
-    """Weights from all labelled pages. Counts are summed in each task before they move; at most
-    ``most_features`` features, the most frequent, come to the driver. No labelled page: no costs learnt."""
+def _totals(pages: DataFrame, html_col: str) -> DataFrame:
+    """``(feature, i, o)``: the counts inside and outside of all features seen often enough on labelled
+    pages. Counts are summed in each task before they move."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +225,67 @@ def train(pages: DataFrame, html_col: str = "html", most_features: int = MOST_FE
 
     counts = pages.select(F.col(html_col).cast("binary")).mapInArrow(run, "feature string, inside boolean, n long")
     total = counts.groupBy("feature").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
-    rows = total.where(f"i + o >= {MIN_SEEN}").orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(most_features).collect()
+    return total.where(f"i + o >= {MIN_SEEN}")
+
+
+def _learnt_rows(rows: list) -> Weights:
     return learnt({(r["feature"], inside): r[c] for r in rows for inside, c in ((True, "i"), (False, "o"))})
 
 
+def train(pages: DataFrame, html_col: str = "html") -> Weights:
+    """Weights of all features from all labelled pages, on the driver. No labelled page: no costs learnt."""
+    return _learnt_rows(_totals(pages, html_col).collect())
+
+
+def _split(pages: DataFrame, html_col: str, most_features: int) -> tuple[Weights, DataFrame | None, frozenset[str]]:
+    """Weights of the ``most_features`` most frequent features, those of all others as ``(feature, cost, hole)``
+    if there are any, and in that case the names of the former."""
+    total = written(_totals(pages, html_col), "features")
+    rows = total.orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(most_features + 1).collect()
+    weights = _learnt_rows(rows[:most_features])
+    if len(rows) <= most_features:
+        return weights, None, frozenset()
+    last = rows[most_features]
+    n = last["i"] + last["o"]
+    rest = total.where((F.col("i") + F.col("o") < n) | ((F.col("i") + F.col("o") == n) & (F.col("feature") >= last["feature"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _learnt_rows(batch.to_pylist())
+            # What costs no more than an unseen feature need not be looked up.
+            found = [(f, c, False) for f, c in own.costs.items() if c != UNSEEN] + [(f, None, True) for f in own.holes]
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.float64(), pa.bool_()), strict=True)], names=["feature", "cost", "hole"])
+
+    return weights, written(rest.select("feature", "i", "o").mapInArrow(run, "feature string, cost double, hole boolean"), "rare"), frozenset(r["feature"] for r in rows[:most_features])
+
+
+def _rare(slim: DataFrame, known: frozenset[str], rest: DataFrame) -> DataFrame:
+    """``slim(id, url, html, ka, kb)`` with ``rare``, the weights in ``rest`` of the page's own features;
+    frequent features, which are ``known``, are not looked up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ka, kb, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = {f for kind, name, words in tokens((page or b"").decode("utf-8", "replace")) if kind != "t" for f in features(name, words)}
+                rows += [(ka, kb, f) for f in sorted(own) if f not in known or ("." in f and f + " words" not in known)]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["ka", "kb", "feature"])
+
+    asked = slim.select("ka", "kb", "html").mapInArrow(run, "ka long, kb int, feature string")
+    met = asked.join(rest.hint("merge"), "feature").groupBy("ka", "kb").agg(F.collect_set(F.struct("feature", "cost", "hole")).alias("rare"))
+    return slim.join(met.hint("merge"), ["ka", "kb"], "left").select("id", "url", "html", "rare")
+
+
+def _with(weights: Weights, rare: list | None) -> Weights:
+    """``weights`` and those of the page's rare features."""
+    if not rare:
+        return weights
+    costs = ChainMap({r["feature"]: r["cost"] for r in rare if not r["hole"]}, weights.costs)
+    return Weights(costs, weights.holes | {r["feature"] for r in rare if r["hole"]})
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """The half-open range of the greatest sum, the first of equals; (0, 0) if no score is positive."""
     best, at, sum_, start = 0.0, (0, 0), 0.0, 0
@@ -280,20 +337,26 @@ def main_text(page: str, weights: Weights) -> str:
     return "\n".join(x for x in (" ".join("".join(run).split()) for run in blocks) if x)
 
 
-def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(
+    pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_features: int = MOST_FEATURES
+) -> DataFrame:
     """``id_col, url_col, text, n_chars`` for every row of ``pages``, repeated rows and null ids included.
 
-    Null and empty pages give an empty text. ``weights`` are learnt from ``pages`` if not given. Other
-    columns are not read.
+    Null and empty pages give an empty text. ``weights`` are learnt from ``pages`` if not given: those of
+    the ``most_features`` most frequent features go to all tasks, those of all others are joined to
+    the pages that have them, so the texts do not depend on the number. Other columns are not read.
     """
     small_batches(pages.sparkSession)
-    weights = train(pages, html_col) if weights is None else weights
+    weights, rest, known = _split(pages, html_col, most_features) if weights is None else (weights, None, frozenset())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text((p or b"").decode("utf-8", "replace"), weights) for p in batch.column(2).to_pylist()]
+            rare = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows
+            texts = [main_text((p or b"").decode("utf-8", "replace"), _with(weights, r)) for p, r in zip(batch.column(2).to_pylist(), rare, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html"))
+    if rest is not None:
+        slim = _rare(slim.withColumns({"ka": F.xxhash64("html"), "kb": F.hash("html")}), known, rest)
     return slim.mapInArrow(run, f"id {kinds[0]}, url {kinds[1]}, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})

@@ -69,3 +69,20 @@ def test_operator(spark):
     assert {r["text"] for r in got if r["page_id"] == 1} == {f"Title 1 & more\n{TEXT}"}
     assert {r["text"] for r in got if r["page_id"] in (None, 77)} == {""}
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_rare_features_count_as_frequent_ones_do(spark):
+    # Every site has a class of its own whose words stand outside the content only.
+    rows = []
+    for site in range(12):
+        for k in range(25):
+            extra = f"<div class='zq{site}x'>{'menu words of this site ' * 30}</div>"
+            rows.append((len(rows), f"s{site}", page(BODY, k=k).replace("<aside>", extra + "<aside>")))
+        rows.append((len(rows), f"s{site}", page(BODY, article=False).replace("<aside>", extra + "<aside>")))
+    rows += [(None, None, None), rows[0], rows[-1]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(str, H.extract(df).collect()))
+    assert len(whole) == len(rows) and not any("menu words" in r for r in whole)
+    for few in (0, 1, 8, 20):
+        assert sorted(map(str, H.extract(df, most_features=few).collect())) == whole
+    assert H._split(df, "html", 8)[1].count() > 0
