@@ -49,6 +49,12 @@ def join_transcripts(files: DataFrame, transcripts: DataFrame) -> DataFrame:
     return out.withColumn("text", F.coalesce("__t1", "__t2")).where("text is not null").select(*files.columns, "text")
 
 
+def labelled_text(rows: DataFrame, first: str = "transcription", second: str = "raw_transcription") -> DataFrame:
+    """``rows`` with ``text``: the first of the two that is there and not empty, trimmed; rows without go."""
+    chosen = F.coalesce(F.nullif(F.col(first), F.lit("")), F.col(second))
+    return rows.withColumn("text", X.utrim(chosen)).where("text <> ''")
+
+
 def within_duration(rows: DataFrame, most: float, least: float | None = 1.0, secs_col: str = "secs") -> DataFrame:
     """Inclusive bounds; without ``least`` there is no lower one."""
     out = rows.where(F.col(secs_col) <= most)

@@ -89,6 +89,19 @@ def pcm_samples(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "source_id string, samples array<float>")
 
 
+def channel_mean(rows: DataFrame) -> DataFrame:
+    """``source_id, samples`` of ``rows(source_id, samples array<float>, channels int)``: interleaved samples as
+    their mean over the channels. An incomplete frame at the end goes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = zip(batch["samples"], batch["channels"], strict=True)
+            mono = [np.asarray(s[: len(s) // n * n], dtype="<f4").reshape(-1, n).mean(axis=1) for s, n in pairs]
+            yield pd.DataFrame({"source_id": batch["source_id"], "samples": mono})
+
+    return rows.select("source_id", "samples", "channels").mapInPandas(run, "source_id string, samples array<float>")
+
+
 def read_pcm(spark: SparkSession, path: str) -> DataFrame:
     return pcm_samples(spark.read.format("binaryFile").load(path))
 

@@ -26,6 +26,13 @@ def test_transcripts_and_duration(spark):
     assert corpus.within_duration(files, 9.0).count() == 2 and corpus.within_duration(files, 9.0, None).count() == 3
 
 
+def test_labelled_text_and_channel_mean(spark):
+    rows = spark.createDataFrame([(1, " a\u3000", "raw"), (2, None, "\traw "), (3, "", "raw"), (4, " ", "raw"), (5, None, None), (6, "", "")], "i int, transcription string, raw_transcription string")
+    assert {r["i"]: r["text"] for r in corpus.labelled_text(rows).collect()} == {1: "a", 2: "raw", 3: "raw"}
+    files = spark.createDataFrame([("mono", [0.5, -1.0], 1), ("two", [1.0, 0.0, 0.5, 0.25, 9.0], 2), ("none", [], 2)], "source_id string, samples array<float>, channels int")
+    assert {r["source_id"]: r["samples"] for r in sources.channel_mean(files).collect()} == {"mono": [0.5, -1.0], "two": [0.5, 0.375], "none": []}
+
+
 def test_records_and_silence(spark):
     rows = corpus.position(spark.range(50).select((F.col("id") * 7).alias("row_id"), F.lit("t").alias("text"), F.when(F.col("id") != 49, "z").alias("target"), F.lit("f").alias("audio")), ["row_id"])
     assert sorted(r["position"] for r in rows.collect()) == list(range(50))
