@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
@@ -47,7 +48,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(_table(spark, sf_dir, "documents"), texts=False)
+    found = suffixes.dedup(_table(spark, sf_dir, "documents"))
+    # A cut may fall inside a character: such bytes show as U+FFFD in the text, while the digest is of the bytes.
+    return found.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

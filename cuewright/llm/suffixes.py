@@ -6,13 +6,14 @@ of equals. Equal windows have equal anchors, so windows that follow each other u
 a segment, and only segments of one anchor need comparing:
 
 * an anchor that occurs once is dropped, which leaves little of a clean corpus;
-* byte-identical segments of one anchor are counted before any byte moves; all their windows repeat;
+* byte-identical segments of one anchor are counted before any byte moves; all their windows repeat.
+  Segments count as identical if anchor, length and a 128-bit hash of their bytes are the same;
 * the distinct segments of one anchor are laid end to end (many anchors a block) and suffix sorted
   in two stages: suffixes smaller than their successors are sorted directly, all others are induced
   from them by scanning the buckets of first bytes in order. Neighbours in that order that share
   ``length`` bytes are repeats;
 * an anchor with more than ``crowd`` distinct segments, such as the edge of a passage that very many
-  texts quote, is not laid into one block: its windows are counted by a 128-bit hash instead,
+  texts quote, would fill more than one block. Its windows are counted by a 128-bit hash instead,
   which spreads over the cluster and sums before it moves.
 
 Only windows that start a suffix are sorted; order beyond ``length`` bytes is not needed.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from cuewright.llm._shared import small_batches, written
 
 LENGTH = 400
 GRAM = 128
-CROWD = 64
+CROWD = 512
 BLOCK = 1 << 20
 PIECE = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
@@ -56,9 +58,6 @@ class _Roller:
         np.cumsum(self.table[data] * self.down[: n - 1], dtype=np.uint64, out=out[1:])
         return out
 
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((sums[end] - sums[start]) * self.up[start])
-
     def all(self, sums: np.ndarray, length: int) -> np.ndarray:
         return _mixed((sums[length:] - sums[:-length]) * self.up[: len(sums) - length])
 
@@ -92,8 +91,9 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Arrays (text, start, run, key, digest): ``run`` windows of ``length`` bytes from ``start``."""
-    lists: list[list[np.ndarray]] = [[] for _ in range(5)]
+    """Arrays (text, start, run, key, digest, more): ``run`` windows of ``length`` bytes from ``start``; the last
+    two are a 128-bit hash of the segment's bytes."""
+    lists: list[list[np.ndarray]] = [[] for _ in range(6)]
     block: list[tuple[int, int, bytes]] = []
     held = 0
 
@@ -120,7 +120,8 @@ def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tupl
 
 
 def _block_segments(block: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    data = np.frombuffer(b"".join(b for _, _, b in block), dtype=np.uint8)
+    joined = b"".join(b for _, _, b in block)
+    data = np.frombuffer(joined, dtype=np.uint8)
     sizes = np.array([len(b) for _, _, b in block], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     first = _roller(1)
@@ -141,12 +142,12 @@ def _block_segments(block: list[tuple[int, int, bytes]], length: int, gram: int)
     stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1
     run = stop - begin
     own = np.searchsorted(starts, begin, side="right") - 1
-    second = _roller(2)
-    digest = second.of(second.sums(data), begin, stop + length - 1)
+    digests = b"".join(xxhash.xxh3_128_digest(joined[a : b + length - 1]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True))
+    digest = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
     key = grams[(least[begin] & _POSITION).astype(np.int64)]
     number = np.array([n for n, _, _ in block], dtype=np.int64)
     offset = np.array([o for _, o, _ in block], dtype=np.int64)
-    return number[own], begin - starts[own] + offset[own], run, key.view(np.int64), digest.view(np.int64)
+    return number[own], begin - starts[own] + offset[own], run, key.view(np.int64), digest[:, 0], digest[:, 1]
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -271,14 +272,16 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-_MARKS = "key long, digest long, run long, marks array<struct<a:long,b:long>>"
+SAME = ["key", "digest", "more", "run"]  # what identical segments share
+_SAME_TYPES = ", ".join(f"{c} long" for c in SAME)
+_MARKS = f"{_SAME_TYPES}, marks array<struct<a:long,b:long>>"
 _MARK_TYPE = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _marks_batch(rows: list[tuple[int, int, int]], marks: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+def _marks_batch(rows: list[tuple[int, ...]], marks: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(SAME))]
     values = pa.array([[{"a": a, "b": b} for a, b in m] for m in marks], _MARK_TYPE)
-    return pa.RecordBatch.from_arrays([*columns, values], names=["key", "digest", "run", "marks"])
+    return pa.RecordBatch.from_arrays([*columns, values], names=[*SAME, "marks"])
 
 
 def _spans(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
@@ -291,73 +294,76 @@ def _spans(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
         for batch in batches:
             text, *found = segments([t or b"" for t in batch.column(2).to_pylist()], length, gram)
             at = pa.array(text, pa.int64())
-            names = ["id", "rid", "start", "run", "key", "digest"]
+            names = ["id", "rid", "start", "run", "key", "digest", "more"]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in found)], names=names)
 
     kind = docs.schema["id"].dataType.simpleString()
-    found = written(docs.mapInArrow(find, f"id {kind}, rid long, start long, run long, key long, digest long"), "segments")
+    found = written(docs.mapInArrow(find, f"id {kind}, rid long, start long, run long, key long, digest long, more long"), "segments")
     # Counts are written before they are joined: both sides of the join are then plain shuffles, of which
     # a hot key's partition can be split.
     often = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
-    same = ["key", "digest", "run"]
     shared = written(found.join(often.hint("merge"), "key", "left_semi"), "shared")
-    distinct = shared.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "start")).alias("one"))
+    distinct = shared.groupBy(*SAME).agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "start")).alias("one"))
     distinct = written(distinct, "distinct")
     crowds = written(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "crowds")
-    compared = distinct.join(crowds.hint("merge"), "key").select(*same, "one.*", (F.col("kinds") > crowd).alias("crowded"))
+    compared = distinct.join(crowds.hint("merge"), "key").select(*SAME, "one.*", (F.col("kinds") > crowd).alias("crowded"))
 
-    asked = compared.groupBy("id", "rid").agg(F.collect_list(F.struct(*same, "start", "crowded")).alias("asked"))
+    asked = compared.groupBy("id", "rid").agg(F.collect_list(F.struct(*SAME, "start", "crowded")).alias("asked"))
     asked = asked.withColumnsRenamed({"id": "a_id", "rid": "a_rid"})
     # One row for each asking id and text: of repeated rows any one serves.
     texts = docs.join(asked, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("rid") == F.col("a_rid"))).select("text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*same, "crowded", "bytes"]
+        names = [*SAME, "crowded", "bytes"]
         for batch in batches:
             rows = []
             for text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(w["key"], w["digest"], w["run"], w["crowded"], text[w["start"] : w["start"] + w["run"] + length - 1]) for w in wants]
-            kinds = [pa.int64()] * 3 + [pa.bool_(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                rows += [(*(w[c] for c in SAME), w["crowded"], text[w["start"] : w["start"] + w["run"] + length - 1]) for w in wants]
+            kinds = [pa.int64()] * len(SAME) + [pa.bool_(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    pieces = written(texts.mapInArrow(cut, "key long, digest long, run long, crowded boolean, bytes binary"), "pieces")
+    pieces = written(texts.mapInArrow(cut, f"{_SAME_TYPES}, crowded boolean, bytes binary"), "pieces")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, int], bytes] = {}
+        held: dict[tuple[int, ...], bytes] = {}
         size = 0
         last = None
         for batch in batches:
-            for key, digest, run, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if size >= BLOCK and key != last:
-                    yield _marks_batch(list(held), repeated_windows(list(held.values()), [r for _, _, r in held], length))
+            for *own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                segment = tuple(own)
+                if size >= BLOCK and segment[0] != last:
+                    yield marked(held)
                     held, size = {}, 0
-                last = key
-                if (key, digest, run) not in held:  # repeated rows bring a segment twice
-                    held[key, digest, run] = raw
+                last = segment[0]
+                if segment not in held:  # repeated rows bring a segment twice
+                    held[segment] = raw
                     size += len(raw)
         if held:
-            yield _marks_batch(list(held), repeated_windows(list(held.values()), [r for _, _, r in held], length))
+            yield marked(held)
+
+    def marked(held: dict[tuple[int, ...], bytes]) -> pa.RecordBatch:
+        return _marks_batch(list(held), repeated_windows(list(held.values()), [r for *_, r in held], length))
 
-    calm = pieces.where("not crowded").select(*same, "bytes").repartition("key").sortWithinPartitions("key")
+    calm = pieces.where("not crowded").select(*SAME, "bytes").repartition("key").sortWithinPartitions("key")
     sorted_marks = calm.mapInArrow(compare, _MARKS)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, digest, run, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for *own, run, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(raw, dtype=np.uint8)
                 ends = [_roller(s).all(_roller(s).sums(data), length).view(np.int64) for s in (3, 4)]
-                columns = [pa.array(np.full(run, x), pa.int64()) for x in (key, digest, run)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(run), pa.int64()), *(pa.array(e, pa.int64()) for e in ends)], names=[*same, "at", "h", "g"])
+                columns = [pa.array(np.full(run, x), pa.int64()) for x in (*own, run)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(run), pa.int64()), *(pa.array(e, pa.int64()) for e in ends)], names=[*SAME, "at", "h", "g"])
 
-    windows = pieces.where("crowded").select(*same, "bytes").dropDuplicates(same).mapInArrow(hashed, "key long, digest long, run long, at long, h long, g long")
+    windows = pieces.where("crowded").select(*SAME, "bytes").dropDuplicates(SAME).mapInArrow(hashed, f"{_SAME_TYPES}, at long, h long, g long")
     repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    crowd_marks = windows.join(repeated, ["h", "g"], "left_semi").groupBy(*same).agg(F.array_sort(F.collect_list("at")).alias("at"))
-    crowd_marks = crowd_marks.select(*same, F.transform("at", lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("marks"))
+    crowd_marks = windows.join(repeated, ["h", "g"], "left_semi").groupBy(*SAME).agg(F.array_sort(F.collect_list("at")).alias("at"))
+    crowd_marks = crowd_marks.select(*SAME, F.transform("at", lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("marks"))
 
-    copies = distinct.where("n > 1").select(*same, F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("run").alias("b"))).alias("marks"))
+    copies = distinct.where("n > 1").select(*SAME, F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("run").alias("b"))).alias("marks"))
     marks = written(sorted_marks.unionByName(crowd_marks).where("size(marks) > 0").unionByName(copies), "marks")
-    own = shared.join(marks, same).select("id", "rid", "start", F.explode("marks").alias("m"))
+    own = shared.join(marks, SAME).select("id", "rid", "start", F.explode("marks").alias("m"))
     own = own.select("id", "rid", F.struct((F.col("start") + F.col("m.a")).alias("a"), (F.col("start") + F.col("m.b") + (length - 1)).alias("b")).alias("span"))
     return own.groupBy("id", "rid").agg(F.collect_list("span").alias("spans"))
 
@@ -385,7 +391,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str, length: int, gram:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, texts: bool = True) -> DataFrame:
     """One row for each row of ``docs``: ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``,
-    ``kept binary``: the bytes that stay.
+    ``kept binary``: the bytes that stay. A text may be of any length: it is searched in overlapping pieces.
 
     Every byte covered by a ``length``-byte string that also starts anywhere else in the input, the
     same text included, is removed; overlaps count, and strings are judged on the input. Null texts

@@ -72,6 +72,6 @@ def test_order_and_prefixes():
 def test_long_texts_are_cut_into_pieces(monkeypatch):
     monkeypatch.setattr(S, "PIECE", 64)
     text = bytes(random.Random(4).choice(b"abcd") for _ in range(500))
-    _, start, run, _, _ = S.segments([text], 20, 8)
+    _, start, run, *_ = S.segments([text], 20, 8)
     covered = sorted(w for a, r in zip(start.tolist(), run.tolist(), strict=True) for w in range(a, a + r))
     assert covered == list(range(481))
