@@ -3,11 +3,13 @@
 Arrivals are appended as small immutable Parquet shards. Compaction looks at sizes only: shards of a
 similar size, that is of one tier (sizes within a factor of ``FAN``), are merged once there are enough of
 them, into runs that fill a target-sized file. A merge is one task that reads its inputs and writes
-one file; nothing is shuffled. What exists is what the newest manifest lists: a manifest is written
-beside the others under a name of its own and renamed to the next version without overwriting, so a
-reader sees the old version or the new one, and of two writers one fails and may retry.
+one file; nothing is shuffled, and a job holds many merges. What exists is what the newest manifest lists:
+a manifest is written beside the others under a name of its own and renamed to the next version without
+overwriting, so a reader sees the old version or the new one, and of two writers one fails and may retry.
 
-The driver handles a row for each shard, never rows of data.
+A manifest names its parts, files that list up to ``PART_SHARDS`` shards each; a version writes only the
+parts that it changes. The driver handles a row for each shard, never rows of data; ``ARRIVAL_ROWS`` and
+``TARGET`` set how many shards a table has.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ ARRIVAL_ROWS = 4096
 FAN = 4
 FLOOR = 64 << 10
 MERGES_PER_JOB = 64
+JOBS_AT_ONCE = 4
+PART_SHARDS = 10_000
 
 
 @dataclass(frozen=True)
@@ -84,31 +90,45 @@ class Store:
     def versions(self) -> list[int]:
         return sorted(int(n[1:-5]) for n in self._listing("manifests") if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The given or newest manifest; an empty one at version 0 if there is none."""
-        known = self.versions()
-        if version is None and not known:
-            return {"version": 0, "schema": None, "shards": []}
-        name = f"{self.root}/manifests/v{known[-1] if version is None else version:08d}.json"
-        stream = self._fs.open(self._path(name))
+    def _load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.root}/manifests/{name}"))
         try:
-            found = json.loads(bytes(stream.readAllBytes()))
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return found | {"shards": [Shard(**s) for s in found["shards"]]}
 
-    def commit(self, before: dict, schema: str, shards: list[Shard]) -> int:
-        """Make ``shards`` the table; fails if another version came after ``before``."""
-        version = before["version"] + 1
-        temp = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        stream = self._fs.create(temp, False)
-        body = {"version": version, "schema": schema, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]}
+    def _store(self, name: str, body: dict) -> None:
+        stream = self._fs.create(self._path(f"{self.root}/manifests/{name}"), False)
         stream.write(json.dumps(body).encode())
         stream.close()
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The given or newest manifest; an empty one at version 0 if there is none. ``parts`` are the names of
+        its parts with the shards that each lists, ``shards`` all of them."""
+        known = self.versions()
+        if version is None and not known:
+            return {"version": 0, "schema": None, "parts": {}, "shards": []}
+        found = self._load(f"v{known[-1] if version is None else version:08d}.json")
+        parts = {name: [Shard(**s) for s in self._load(name)["shards"]] for name in found["parts"]}
+        return found | {"parts": parts, "shards": [s for own in parts.values() for s in own]}
+
+    def commit(self, before: dict, schema: str, shards: list[Shard]) -> int:
+        """Make ``shards`` the table; fails if another version came after ``before``. Parts whose shards all
+        stay are kept, all other shards go to new parts."""
+        version = before["version"] + 1
+        now = set(shards)
+        kept = {name: own for name, own in before["parts"].items() if now.issuperset(own)}
+        rest = sorted(now.difference(*kept.values()), key=lambda s: s.path)
+        names = list(kept)
+        for at in range(0, len(rest), PART_SHARDS):
+            names.append(f"part-{uuid.uuid4().hex}.json")
+            self._store(names[-1], {"shards": [asdict(s) for s in rest[at : at + PART_SHARDS]]})
+        temp = f".{uuid.uuid4().hex}"
+        self._store(temp, {"version": version, "schema": schema, "parts": names})
         rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         no_overwrite = self.spark.sparkContext._gateway.new_array(rename, 1)
         no_overwrite[0] = rename.NONE
-        self._context.rename(temp, self._path(f"{self.root}/manifests/v{version:08d}.json"), no_overwrite)
+        self._context.rename(self._path(f"{self.root}/manifests/{temp}"), self._path(f"{self.root}/manifests/v{version:08d}.json"), no_overwrite)
         return version
 
     def _shards(self, folder: str, schema: T.StructType) -> list[Shard]:
@@ -128,37 +148,46 @@ class Store:
         schema = before["schema"] or df.schema.json()
         return self.commit(before, schema, [*before["shards"], *self._shards(folder, df.schema)])
 
+    def _merged(self, groups: list[list[Shard]], schema: T.StructType) -> list[Shard]:
+        """One file for each of ``groups``, by one job with a task for each.
+
+        A union whose parts are single partitions would itself become a single partition. That is turned
+        off in a session of its own, so that the caller's settings stay as they are.
+        """
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.unionOutputPartitioning", "false")
+        folder = f"merged-{uuid.uuid4().hex}"
+        parts = [session.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in g)).coalesce(1) for g in groups]
+        reduce(DataFrame.unionAll, parts).write.parquet(f"{self.root}/{folder}")
+        made = self._shards(folder, schema)
+        if len(made) != len(groups) or sum(s.rows for s in made) != sum(s.rows for g in groups for s in g):
+            raise RuntimeError("a merge lost or repeated rows; the version before stays")
+        return made
+
     def compact(self, target: int = TARGET, fan: int = FAN) -> int:
-        """Merge until no tier holds ``fan`` shards that can be merged; every round is one commit."""
+        """Merge until no tier holds ``fan`` shards that can be merged; every round is one commit. Several
+        jobs run at once."""
         while True:
             before = self.manifest()
             merges = plan_merges(before["shards"], target, fan)
             if not merges:
                 return before["version"]
             schema = T.StructType.fromJson(json.loads(before["schema"]))
-            made: list[Shard] = []
-            for at in range(0, len(merges), MERGES_PER_JOB):
-                folder = f"merged-{uuid.uuid4().hex}"
-                parts = [self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in g)).coalesce(1) for g in merges[at : at + MERGES_PER_JOB]]
-                whole = parts[0]
-                for part in parts[1:]:
-                    whole = whole.unionAll(part)
-                whole.write.parquet(f"{self.root}/{folder}")
-                made += self._shards(folder, schema)
+            jobs = [merges[at : at + MERGES_PER_JOB] for at in range(0, len(merges), MERGES_PER_JOB)]
+            with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+                made = [s for found in pool.map(lambda groups: self._merged(groups, schema), jobs) for s in found]
             gone = {s.path for g in merges for s in g}
-            if sum(s.rows for g in merges for s in g) != sum(s.rows for s in made):
-                raise RuntimeError("a merge lost or repeated rows; the version before stays")
             self.commit(before, before["schema"], [*(s for s in before["shards"] if s.path not in gone), *made])
 
     def expire(self, keep: int = 1) -> None:
-        """Delete all but the newest ``keep`` manifests and the shards that only those list."""
+        """Delete all but the newest ``keep`` manifests, and the parts and shards that only those list."""
         known = self.versions()
-        listed = {s.path for v in known[-keep:] for s in self.manifest(v)["shards"]}
-        for v in known[:-keep]:
-            for s in self.manifest(v)["shards"]:
-                if s.path not in listed:
-                    self._fs.delete(self._path(f"{self.root}/{s.path}"), False)
-            self._fs.delete(self._path(f"{self.root}/manifests/v{v:08d}.json"), False)
+        files = lambda m: {*(f"manifests/{n}" for n in m["parts"]), *(s.path for s in m["shards"])}
+        listed = set().union(*(files(self.manifest(v)) for v in known[-keep:]))
+        gone = set().union(*(files(self.manifest(v)) for v in known[:-keep])) - listed
+        # Manifests go first: a version that is listed always has its files.
+        for path in [*(f"manifests/v{v:08d}.json" for v in known[:-keep]), *sorted(gone)]:
+            self._fs.delete(self._path(f"{self.root}/{path}"), False)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version, the newest by default, with ``_metadata`` to tell its shards."""
@@ -174,7 +203,8 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row lies: ``id_col, shard, tier, shard_rows, n_bytes`` from the newest manifest's files.
 
     Every row is in exactly one shard, repeated rows as often as they come; all columns, nulls
-    included, are stored as they are; null texts have null ``n_bytes``. No rows: no shards, no result rows.
+    included, are stored as they are, texts of any length whole (a row is never split, so a shard of one
+    very long text may pass the target); null texts have null ``n_bytes``. No rows: no shards, no result rows.
     """
     spark = docs.sparkSession
     store = Store(spark, root or f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")

@@ -4,6 +4,7 @@ import uuid
 
 import pytest
 from py4j.protocol import Py4JJavaError
+from pyspark.sql import functions as F
 
 from cuewright.llm import sharding as S
 
@@ -37,6 +38,36 @@ def test_store(spark, tmp_path):
     assert len(list((tmp_path / "store").glob("arrivals-*/part-*"))) == 0
 
 
+def test_one_file_for_each_group(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "MERGES_PER_JOB", 8)  # several jobs a round
+    monkeypatch.setattr(S, "PART_SHARDS", 10)
+    store = S.Store(spark, f"file://{tmp_path}/store")
+    rows = spark.range(4800).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    store.append(rows.repartition(4), rows=25)
+    first = store.manifest()
+    before = sorted(map(tuple, store.read().collect()))
+    size = max(s.bytes for s in first["shards"])
+    target = 10 * size
+    groups = S.plan_merges(first["shards"], target)
+    assert len(groups) >= 19 and len(first["parts"]) == -(-len(first["shards"]) // 10)
+    made = store._merged(groups, rows.schema)
+    assert len(made) == len(groups) and max(s.bytes for s in made) <= target
+    assert sorted(s.rows for s in made) == sorted(sum(s.rows for s in g) for g in groups)
+    store.compact(target)
+    last = store.manifest()
+    assert len(S.plan_merges(last["shards"], target)) == 0 and max(s.bytes for s in last["shards"]) <= target
+    assert sorted(map(tuple, store.read().collect())) == before
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "true"
+    # A version that adds shards keeps the parts of the others.
+    store.append(rows.limit(3))
+    assert set(last["parts"]) <= set(store.manifest()["parts"])
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "x y " * 500_000, "s", "t"), (2, "a", "s", "t")], SCHEMA)
+    assert {r["doc_id"]: r["n_bytes"] for r in S.shard_documents(df, target=1 << 16).collect()} == {1: 2_000_000, 2: 1}
+
+
 def test_of_two_writers_one_fails(spark, tmp_path):
     store = S.Store(spark, f"file://{tmp_path}/store")
     store.append(table(spark, 0, 5))
