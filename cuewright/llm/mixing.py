@@ -13,7 +13,9 @@ The plan is a row for each source and shard, never a row for each document.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -107,17 +109,36 @@ def _deal(held: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     left = np.zeros_like(held)
     rest = int(held.sum())
     for i, n in enumerate(held.tolist()):
-        if size == 0:
-            break
         rest -= n
-        if n < 500_000_000 and rest < 500_000_000:
-            left[i] = rng.hypergeometric(n, rest, size) if n and rest else min(n, size)
-        else:  # beyond the sampler's range the share itself, rounded, within what is possible
-            left[i] = min(n, size, max(size - rest, round(size * n / (n + rest))))
+        left[i] = hypergeometric(n, rest, size, rng)
         size -= int(left[i])
     return left
 
 
+def hypergeometric(good: int, bad: int, size: int, rng: np.random.Generator) -> int:
+    """How many of ``size`` draws without replacement are among the ``good``, for populations of any size.
+
+    Beyond the library's range the distribution is built outward from its mode, each probability from its
+    neighbour's, as far as 12 standard deviations (what lies beyond has a probability under 1e-30), and
+    inverted at one uniform draw.
+    """
+    low, high = max(0, size - bad), min(good, size)
+    if low == high:
+        return low
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, size))
+    total = good + bad
+    mode = min(max((size + 1) * (good + 1) // (total + 2), low), high)
+    spread = math.sqrt(size * (good / total) * (bad / total) * ((total - size) / (total - 1)))
+    low, high = max(low, mode - int(12 * spread) - 16), min(high, mode + int(12 * spread) + 16)
+    k = np.arange(mode, high, dtype=float)
+    above = np.cumprod((good - k) * (size - k) / ((k + 1) * (bad - size + k + 1)))
+    k = np.arange(mode, low, -1, dtype=float)
+    below = np.cumprod(k * (bad - size + k) / ((good - k + 1) * (size - k + 1)))
+    sums = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
+
+
 TABLE_BLOCKS = 1 << 16
 TABLES_HELD = 1 << 22
 _TABLES: dict[tuple[int, int], np.ndarray] = {}
@@ -270,11 +291,13 @@ def _placed(rows: DataFrame, names: dict[str, str], n_rows: int, sized: DataFram
 
 
 def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """One row for each row of ``docs``: ``id_col, size, source_size, target, taken, n_pieces``.
+    """One row for each row of ``docs``: ``id_col, size, source_size, target, taken, n_pieces, shards``.
 
-    Null texts have size 0; a null source is a source of its own, the last. Repeated rows and null
-    ids are rows like any other. The same rows give the same result in any order. Other columns
-    are not read. ``settings`` go to ``plan``.
+    ``shards`` says which output shards take how many of the row's words, as ``shard:words`` joined by commas,
+    by shard; empty if none are taken. Null texts have size 0; a null source is a source of its own, the
+    last; sources that are not strings count as strings. Texts may be of any length. Repeated rows and null
+    ids are rows like any other. The same rows give the same result in any order. Other columns are not
+    read. ``settings`` go to ``plan``.
     """
     sized = written(_sized(docs, id_col, text_col, source_col), "sizes")
     placed, sizes = _placed(sized, {k: k for k in ("id", "source", "size")}, sized.count())
@@ -282,7 +305,7 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, targets_, taken, pieces = [], [], [], []
+            own, targets_, taken, pieces, shards = [], [], [], [], []
             for name, start, size in zip(*(batch.column(k).to_pylist() for k in (1, 3, 2)), strict=True):
                 source = made[name]
                 got = list(source.pieces(start, start + size))
@@ -290,13 +313,17 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                 targets_.append(source.target)
                 taken.append(sum(b - a for _, _, a, b in got))
                 pieces.append(len(got))
+                words: Counter[int] = Counter()
+                for _, shard, a, b in got:
+                    words[shard] += b - a
+                shards.append(",".join(f"{shard}:{n}" for shard, n in sorted(words.items())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(own, pa.int64()), pa.array(targets_, pa.float64()), pa.array(taken, pa.int64()), pa.array(pieces, pa.int64())],
-                names=["id", "size", "source_size", "target", "taken", "n_pieces"],
+                [batch.column(0), batch.column(2), pa.array(own, pa.int64()), pa.array(targets_, pa.float64()), pa.array(taken, pa.int64()), pa.array(pieces, pa.int64()), pa.array(shards, pa.string())],
+                names=["id", "size", "source_size", "target", "taken", "n_pieces", "shards"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = placed.select("id", "source", "size", "__cw_start").mapInArrow(run, f"id {kind}, size long, source_size long, target double, taken long, n_pieces long")
+    out = placed.select("id", "source", "size", "__cw_start").mapInArrow(run, f"id {kind}, size long, source_size long, target double, taken long, n_pieces long, shards string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -311,22 +338,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     small_batches(docs.sparkSession)
     names = docs.columns
+    named = docs.withColumn("__cw_source", F.col(source_col).cast("string"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = pc.fill_null(pc.count_substring_regex(batch.column(names.index(text_col)), _WORD), 0).cast(pa.int64())
             yield batch.append_column("__cw_size", size)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cw_size", T.LongType())])
-    light = _sized(docs, id_col, text_col, source_col).toDF(id_col, source_col, "__cw_size")
-    placed, sizes = _placed(docs.mapInArrow(count, schema), {"id": id_col, "source": source_col, "size": "__cw_size"}, docs.count(), light)
+    schema = T.StructType([*named.schema.fields, T.StructField("__cw_size", T.LongType())])
+    light = _sized(docs, id_col, text_col, source_col).toDF(id_col, "__cw_source", "__cw_size")
+    placed, sizes = _placed(named.mapInArrow(count, schema), {"id": id_col, "source": "__cw_source", "size": "__cw_size"}, docs.count(), light)
     made = plan(sizes, **settings)
     out_schema = T.StructType([*docs.schema.fields, T.StructField(shard_col, T.IntegerType()), T.StructField(order_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, texts, shards, order = [], [], [], []
-            rows = zip(*(batch.column(k).to_pylist() for k in (names.index(source_col), names.index(text_col), len(names), len(names) + 1)), strict=True)
+            rows = zip(*(batch.column(k).to_pylist() for k in (len(names), names.index(text_col), len(names) + 1, len(names) + 2)), strict=True)
             for k, (name, text, size, start) in enumerate(rows):
                 spans = None
                 for turn, shard, a, b in made[name].pieces(start, start + size):
@@ -346,10 +374,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 columns[names.index(length_col)] = pa.array(map(len, texts), columns[names.index(length_col)].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(shards, pa.int32()), pa.array(order, pa.int64())], names=[*names, shard_col, order_col])
 
-    return placed.select(*names, "__cw_size", "__cw_start").mapInArrow(run, out_schema)
+    return placed.select(*names, "__cw_source", "__cw_size", "__cw_start").mapInArrow(run, out_schema)
+
+
+def in_shards(mixed: DataFrame, shard_col: str = "mix_shard", order_col: str = "mix_order") -> DataFrame:
+    """``mix``'s rows with every shard whole in one partition, in the shuffled order of the shard. A shard has
+    about ``SHARD_WORDS`` words, so a partition is no larger for a larger input."""
+    return mixed.repartition(shard_col).sortWithinPartitions(shard_col, order_col)
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
     """``mix``'s rows as one folder for each shard under ``path``, in the shuffled order of the shard."""
-    dealt = mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
-    dealt.write.partitionBy("mix_shard").parquet(path)
+    in_shards(mixed).write.partitionBy("mix_shard").parquet(path)

@@ -35,6 +35,19 @@ def test_quotas_sum_and_are_even():
     assert (out.sum(axis=0) == draws).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3
 
 
+def test_hypergeometric_beyond_the_library():
+    rng = np.random.default_rng(5)
+    good, bad, size = 700_000_000, 900_000_000, 400_000_000
+    got = np.array([M.hypergeometric(good, bad, size, rng) for _ in range(400)], dtype=float)
+    mean, total = size * good / (good + bad), good + bad
+    spread = (mean * bad / total * (total - size) / (total - 1)) ** 0.5
+    assert abs(got.mean() - mean) < 5 * spread / 20 and 0.8 < got.std() / spread < 1.2
+    held = np.array([3_000_000_000, 5_000_000_000, 0, 7])
+    out = M.split_quotas(held, 6, rng)
+    assert (out.sum(axis=0) == held).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3 and len(set(out[:, 0])) > 1
+    assert M.hypergeometric(0, 5_000_000_000, 10, rng) == 0 and M.hypergeometric(5_000_000_000, 3, 5_000_000_003, rng) == 5_000_000_000
+
+
 def test_takes_are_exact_and_disjoint():
     rng = random.Random(3)
     for _ in range(60):
@@ -64,6 +77,47 @@ def test_mix_sizes(spark):
         by.setdefault((r["source_size"], r["target"]), 0)
         by[r["source_size"], r["target"]] += r["taken"]
     assert all(n == round(t) for (_, t), n in by.items())
+    for r in M.mix_sizes(df, shard_words=2000).collect():
+        assert sum(int(x.split(":")[1]) for x in r["shards"].split(",") if x) == r["taken"]
+    # Shards hold equal numbers of block draws, so about equal numbers of words.
+    words: dict = {}
+    for r in M.mix_sizes(df, shard_words=2000).collect():
+        for x in filter(None, r["shards"].split(",")):
+            words[x.split(":")[0]] = words.get(x.split(":")[0], 0) + int(x.split(":")[1])
+    assert len(words) > 5 and sorted(map(int, words)) == list(range(len(words)))
+
+
+def test_taken_against_a_plain_loop(spark):
+    """Every row's share, from its place on the line and the block draws laid out one by one."""
+    rows, df = table(spark, 4)
+    got = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in M.mix_sizes(df, shard_words=2000).collect())
+    sized = M.written(M._sized(df, "doc_id", "text", "source"), "sizes")
+    placed, sizes = M._placed(sized, {k: k for k in ("id", "source", "size")}, 150)
+    made = M.plan(sizes, shard_words=2000)
+    taken = {}
+    for name, s in made.items():
+        line = np.zeros(s.size, dtype=int)
+        for turn in range(s.passes + 1):
+            order = np.argsort(M._scramble(s.blocks, s.key + turn)(np.arange(s.blocks))) if s.blocks else []
+            left = s.size if turn < s.passes else round(s.target) - s.passes * s.size
+            for block in order:
+                n = min(left, s.block, s.size - block * s.block)
+                line[block * s.block : block * s.block + n] += 1
+                left -= n
+        taken[name] = line
+    want = sorted((str(r["id"]), r["size"], int(taken[r["source"]][r["__cw_start"] : r["__cw_start"] + r["size"]].sum())) for r in placed.collect())
+    assert got == want
+
+
+def test_sources_that_are_not_strings(spark):
+    df = spark.createDataFrame([(i, "a b c " * i, i % 3 if i % 5 else None) for i in range(40)], "doc_id long, text string, source int")
+    assert sum(len(r["text"].split()) for r in M.mix(df).collect()) == sum(r["taken"] for r in M.mix_sizes(df).collect()) > 0
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x", "b")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in M.mix_sizes(df, shard_words=50_000).collect()}
+    assert got[1]["size"] == 400_000 and got[1]["taken"] == round(got[1]["target"]) and got[1]["shards"].count(":") > 5
 
 
 def test_mix_rows(spark, tmp_path):
