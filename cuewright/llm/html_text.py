@@ -4,9 +4,14 @@ A page is a sequence of words and tags. Words score positive and tags negative;
 contiguous region of the greatest sum. How much a tag costs is learnt from labelled pages, which are
 those whose own markup delimits the content (one ``article``, or else one ``main``): a tag costs more
 the more often it stands outside the content and the less often inside. Elements of kinds that
-hold no article text (menus, adverts, forms, comments ...), whether from the fixed list or found by
+hold no article text (menus, adverts, forms, comments ...), whether from the fixed lists or found by
 the labelled pages to hold words outside the content only, are holes: the region may span them,
 but their words neither score nor count as text.
+
+With ``lists`` the fixed lists of such kinds are used, for learning and for extraction: tags within
+listed elements then teach nothing, as they are never scored. Without ``lists`` all but elements without
+text is scored, and what the labelled pages teach decides alone. The lists are needed for what stands
+inside a page's own content element, such as adverts, forms and comments: the labels call it content.
 """
 
 from __future__ import annotations
@@ -114,14 +119,15 @@ class Weights:
 
     costs: dict[str, float] = field(default_factory=dict)
     holes: frozenset[str] = frozenset()
+    lists: bool = True
 
     def is_hole(self, name: str, words: tuple[str, ...], inside: bool, around: bool) -> bool:
         """``inside``: the element lies in the page's own content element; ``around``: it holds one, or a title."""
-        if name in HOLES:
+        if name in HOLES and self.lists:
             return not (name == "header" and inside)
         if around or not words or name in ("html", "body", "article", "main"):
             return False
-        return not HOLE_WORDS.isdisjoint(words) or not self.holes.isdisjoint(features(name, words)[1:])
+        return (self.lists and not HOLE_WORDS.isdisjoint(words)) or not self.holes.isdisjoint(features(name, words)[1:])
 
     def cost(self, name: str, words: tuple[str, ...]) -> float:
         return max(self.costs.get(f, UNSEEN) for f in features(name, words))
@@ -155,15 +161,15 @@ def _labelled(page: list[Token], ends: dict[int, int]) -> tuple[int, int] | None
     return None
 
 
-def observe(page: str, seen: Counter) -> None:
-    """Add a page's counts to ``seen``, if the page is labelled: (feature, inside) -> tags outside holes,
-    (feature + " words", inside) -> words of closed elements by their classes."""
+def observe(page: str, seen: Counter, lists: bool = True) -> None:
+    """Add a page's counts to ``seen``, if the page is labelled: (feature, inside) -> tags outside listed holes,
+    (feature + " words", inside) -> words of closed elements by their classes, in listed holes too."""
     page_ = tokens(page)
     ends = _ends(page_)
     label = _labelled(page_, ends)
     if label is None:
         return
-    mask = _masked(page_, ends, Weights())
+    mask, dead = _masked(page_, ends, Weights(lists=lists)), _masked(page_, ends, Weights(lists=False))
     low, high = label
     sizes = [len(t[1].split()) if t[0] == "t" else 0 for t in page_]
     sums = [0]
@@ -171,23 +177,25 @@ def observe(page: str, seen: Counter) -> None:
         sums.append(sums[-1] + n)
     stack: list[tuple[str, tuple[str, ...]]] = []
     for i, (kind, name, words) in enumerate(page_):
-        if kind == "t" or mask[i]:
+        if kind == "t" or dead[i]:
             continue
         if kind == "o":
-            stack.append((name, words))
+            if name not in VOID:
+                stack.append((name, words))
         else:
             while stack and stack[-1][0] != name:
                 stack.pop()
             words = stack.pop()[1] if stack else ()
         inside = low < i < high
-        for f in features(name, words):
-            seen[f, inside] += 1
+        if not mask[i]:
+            for f in features(name, words):
+                seen[f, inside] += 1
         if kind == "o" and words and (end := ends.get(i)):
             for f in features(name, words)[1:]:
                 seen[f + " words", inside or i <= low <= end] += sums[end] - sums[i]
 
 
-def learnt(seen: dict[tuple[str, bool], int]) -> Weights:
+def learnt(seen: dict[tuple[str, bool], int], lists: bool = True) -> Weights:
     """Costs are log ratios of a tag's counts outside and inside; holes are features with words outside only."""
     names = {f for f, _ in seen}
     costs, holes = {}, set()
@@ -198,10 +206,10 @@ def learnt(seen: dict[tuple[str, bool], int]) -> Weights:
                 holes.add(f.removesuffix(" words"))
         elif inside + outside >= MIN_SEEN:
             costs[f] = UNSEEN + SCALE * max(0.0, math.log((outside + 1) / (inside + 1)))
-    return Weights(costs, frozenset(holes))
+    return Weights(costs, frozenset(holes), lists)
 
 
-def _totals(pages: DataFrame, html_col: str) -> DataFrame:
+def _totals(pages: DataFrame, html_col: str, lists: bool) -> DataFrame:
     """``(feature, i, o)``: the counts inside and outside of all features seen often enough on labelled
     pages. Counts are summed in each task before they move."""
     small_batches(pages.sparkSession)
@@ -210,7 +218,7 @@ def _totals(pages: DataFrame, html_col: str) -> DataFrame:
         seen: Counter = Counter()
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                observe((page or b"").decode("utf-8", "replace"), seen)
+                observe((page or b"").decode("utf-8", "replace"), seen, lists)
             if len(seen) > 100_000:
                 yield flush(seen)
         yield flush(seen)
@@ -228,21 +236,21 @@ def _totals(pages: DataFrame, html_col: str) -> DataFrame:
     return total.where(f"i + o >= {MIN_SEEN}")
 
 
-def _learnt_rows(rows: list) -> Weights:
-    return learnt({(r["feature"], inside): r[c] for r in rows for inside, c in ((True, "i"), (False, "o"))})
+def _learnt_rows(rows: list, lists: bool = True) -> Weights:
+    return learnt({(r["feature"], inside): r[c] for r in rows for inside, c in ((True, "i"), (False, "o"))}, lists)
 
 
-def train(pages: DataFrame, html_col: str = "html") -> Weights:
+def train(pages: DataFrame, html_col: str = "html", lists: bool = True) -> Weights:
     """Weights of all features from all labelled pages, on the driver. No labelled page: no costs learnt."""
-    return _learnt_rows(_totals(pages, html_col).collect())
+    return _learnt_rows(_totals(pages, html_col, lists).collect(), lists)
 
 
-def _split(pages: DataFrame, html_col: str, most_features: int) -> tuple[Weights, DataFrame | None, frozenset[str]]:
+def _split(pages: DataFrame, html_col: str, most_features: int, lists: bool = True) -> tuple[Weights, DataFrame | None, frozenset[str]]:
     """Weights of the ``most_features`` most frequent features, those of all others as ``(feature, cost, hole)``
     if there are any, and in that case the names of the former."""
-    total = written(_totals(pages, html_col), "features")
+    total = written(_totals(pages, html_col, lists), "features")
     rows = total.orderBy(F.desc(F.col("i") + F.col("o")), "feature").limit(most_features + 1).collect()
-    weights = _learnt_rows(rows[:most_features])
+    weights = _learnt_rows(rows[:most_features], lists)
     if len(rows) <= most_features:
         return weights, None, frozenset()
     last = rows[most_features]
@@ -283,7 +291,7 @@ def _with(weights: Weights, rare: list | None) -> Weights:
     if not rare:
         return weights
     costs = ChainMap({r["feature"]: r["cost"] for r in rare if not r["hole"]}, weights.costs)
-    return Weights(costs, weights.holes | {r["feature"] for r in rare if r["hole"]})
+    return Weights(costs, weights.holes | {r["feature"] for r in rare if r["hole"]}, weights.lists)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -338,16 +346,17 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def extract(
-    pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_features: int = MOST_FEATURES
+    pages: DataFrame, weights: Weights | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most_features: int = MOST_FEATURES, lists: bool = True
 ) -> DataFrame:
     """``id_col, url_col, text, n_chars`` for every row of ``pages``, repeated rows and null ids included.
 
     Null and empty pages give an empty text. ``weights`` are learnt from ``pages`` if not given: those of
     the ``most_features`` most frequent features go to all tasks, those of all others are joined to
-    the pages that have them, so the texts do not depend on the number. Other columns are not read.
+    the pages that have them, so the texts do not depend on the number. ``lists``: see above. Pages of any
+    length are read whole. Other columns are not read.
     """
     small_batches(pages.sparkSession)
-    weights, rest, known = _split(pages, html_col, most_features) if weights is None else (weights, None, frozenset())
+    weights, rest, known = _split(pages, html_col, most_features, lists) if weights is None else (weights, None, frozenset())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

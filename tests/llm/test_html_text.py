@@ -86,3 +86,18 @@ def test_rare_features_count_as_frequent_ones_do(spark):
     for few in (0, 1, 8, 20):
         assert sorted(map(str, H.extract(df, most_features=few).collect())) == whole
     assert H._split(df, "html", 8)[1].count() > 0
+
+
+def test_learnt_weights_decide_without_the_lists():
+    def other(k, article):
+        # Class names that no list knows, and no content element on the pages to be read.
+        text = page(BODY, k=k).replace("class='ad'", "class='zq7'").replace("<nav>", "<div class='zq1'>").replace("</nav>", "</div>")
+        text = text.replace("aside>", "section>").replace("<section>", "<section class='zq2'>").replace("<footer>", "<div class='zq3'>").replace("</footer>", "</div>")
+        return text if article else text.replace("article>", "div>")
+
+    seen = Counter()
+    for k in range(40):
+        H.observe(other(k, True), seen, lists=False)
+    w = H.learnt(seen, lists=False)
+    assert not w.lists and {"div.zq7", "div.zq1", "section.zq2", "div.zq3"} <= w.holes
+    assert H.main_text(other(99, False), w) == f"Title 99 & more\n{TEXT}"
