@@ -157,11 +157,11 @@ class Codec:
 
 def _mapped(docs: DataFrame, ranks: dict[bytes, int], pattern: str, out: str, row, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent, mark = docs.sparkSession.sparkContext.broadcast(ranks), _mark(ranks)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value, pattern)
+        codec = _codec(sent.value, pattern, mark)
         for batch in batches:
             rows = [row(codec, (t or b"").decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS[out], strict=True)] if rows else [pa.array([], k) for k in _KINDS[out]]
@@ -178,9 +178,17 @@ _KINDS = {_DIGESTS: [pa.int64(), pa.string(), pa.string()], _IDS: [pa.list_(pa.i
 _CODECS: dict[tuple, Codec] = {}
 
 
-def _codec(ranks: dict[bytes, int], pattern: str) -> Codec:
+def _mark(ranks: dict[bytes, int]) -> bytes:
+    """A digest of a whole vocabulary."""
+    whole = hashlib.blake2b(digest_size=16)
+    for token, rank in sorted(ranks.items()):
+        whole.update(b"%d:%d:%b" % (rank, len(token), token))
+    return whole.digest()
+
+
+def _codec(ranks: dict[bytes, int], pattern: str, mark: bytes) -> Codec:
     """One codec for each worker process and vocabulary, kept between tasks with what it has learnt."""
-    key = (len(ranks), pattern, hash(frozenset(list(ranks.items())[::997])))
+    key = (mark, pattern)
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(ranks, pattern)
@@ -195,11 +203,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str = ".", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with ``text_col``, the text of its ids; null ids give a null text. Bytes that do
     not form UTF-8, which only a cut sequence has, become replacement characters."""
-    sent = encoded.sparkSession.sparkContext.broadcast(ranks)
+    sent, mark = encoded.sparkSession.sparkContext.broadcast(ranks), _mark(ranks)
     schema = encoded.withColumn(text_col, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value, pattern)
+        codec = _codec(sent.value, pattern, mark)
         for batch in batches:
             texts = [None if ids is None else codec.decode(ids).decode("utf-8", "replace") for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select([c for c in batch.schema.names if c != text_col]).columns, pa.array(texts, pa.string())], names=[*(c for c in batch.schema.names if c != text_col), text_col])
