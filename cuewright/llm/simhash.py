@@ -76,8 +76,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """``(k, fp)``: 2 segments times 32 ignored bits; k packs the place and the remaining bits."""
-    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
+    """``(k, fp)``: 2 segments times 32 ignored bits; k packs the place and the remaining bits.
+
+    A row becomes 64, so the rows, which may lie in a few small files, are first dealt out to all tasks."""
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
     return spread.select(
         F.expr(
             "(shiftright(fp, 32 * (w div 32)) & 4294967295L & ~shiftleft(1L, w % 32)) | shiftleft(cast(w as long), 32)"
