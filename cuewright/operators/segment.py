@@ -2,15 +2,17 @@
 
 Frames are ``(source_id, frame_idx, prob)`` with ``frame_idx`` counting from 0 in each source.
 Segments are ``(source_id, start_frame, end_frame)``, half open.
+
+Speech frames in a row are a streak. Streaks with short silences between them are a run; runs do not
+influence each other, so all that has an order happens within one run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 65_536
@@ -30,31 +32,51 @@ class Limits:
     max_seg: int = 0
 
 
-def _islands(frames: DataFrame, threshold: float, gap: int, trail: int) -> DataFrame:
-    """``source_id, start_frame, end_frame, n_frames``: runs of speech with fewer than ``gap`` silent
-    frames between. Trailing silence shorter than ``trail`` belongs to a source's last run.
+def _speech(frames: DataFrame, threshold: float) -> DataFrame:
+    """Speech frames as spans of one frame."""
+    at = F.col("frame_idx").cast("long")
+    return frames.where(F.col("prob") >= threshold).select("source_id", at.alias("start_frame"), (at + 1).alias("end_frame"))
+
+
+def _in_runs(spans: DataFrame, gap: int) -> DataFrame:
+    """Disjoint ``spans(source_id, start_frame, end_frame)`` with ``run``, the first frame of their run: a run
+    goes on over silences shorter than ``gap``.
 
-    A source is worked on in chunks of its frames. A row for each chunk carries the last speech frame
-    and the open run's start over to the next chunk, so that a long source is not one task.
+    A source is worked on in chunks of its frames. Two numbers a chunk, the last end and the open run's
+    start, are carried over to the next chunk, so that a long source is not one task.
     """
-    totals = frames.groupBy("source_id").agg((F.max("frame_idx") + 1).alias("n_frames"))
-    speech = frames.where(F.col("prob") >= threshold).select("source_id", "frame_idx", F.floor(F.col("frame_idx") / CHUNK).alias("chunk"))
-    along = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("source_id", "chunk").orderBy("frame_idx")
-    carried = speech.groupBy("source_id", "chunk").agg(F.max("frame_idx").alias("last")).select("source_id", "chunk", F.max("last").over(along).alias("carried"))
-    dealt = speech.join(carried, ["source_id", "chunk"])
-    before = F.coalesce(F.lag("frame_idx").over(within), F.col("carried"))
-    opens = dealt.withColumn("opens", before.isNull() | (F.col("frame_idx") - before - 1 >= gap))
-    started = opens.withColumn("own", F.max(F.when(F.col("opens"), F.col("frame_idx"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = started.groupBy("source_id", "chunk", "own").agg(F.max("frame_idx").alias("last"))
-    # A chunk's frames before its first start continue the run that was open when it began.
-    open_run = Window.partitionBy("source_id").orderBy("chunk", F.col("own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("start_frame", F.max("own").over(open_run))
-    whole = runs.groupBy("source_id", "start_frame").agg((F.max("last") + 1).alias("end_frame"))
-    later = F.lead("start_frame").over(Window.partitionBy("source_id").orderBy("start_frame"))
-    whole = whole.withColumn("final", later.isNull()).join(totals, "source_id")
-    end = F.when(F.col("final") & (F.col("n_frames") - F.col("end_frame") < trail), F.col("n_frames")).otherwise(F.col("end_frame"))
-    return whole.select("source_id", "start_frame", end.alias("end_frame"), "n_frames")
+    chunk = ["source_id", "chunk"]
+    spans = spans.withColumn("chunk", F.floor(F.col("start_frame") / CHUNK))
+    within = Window.partitionBy(*chunk).orderBy("start_frame")
+    earlier = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.groupBy(*chunk).agg(F.max("end_frame").alias("e")).select(*chunk, F.max("e").over(earlier).alias("before"))
+    dealt = spans.join(ends, chunk)
+    before = F.coalesce(F.lag("end_frame").over(within), F.col("before"))
+    dealt = dealt.withColumn("opens", before.isNull() | (F.col("start_frame") - before >= gap))
+    dealt = dealt.withColumn("own", F.max(F.when(F.col("opens"), F.col("start_frame"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    open_run = dealt.groupBy(*chunk).agg(F.max("own").alias("o")).select(*chunk, F.max("o").over(earlier).alias("carried"))
+    return dealt.join(open_run, chunk).select("source_id", "start_frame", "end_frame", F.coalesce("own", "carried").alias("run"))
+
+
+def _joined(spans: DataFrame, gap: int) -> DataFrame:
+    """The runs of ``spans`` as spans."""
+    runs = _in_runs(spans, gap).groupBy("source_id", "run").agg(F.max("end_frame").alias("end_frame"))
+    return runs.select("source_id", F.col("run").alias("start_frame"), "end_frame")
+
+
+def _lengths(frames: DataFrame, last_run: DataFrame) -> DataFrame:
+    """``source_id, n_frames, last_run``: the number of frames and the start of the last run of ``last_run(source_id, run)``."""
+    n = frames.groupBy("source_id").agg((F.max("frame_idx") + 1).cast("long").alias("n_frames"))
+    return n.join(last_run.groupBy("source_id").agg(F.max("run").alias("last_run")), "source_id")
+
+
+def _islands(frames: DataFrame, threshold: float, gap: int, trail: int) -> DataFrame:
+    """``source_id, start_frame, end_frame, n_frames``: runs of speech with fewer than ``gap`` silent
+    frames between. Trailing silence shorter than ``trail`` belongs to a source's last run."""
+    runs = _joined(_speech(frames, threshold), gap)
+    whole = runs.join(_lengths(frames, runs.select("source_id", F.col("start_frame").alias("run"))), "source_id")
+    to_the_end = (F.col("start_frame") == F.col("last_run")) & (F.col("n_frames") - F.col("end_frame") < trail)
+    return whole.select("source_id", "start_frame", F.when(to_the_end, F.col("n_frames")).otherwise(F.col("end_frame")).alias("end_frame"), "n_frames")
 
 
 def padded(segments: DataFrame, pad: int) -> DataFrame:
@@ -95,100 +117,66 @@ def merge_pad_split(segments: DataFrame, limits: Limits = Limits()) -> DataFrame
     return out.select("source_id", start.alias("start_frame"), end.alias("end_frame"))
 
 
-class Tracker:
-    """The state machine with a cap, one frame at a time; its state is a few numbers.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    ``push`` returns the segments that the frame confirms, ``flush`` those left at the end of the stream.
-    A capped segment waits until its right padding has been seen.
-    """
 
-    def __init__(self, limits: Limits = Limits(), state: dict | None = None):
-        self.limits = limits
-        self.seen, self.start, self.quiet, self.open_start, self.open_end = 0, -1, 0, -1, -1
-        self.waiting: list[list[int]] = []
-        if state:
-            self.__dict__.update(state)
-
-    def state(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "limits"}
-
-    def _pad(self, start: int, end: int) -> tuple[int, int]:
-        return max(0, start - self.limits.pad), min(end + self.limits.pad, self.seen)
-
-    def _close(self, out: list[tuple[int, int]]) -> None:
-        """Confirm the run that waits for speech to come back."""
-        if self.open_start >= 0:
-            if self.open_end > self.open_start and self.open_end - self.open_start >= self.limits.min_speech:
-                out.append(self._pad(self.open_start, self.open_end))
-            self.open_start = -1
-
-    def _release(self, out: list[tuple[int, int]], everything: bool = False) -> None:
-        ready = [w for w in self.waiting if everything or self.seen >= w[1] + self.limits.pad]
-        self.waiting = [w for w in self.waiting if w not in ready]
-        out += [self._pad(*w) for w in ready]
-
-    def push(self, prob: float | None) -> list[tuple[int, int]]:
-        at, lim = self.seen, self.limits
-        self.seen += 1
-        out: list[tuple[int, int]] = []
-        self._release(out)
-        speech = prob is not None and prob >= lim.threshold
-        if speech and self.start >= 0:
-            self.quiet = 0
-            if lim.max_seg and at >= self.start + lim.max_seg:
-                self.waiting.append([self.start, at + 1])
-                self.start = at + 1
-        elif speech:
-            if self.open_start >= 0 and at < self.open_end + lim.merge_gap:
-                self.start = self.open_start
-            else:
-                self._close(out)
-                self.start = at
-            self.open_start, self.quiet = -1, 0
-        elif self.start >= 0:
-            self.quiet += 1
-            if self.quiet >= lim.min_silence or (lim.max_seg and at >= self.start + lim.max_seg):
-                self.open_start, self.open_end = self.start, self.seen - self.quiet
-                self.start, self.quiet = -1, 0
-        if self.open_start >= 0 and self.seen >= self.open_end + lim.merge_gap:
-            self._close(out)
-        self._release(out)
-        return out
-
-    def flush(self) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        if self.start >= 0 and self.seen > self.start and self.seen - self.start >= self.limits.min_speech:
-            out.append(self._pad(self.start, self.seen))
-        self.start = -1
-        self._close(out)
-        self._release(out, everything=True)
-        return sorted(out)
-
-    def oldest_needed(self) -> int | None:
-        """The first frame whose samples are still needed; what is before may be dropped."""
-        starts = [s for s in (self.start, self.open_start, *(w[0] for w in self.waiting)) if s >= 0]
-        return max(0, min(starts) - self.limits.pad) if starts else None
+def _capped(streaks: Column, limits: Limits) -> Column:
+    """The segments of one run, from its streaks ``array<struct<s, e>>`` in order: ``struct<a, e, out>`` with the
+    segments that are over in ``out`` and the last one open from ``a``, its last speech ending at ``e``.
+
+    A segment is left in a silence once that has ``min_silence`` frames or the segment's cap is reached, and
+    taken up again by speech that follows within ``merge_gap``. Speech on or past the cap cuts the segment
+    behind its frame, so a streak is cut every ``max_seg + 1`` frames from its first cut on; the frame by
+    which a segment begins or is taken up again never cuts.
+    """
+    span = "array<struct<s:bigint,e:bigint>>"
+    start = F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("e"), F.array().cast(span).alias("out"))
+    step = limits.max_seg + 1
+
+    def entered(acc: Column, x: Column) -> Column:
+        left = acc["a"].isNull() | (_left_at(acc["a"], acc["e"], limits) < x["s"])
+        return F.struct(left.alias("left"), (acc["a"].isNull() | (left & (x["s"] >= acc["e"] + limits.merge_gap))).alias("anew"))
+
+    def advanced(acc: Column, x: Column) -> Column:
+        over = _let(entered(acc, x), lambda h: F.struct(
+            F.when(h["anew"], x["s"]).otherwise(acc["a"]).alias("a"),
+            F.when(h["left"], x["s"] + 1).otherwise(x["s"]).alias("from"),
+            F.when(h["anew"] & (acc["e"] - acc["a"] >= max(1, limits.min_speech)), F.array(F.struct(acc["a"].alias("s"), acc["e"].alias("e")))).otherwise(F.array().cast(span)).alias("closed"),
+        ))
+        if not limits.max_seg:
+            return _let(over, lambda o: F.struct(o["a"].alias("a"), x["e"].alias("e"), F.concat(acc["out"], o["closed"]).alias("out")))
+        cut = _let(over, lambda o: F.struct(o["a"].alias("a"), o["closed"].alias("closed"), F.greatest(o["from"], o["a"] + limits.max_seg).alias("first")))
+        cuts = lambda c: F.when(c["first"] < x["e"], F.sequence(c["first"], x["e"] - 1, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        return _let(cut, lambda c: _let(cuts(c), lambda at: F.struct(
+            F.coalesce(F.get(at, F.size(at) - 1) + 1, c["a"]).alias("a"),
+            x["e"].alias("e"),
+            F.concat(acc["out"], c["closed"], F.transform(at, lambda i: F.struct(F.when(i == c["first"], c["a"]).otherwise(i - limits.max_seg).alias("s"), (i + 1).alias("e")))).alias("out"),
+        )))
+
+    return F.aggregate(streaks, start, advanced)
+
+
+def _left_at(a: Column, e: Column, limits: Limits) -> Column:
+    """The silent frame at which a segment from ``a`` whose speech ended at ``e`` is left, if the silence lasts."""
+    quiet = e + (limits.min_silence - 1)
+    return F.least(quiet, F.greatest(e, a + limits.max_seg)) if limits.max_seg else quiet
 
 
 def track_capped(frames: DataFrame, limits: Limits) -> DataFrame:
-    """The tracker with a cap: a fold over each source's frames in order, streamed in batches."""
-    ordered = frames.select("source_id", "frame_idx", "prob").repartition("source_id").sortWithinPartitions("source_id", "frame_idx")
-    kind = frames.schema["source_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tracker, current = None, None
-        for batch in batches:
-            rows = []
-            for source, prob in zip(batch["source_id"], batch["prob"], strict=True):
-                if tracker is None or source != current:
-                    rows += [(current, *s) for s in tracker.flush()] if tracker else []
-                    tracker, current = Tracker(limits), source
-                rows += [(current, *s) for s in tracker.push(prob)]
-            yield pd.DataFrame(rows, columns=["source_id", "start_frame", "end_frame"])
-        if tracker:
-            yield pd.DataFrame([(current, *s) for s in tracker.flush()], columns=["source_id", "start_frame", "end_frame"])
-
-    return ordered.mapInPandas(run, f"source_id {kind}, start_frame long, end_frame long")
+    """The tracker with a cap. Silences that end a segment in any case part the streaks into runs; a run's
+    segments follow from its streaks alone. A run's streaks, one pair of numbers each, are one array.
+    """
+    streaks = _in_runs(_joined(_speech(frames, limits.threshold), 1), max(limits.min_silence, limits.merge_gap))
+    runs = streaks.groupBy("source_id", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("start_frame").alias("s"), F.col("end_frame").alias("e")))).alias("streaks"))
+    done = runs.withColumn("r", _capped(F.col("streaks"), limits)).join(_lengths(frames, runs), "source_id")
+    # A source may end before its last segment is left; then the segment lasts to the end.
+    held = (F.col("run") == F.col("last_run")) & (_left_at(F.col("r.a"), F.col("r.e"), limits) >= F.col("n_frames"))
+    last = F.struct(F.col("r.a").alias("s"), F.when(held, F.col("n_frames")).otherwise(F.col("r.e")).alias("e"))
+    long_enough = F.filter(F.array(last), lambda x: x["e"] - x["s"] >= max(1, limits.min_speech))
+    out = done.select("source_id", "n_frames", F.explode(F.concat("r.out", long_enough)).alias("x"))
+    return padded(out.select("source_id", F.col("x.s").alias("start_frame"), F.col("x.e").alias("end_frame"), "n_frames"), limits.pad).drop("n_frames")
 
 
 def bounds_ms(segments: DataFrame) -> DataFrame:
@@ -197,10 +185,10 @@ def bounds_ms(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"start_ms": ms("start_frame"), "end_ms": ms("end_frame")})
 
 
-def cut_samples(segments: DataFrame, audio: DataFrame) -> DataFrame:
+def cut_samples(segments: DataFrame, audio: DataFrame, frame_samples: int = FRAME_SAMPLES) -> DataFrame:
     """Join segments to ``audio(source_id, samples array)`` and slice out each one's samples."""
-    start = F.col("start_frame") * FRAME_SAMPLES
-    length = F.least(F.col("end_frame") * FRAME_SAMPLES, F.size("samples")) - start
+    start = F.col("start_frame") * frame_samples
+    length = F.least(F.col("end_frame") * frame_samples, F.size("samples")) - start
     cut = F.slice("samples", (start + 1).cast("int"), F.greatest(length, F.lit(0)).cast("int"))
     return segments.join(audio, "source_id").select("source_id", "start_frame", "end_frame", start.alias("start_sample"), cut.alias("samples"))
 

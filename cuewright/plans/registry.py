@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import kernels
 from cuewright.functions import text as X
 from cuewright.operators import corpus, dedup, layout, quality, segment
+from cuewright.plans import statements
 from cuewright.plans.inputs import FRAMES, UTTERANCES, frames, pairs, utterances
 from cuewright.session import table
 from cuewright.sources import corpus as sources
@@ -175,9 +176,24 @@ def vad_batch(spark, sf_dir):
     return segment.merge_pad_split(segment.mask(frames(spark, sf_dir), _SPLIT), _SPLIT)
 
 
-@_query()
+_CAPPED = segment.Limits(threshold=_LOW, min_speech=2, min_silence=3, merge_gap=4, pad=2, max_seg=8)
+
+
+@_query(statements.capped_sql(FRAMES, _CAPPED))
 def vad_capped(spark, sf_dir):
-    return segment.track_capped(frames(spark, sf_dir), segment.Limits(threshold=_LOW, min_speech=2, min_silence=3, merge_gap=4, pad=2, max_seg=8))
+    return segment.track_capped(frames(spark, sf_dir), _CAPPED)
+
+
+@_query(
+    _track(3, 3, 2, _LOW)
+    + """select k.source_id, greatest(a - 2, 0) as start_sample, array_to_string(p[greatest(a - 2, 0) + 1:least(b + 2, n)], ' ') as samples
+from k join (select source_id, list(cast(round(prob * 50000) as bigint) order by frame_idx) as p from f group by 1) using (source_id)"""
+)
+def vad_cut(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("sample", F.round(F.col("prob") * 50_000).cast("long"))
+    audio = f.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "sample"))).alias("x")).select("source_id", F.col("x.sample").alias("samples"))
+    cut = segment.cut_samples(segment.track(f, _L), audio, 1)
+    return cut.select("source_id", "start_sample", F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
 
 
 @_query(

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cuewright.operators.segment import Limits, Tracker
+from cuewright.operators.segment import Limits
 
 FRAME_MS = 32
 
@@ -31,33 +32,87 @@ def session_segments(frames: DataFrame, limits: Limits = Limits(), delay: str =
     return kept.select("source_id", F.greatest(F.col("start_frame") - limits.pad, F.lit(0)).alias("start_frame"), (F.col("end_frame") + limits.pad).alias("end_frame"))
 
 
-_STATE = "seen long, start long, quiet long, open_start long, open_end long, waiting array<array<long>>"
+_STATE = "seen long, a long, e long, waiting array<array<long>>"
+Span = tuple[int, int]
+State = tuple[int, int, int, list[Span]]  # frames seen, the open segment's start and end of speech (-1: none), segments whose padding is to come
+
+
+def _streaks(speech: np.ndarray, first: int) -> list[Span]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], speech, [False]]).astype(np.int8))) + first
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def advance(state: State, speech: np.ndarray, limits: Limits) -> tuple[list[Span], State]:
+    """The segments that the next frames of a source confirm, padded, and the state after them.
+
+    The rules are those of the batch form, applied to the frames' streaks; a streak that goes on in the next
+    frames is one without a silence before it. A segment is given out when its right padding has been seen.
+    """
+    seen, a, e, waiting = state
+    waiting = list(waiting)
+    cap, least = limits.max_seg, max(1, limits.min_speech)
+
+    def left_before(frame: int) -> bool:
+        at = e + limits.min_silence - 1
+        return (min(at, max(e, a + cap)) if cap else at) < frame
+
+    for start, end in _streaks(speech, seen):
+        left = a < 0 or left_before(start)
+        if a < 0 or (left and start >= e + limits.merge_gap):
+            if a >= 0 and e - a >= least:
+                waiting.append((a, e))
+            a = start
+        cuts = range(max(start + left, a + cap), end, cap + 1) if cap else range(0)
+        for at in cuts:
+            waiting.append((a, at + 1))
+            a = at + 1
+        e = end
+    seen += len(speech)
+    if a >= 0 and left_before(seen) and seen >= e + limits.merge_gap:
+        if e - a >= least:
+            waiting.append((a, e))
+        a = e = -1
+    ready = [(max(0, x - limits.pad), y + limits.pad) for x, y in waiting if y + limits.pad <= seen]
+    return ready, (seen, a, e, [w for w in waiting if w[1] + limits.pad > seen])
+
+
+def finish(state: State, limits: Limits) -> list[Span]:
+    """What is left at the end of a source: an open segment lasts to the end unless its silence has already ended it."""
+    seen, a, e, waiting = state
+    if a >= 0:
+        at = e + limits.min_silence - 1
+        at = min(at, max(e, a + limits.max_seg)) if limits.max_seg else at
+        end = e if at < seen else seen
+        waiting = [*waiting, (a, end)] if end - a >= max(1, limits.min_speech) else waiting
+    return sorted((max(0, x - limits.pad), min(y + limits.pad, seen)) for x, y in waiting)
+
+
+def oldest_needed(state: State, limits: Limits) -> int | None:
+    """The first frame whose samples are still needed, if any; what is before may be dropped."""
+    starts = [x for x, _ in state[3]] + [state[1]] * (state[1] >= 0)
+    return max(0, min(starts) - limits.pad) if starts else None
 
 
 def tracked_segments(frames: DataFrame, limits: Limits, idle_ms: int = 60_000) -> DataFrame:
     """The tracker with a cap over a stream whose frames of a source arrive in order: the state of a source
-    is a few numbers. A source without frames for ``idle_ms`` is at its end and its open run is closed."""
+    is a few numbers. A source without frames for ``idle_ms`` is at its end and its open segment is closed."""
     kind = frames.schema["source_id"].dataType.simpleString()
     columns = ["source_id", "start_frame", "end_frame"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ["seen", "start", "quiet", "open_start", "open_end", "waiting"]
-        held = dict(zip(names, state.get, strict=True)) if state.exists else None
-        if held:
-            held["waiting"] = [list(map(int, w)) for w in held["waiting"]]
-        tracker = Tracker(limits, held)
+        held: State = (0, -1, -1, [])
+        if state.exists:
+            seen, a, e, waiting = state.get
+            held = (seen, a, e, [(int(x), int(y)) for x, y in waiting])
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(*key, *s) for s in tracker.flush()], columns=columns)
+            yield pd.DataFrame([(*key, *s) for s in finish(held, limits)], columns=columns)
             return
-        rows = []
         arrived = pd.concat(list(batches)).sort_values("frame_idx")
-        for prob in arrived["prob"]:
-            rows += [(*key, *s) for s in tracker.push(prob)]
-        kept = tracker.state()
-        state.update(tuple(kept[n] for n in names))
+        found, (seen, a, e, waiting) = advance(held, (arrived["prob"] >= limits.threshold).to_numpy(), limits)
+        state.update((seen, a, e, [list(w) for w in waiting]))
         state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame([(*key, *s) for s in found], columns=columns)
 
     return frames.groupBy("source_id").applyInPandasWithState(
         step, f"source_id {kind}, start_frame long, end_frame long", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout

@@ -1,16 +1,37 @@
-"""Segmentation: closed forms against a frame-by-frame machine, literal cases, the stream."""
+"""Segmentation: against a statement that goes frame by frame, literal cases, the stream."""
 
 import random
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
-from cuewright.operators.segment import Limits, Tracker, bounds_ms, mask, merge_pad_split, track, track_capped
+from cuewright.operators.segment import Limits, bounds_ms, cut_samples, mask, merge_pad_split, track, track_capped
+from cuewright.plans.statements import capped_sql
+from cuewright.streaming.segments import advance, finish, oldest_needed
 
 
-def machine(probs, limits):
-    tracker = Tracker(limits)
-    out = [s for p in probs for s in tracker.push(p)]
-    return sorted(out + tracker.flush())
+def stated(lists, limits):
+    """The segments of lists of scores by the engine's statement, in which every frame is a row of a recursion."""
+    rows = [(k, i, p) for k, probs in enumerate(lists) for i, p in enumerate(probs)]
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(rows, columns=["source_id", "frame_idx", "prob"]))
+    out = {}
+    for k, a, b in con.execute(capped_sql("(select * from given)", limits)).fetchall():
+        out.setdefault(k, []).append((a, b))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def streamed(probs, limits, seed=0):
+    """The segments of one list by the stream's form, its frames arriving in pieces of random sizes."""
+    rng, state, out, at = random.Random(seed), (0, -1, -1, []), [], 0
+    while at < len(probs):
+        n = rng.randint(1, 25)
+        found, state = advance(state, np.array(probs[at : at + n]) >= limits.threshold, limits)
+        out += found
+        at += n
+    return sorted(out + finish(state, limits))
 
 
 def sequences(seed, n, min_run=1):
@@ -36,10 +57,11 @@ def collected(df):
 
 
 @pytest.mark.parametrize("limits", [Limits(), Limits(min_silence=6), Limits(min_speech=2, min_silence=3, merge_gap=6, pad=2)])
-def test_track_is_the_machine(spark, limits):
+def test_track_is_the_statement(spark, limits):
     lists = sequences(3, 60)
-    want = {k: s for k, p in enumerate(lists) if (s := machine(p, limits))}
-    assert collected(track(as_frames(spark, lists), limits)) == want
+    want = stated(lists, limits)
+    assert collected(track(as_frames(spark, lists), limits)) == want == collected(track_capped(as_frames(spark, lists), limits))
+    assert {k: s for k, p in enumerate(lists) if (s := streamed(p, limits, k))} == want
 
 
 def test_chunks_do_not_show(spark, monkeypatch):
@@ -51,11 +73,36 @@ def test_chunks_do_not_show(spark, monkeypatch):
     assert collected(track(as_frames(spark, lists))) == whole
 
 
-def test_capped_is_the_machine(spark):
-    limits = Limits(min_speech=3, min_silence=5, merge_gap=8, pad=2, max_seg=12)
-    lists = sequences(5, 40)
-    want = {k: s for k, p in enumerate(lists) if (s := machine(p, limits))}
+CAPPED = [
+    Limits(min_speech=3, min_silence=5, merge_gap=8, pad=2, max_seg=12),
+    Limits(min_speech=7, min_silence=9, merge_gap=3, pad=2, max_seg=5),
+    Limits(min_speech=1, min_silence=20, merge_gap=1, pad=1, max_seg=4),
+]
+
+
+@pytest.mark.parametrize("limits", CAPPED)
+def test_capped_is_the_statement(spark, limits, monkeypatch):
+    from cuewright.operators import segment
+
+    lists = sequences(5, 40) + [[0.9] * 77, [0.01] * 30, [0.9]]
+    want = stated(lists, limits)
     assert collected(track_capped(as_frames(spark, lists), limits)) == want
+    monkeypatch.setattr(segment, "CHUNK", 11)
+    assert collected(track_capped(as_frames(spark, lists), limits)) == want
+    assert {k: s for k, p in enumerate(lists) if (s := streamed(p, limits, k))} == want
+
+
+def test_capped_literal_cases(spark):
+    limits = Limits(min_speech=2, min_silence=3, merge_gap=5, pad=0, max_seg=4)
+    on, off = [0.9], [0.0]
+    lists = [
+        on * 5,  # the fifth frame is on the cap and ends a segment of five
+        on * 6 + off * 10,  # one frame is left over, too short to be kept
+        on * 3 + off * 4 + on * 3 + off * 9,  # taken up again after the cap: the second frame after cuts
+        on * 3 + off * 5 + on * 3 + off * 9,  # a gap of merge_gap frames is not bridged
+        off * 2 + on * 2 + off * 2,  # the stream ends before the silence is long enough
+    ]
+    assert collected(track_capped(as_frames(spark, lists), limits)) == {0: [(0, 5)], 1: [(0, 5)], 2: [(0, 9)], 3: [(0, 3), (8, 11)], 4: [(2, 6)]}
 
 
 def test_batch_equals_stream_when_runs_are_long(spark):
@@ -79,14 +126,23 @@ def test_literal_cases(spark):
 
 
 def test_hard_split_waits_for_its_padding():
-    tracker = Tracker(Limits(min_speech=4, min_silence=10, max_seg=20, merge_gap=5, pad=3))
-    assert not [s for _ in range(23) for s in tracker.push(0.9)]
-    assert tracker.push(0.9) == [(0, 24)]
-    limits = Limits(min_speech=8, max_seg=50)
-    got = machine([0.9] * 280, limits)
+    limits = Limits(min_speech=4, min_silence=10, max_seg=20, merge_gap=5, pad=3)
+    found, state = advance((0, -1, -1, []), np.ones(23, dtype=bool), limits)
+    assert not found and oldest_needed(state, limits) == 0
+    found, state = advance(state, np.ones(1, dtype=bool), limits)
+    assert found == [(0, 24)] and oldest_needed(state, limits) == 18
+    assert oldest_needed((5, -1, -1, []), limits) is None
+    got = streamed([0.9] * 280, Limits(min_speech=8, max_seg=50))
     assert got[0][0] == 0 and got[-1][1] == 280 and all(b[0] <= a[1] for a, b in zip(got, got[1:], strict=False))
 
 
+def test_cut_samples(spark):
+    segs = spark.createDataFrame([(1, 1, 3), (1, 3, 9)], "source_id long, start_frame long, end_frame long")
+    audio = spark.createDataFrame([(1, [float(x) for x in range(9)])], "source_id long, samples array<float>")
+    got = {r["start_sample"]: r["samples"] for r in cut_samples(segs, audio, 2).collect()}
+    assert got == {2: [2.0, 3.0, 4.0, 5.0], 6: [6.0, 7.0, 8.0]}
+
+
 def test_bounds_ms_floor(spark):
     segs = spark.createDataFrame([(1, 3, 7)], "source_id long, start_frame long, end_frame long")
     assert bounds_ms(segs).first()["start_ms"] == 3 * 512 * 1000 // 16000
@@ -109,11 +165,11 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = collected(spark.table("capped"))
     for k, probs in enumerate(lists):
-        want = machine(probs, limits)
+        want = streamed(probs, limits)
         assert [s for s in want if s in got.get(k, [])] == got.get(k, [])
         assert len(want) - len(got.get(k, [])) <= 2  # what is open at the stream's end
     q = session_segments(read, Limits(), "0 seconds").writeStream.format("memory").queryName("plain").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     closed = collected(spark.table("plain"))
     # In a stream the last run ends at its last speech frame, as if silence went on.
-    assert closed and all(s in machine(lists[k] + [0.01] * 60, Limits()) for k, v in closed.items() for s in v)
+    assert closed and all(s in streamed(lists[k] + [0.01] * 60, Limits()) for k, v in closed.items() for s in v)
