@@ -9,35 +9,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.functions.lets import let
 
 MIN_SECS, MIN_CHARS = 2.0, 4  # a segment without a language needs both to be kept
+ROUNDS = 2
 
 
 def segment_verdict(lang: Column, text: Column, dur_secs: Column, filter_fragments: bool = True) -> Column:
     """``struct<verdict, text>``: ``empty``, ``fragment`` or ``process`` with the collapsed text."""
-    body = X.utrim(F.coalesce(text, F.lit("")))
-    collapsed = X.collapse_repeats(body)
-    stripped = X.strip_punct(collapsed)
-    fragment = F.lit(filter_fragments) & X.lang_is_none(F.coalesce(lang, F.lit(""))) & ((dur_secs < MIN_SECS) | (F.length(stripped) < MIN_CHARS))
-    verdict = F.when((body == "") | (stripped == ""), "empty").when(fragment, "fragment").otherwise("process")
-    return F.struct(verdict.alias("verdict"), F.when(verdict == "process", collapsed).alias("text"))
+    return _judged(lang, X.collapse_repeats(X.utrim(F.coalesce(text, F.lit("")))), dur_secs, filter_fragments)
+
+
+def _judged(lang: Column, collapsed: Column, dur_secs: Column, filter_fragments: bool) -> Column:
+    def judged(x: Column) -> Column:
+        fragment = F.lit(filter_fragments) & X.lang_is_none(F.coalesce(lang, F.lit(""))) & ((dur_secs < MIN_SECS) | (F.length(x["s"]) < MIN_CHARS))
+        verdict = F.when(x["s"] == "", "empty").when(fragment, "fragment").otherwise("process")
+        return let(verdict, lambda v: F.struct(v.alias("verdict"), F.when(v == "process", x["t"]).alias("text")))
+
+    return let(F.struct(collapsed.alias("t"), X.strip_punct(collapsed).alias("s")), judged)
 
 
 def segment_verdicts(utterances: DataFrame, filter_fragments: bool = True) -> DataFrame:
     """``utterances(source_id, seq, start_ms, end_ms, raw)`` with ``lang, verdict, text``."""
     u = X.parse_tagged(F.coalesce("raw", F.lit("")))
-    out = utterances.withColumn("u", u)
+    out = utterances.withColumn("u", u).withColumn("c", X.collapse_repeats(X.utrim("u.text")))
     dur = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0)) / 1000.0
-    out = out.withColumn("v", segment_verdict(F.col("u.lang"), F.col("u.text"), dur, filter_fragments))
-    return out.select("source_id", "seq", "start_ms", "end_ms", F.col("u.lang").alias("lang"), "v.verdict", F.coalesce("v.text", F.col("u.text")).alias("text"), (X.utrim(F.col("u.text")) != F.col("v.text")).alias("collapsed"))
+    out = out.withColumn("v", _judged(F.col("u.lang"), F.col("c"), dur, filter_fragments))
+    return out.select("source_id", "seq", "start_ms", "end_ms", F.col("u.lang").alias("lang"), "v.verdict", F.coalesce("v.text", F.col("u.text")).alias("text"), F.coalesce(X.utrim(F.col("u.text")) != F.col("v.text"), F.lit(False)).alias("collapsed"))
 
 
-def _against(prev: Column, own: Column) -> Column:
-    """Verdict on a stripped text after the last kept stripped text (null: none)."""
-    base = X.strip_punct(X.collapse_repeats(prev))
+def _against(base: Column, own: Column) -> Column:
+    """Verdict on a stripped text after the last kept one's ``base`` (null: none kept yet)."""
     return (
         F.when(own == "", "empty")
-        .when(prev.isNull(), "keep")
+        .when(base.isNull(), "keep")
         .when(own == base, "duplicate")
         .when(X.is_pure_filler(base) & X.is_pure_filler(own), "filler_repeat")
         .otherwise("keep")
@@ -47,40 +52,46 @@ def _against(prev: Column, own: Column) -> Column:
 def cue_verdicts(cues: DataFrame, order: tuple[str, ...] = ("seq", "piece")) -> DataFrame:
     """``cues`` with ``verdict``: each cue against the last kept one of its source.
 
+    A cue is compared stripped, ``__s``; what later cues are compared with is its ``__b``: echoes removed, then
+    stripped again. Both are computed once for each cue and carried along.
+
     Dropped cues equal or resemble the last kept one, so comparing with the last cue that is not empty
-    nearly always gives the same; the verdicts against the last cue kept by that first pass are compared
-    with it, and sources in which they differ are folded one cue at a time.
+    nearly always gives the same. From there each round compares with the last cue that the round before
+    kept; verdicts that two rounds agree on are final. Sources that still differ after ``ROUNDS`` are
+    folded one cue at a time.
     """
     w = Window.partitionBy("source_id").orderBy(*order)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     own = cues.withColumn("__s", X.strip_punct(F.coalesce("text", F.lit(""))))
-    first = own.withColumn("__near", F.last(F.when(F.col("__s") != "", F.col("__s")), ignorenulls=True).over(past))
-    first = first.withColumn("__kept", _against(F.col("__near"), F.col("__s")) == "keep")
-    second = first.withColumn("__last", F.last(F.when(F.col("__kept"), F.col("__s")), ignorenulls=True).over(past))
-    second = second.withColumn("verdict", _against(F.col("__last"), F.col("__s")))
-    second = second.withColumn("__odd", F.max((F.col("__kept") != (F.col("verdict") == "keep")).cast("int")).over(Window.partitionBy("source_id")))
-    steady = second.where("__odd = 0").select(*cues.columns, "verdict")
-    odd = second.where("__odd = 1").select(*cues.columns)
-    return steady.unionByName(_folded(odd, order))
+    own = own.withColumn("__b", X.strip_punct(X.collapse_repeats("__s"))).withColumn("__kept", F.col("__s") != "")
+    for _ in range(ROUNDS):
+        own = own.withColumn("__was", F.col("__kept")).withColumn("__base", F.last(F.when(F.col("__kept"), F.col("__b")), ignorenulls=True).over(past))
+        own = own.withColumn("verdict", _against(F.col("__base"), F.col("__s"))).withColumn("__kept", F.col("verdict") == "keep")
+    own = own.withColumn("__odd", F.max((F.col("__kept") != F.col("__was")).cast("int")).over(Window.partitionBy("source_id")))
+    steady = own.where("__odd = 0").select(*cues.columns, "verdict")
+    return steady.unionByName(_folded(own.where("__odd = 1").select(*cues.columns, "__s", "__b"), order).select(*cues.columns, "verdict"))
 
 
 def _folded(cues: DataFrame, order: tuple[str, ...]) -> DataFrame:
     schema = cues.withColumn("verdict", F.lit("")).schema
     ordered = cues.repartition("source_id").sortWithinPartitions("source_id", *order)
+    fillers = set(X.FILLERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from cuewright.functions import plain
-
-        last, current, begun = None, None, False
+        kept_base: dict = {}  # of the source at hand only
         for batch in batches:
             verdicts = []
-            for source, text in zip(batch["source_id"], batch["text"], strict=True):
-                if not begun or source != current:
-                    last, current, begun = None, source, True
-                verdict = plain.cue_verdict(text or "", last)
-                if verdict == "keep":
-                    last = plain.strip_punct(text)
-                verdicts.append(verdict)
+            for source, own, base in zip(batch["source_id"], batch["__s"], batch["__b"], strict=True):
+                last = kept_base.get(source)
+                if not own:
+                    verdicts.append("empty")
+                elif own == last:
+                    verdicts.append("duplicate")
+                elif last and fillers.issuperset(own) and fillers.issuperset(last):
+                    verdicts.append("filler_repeat")
+                else:
+                    verdicts.append("keep")
+                    kept_base = {source: base}
             yield batch.assign(verdict=verdicts)
 
     return ordered.mapInPandas(run, schema)
@@ -98,7 +109,7 @@ def counters(segments: DataFrame, cues: DataFrame) -> DataFrame:
         F.count("*").alias("n_segs"),
         F.count_if(F.col("verdict") == "empty").alias("n_empty_segs"),
         F.count_if(F.col("verdict") == "fragment").alias("n_frag"),
-        F.count_if(F.coalesce("collapsed", F.lit(False))).alias("n_collapsed"),
+        F.count_if("collapsed").alias("n_collapsed"),
     )
     c = cues.groupBy("source_id").agg(
         F.count_if(F.col("verdict") == "empty").alias("n_empty_cues"),

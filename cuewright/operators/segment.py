@@ -9,12 +9,13 @@ influence each other, so all that has an order happens within one run.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuewright.functions.lets import let
+
 CHUNK = 65_536
 FRAME_SAMPLES = 512
 SAMPLE_RATE = 16_000
@@ -117,11 +118,6 @@ def merge_pad_split(segments: DataFrame, limits: Limits = Limits()) -> DataFrame
     return out.select("source_id", start.alias("start_frame"), end.alias("end_frame"))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _capped(streaks: Column, limits: Limits) -> Column:
     """The segments of one run, from its streaks ``array<struct<s, e>>`` in order: ``struct<a, e, out>`` with the
     segments that are over in ``out`` and the last one open from ``a``, its last speech ending at ``e``.
@@ -140,16 +136,16 @@ def _capped(streaks: Column, limits: Limits) -> Column:
         return F.struct(left.alias("left"), (acc["a"].isNull() | (left & (x["s"] >= acc["e"] + limits.merge_gap))).alias("anew"))
 
     def advanced(acc: Column, x: Column) -> Column:
-        over = _let(entered(acc, x), lambda h: F.struct(
+        over = let(entered(acc, x), lambda h: F.struct(
             F.when(h["anew"], x["s"]).otherwise(acc["a"]).alias("a"),
             F.when(h["left"], x["s"] + 1).otherwise(x["s"]).alias("from"),
             F.when(h["anew"] & (acc["e"] - acc["a"] >= max(1, limits.min_speech)), F.array(F.struct(acc["a"].alias("s"), acc["e"].alias("e")))).otherwise(F.array().cast(span)).alias("closed"),
         ))
         if not limits.max_seg:
-            return _let(over, lambda o: F.struct(o["a"].alias("a"), x["e"].alias("e"), F.concat(acc["out"], o["closed"]).alias("out")))
-        cut = _let(over, lambda o: F.struct(o["a"].alias("a"), o["closed"].alias("closed"), F.greatest(o["from"], o["a"] + limits.max_seg).alias("first")))
+            return let(over, lambda o: F.struct(o["a"].alias("a"), x["e"].alias("e"), F.concat(acc["out"], o["closed"]).alias("out")))
+        cut = let(over, lambda o: F.struct(o["a"].alias("a"), o["closed"].alias("closed"), F.greatest(o["from"], o["a"] + limits.max_seg).alias("first")))
         cuts = lambda c: F.when(c["first"] < x["e"], F.sequence(c["first"], x["e"] - 1, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        return _let(cut, lambda c: _let(cuts(c), lambda at: F.struct(
+        return let(cut, lambda c: let(cuts(c), lambda at: F.struct(
             F.coalesce(F.get(at, F.size(at) - 1) + 1, c["a"]).alias("a"),
             x["e"].alias("e"),
             F.concat(acc["out"], c["closed"], F.transform(at, lambda i: F.struct(F.when(i == c["first"], c["a"]).otherwise(i - limits.max_seg).alias("s"), (i + 1).alias("e")))).alias("out"),
@@ -175,7 +171,8 @@ def track_capped(frames: DataFrame, limits: Limits) -> DataFrame:
     held = (F.col("run") == F.col("last_run")) & (_left_at(F.col("r.a"), F.col("r.e"), limits) >= F.col("n_frames"))
     last = F.struct(F.col("r.a").alias("s"), F.when(held, F.col("n_frames")).otherwise(F.col("r.e")).alias("e"))
     long_enough = F.filter(F.array(last), lambda x: x["e"] - x["s"] >= max(1, limits.min_speech))
-    out = done.select("source_id", "n_frames", F.explode(F.concat("r.out", long_enough)).alias("x"))
+    # An inner explode would be filtered by size first, and that filter computes the fold again.
+    out = done.select("source_id", "n_frames", F.explode_outer(F.concat("r.out", long_enough)).alias("x")).where("x is not null")
     return padded(out.select("source_id", F.col("x.s").alias("start_frame"), F.col("x.e").alias("end_frame"), "n_frames"), limits.pad).drop("n_frames")
 
 

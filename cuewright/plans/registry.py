@@ -1,7 +1,7 @@
 """Every query of the engine and the DuckDB statement that must give the same rows.
 
-Queries run over whole tables. Those without a statement fold over an order or use back references,
-which the statement's dialect lacks; the tests compare them with plain Python.
+Queries run over whole tables. ``collapse_repeats`` has no statement, which would list all units at all
+places of whole documents; ``collapse_turns`` is the same operator on shorter texts, with one.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-# Fixed values for the statements: the classes of functions.text in their dialect.
-_WS = r"\x{9}-\x{D} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS, _sub, _utrim = statements.WS, statements.sub, statements.utrim
 _P = X.PUNCT
 _SEGS = "select source_id, start_frame, end_frame"
 
@@ -40,14 +39,6 @@ def _query(sql: str | None = None):
     return add
 
 
-def _sub(text: str, inside: str, negate: bool = False) -> str:
-    return f"regexp_replace({text}, '[{'^' if negate else ''}{inside}]', '', 'g')".replace("[" + "^" * negate + inside + "]", "[" + "^" * negate + inside.replace("'", "''") + "]")
-
-
-def _utrim(text: str) -> str:
-    return f"regexp_replace({text}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -65,6 +56,11 @@ def collapse_repeats(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.collapse_repeats("text").alias("collapsed"))
 
 
+@_query(f"with recursive {statements.collapse_ctes('c', '(select conv_id || chr(58) || turn as id, text as s from conversations where text is not null)')} select conv_id, turn, r as collapsed from conversations left join c on c.id = conv_id || chr(58) || turn")
+def collapse_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.collapse_repeats("text").alias("collapsed"))
+
+
 @_query(f"select doc_id, regexp_matches({_sub('text', _P + _WS)}, '^[{X.FILLERS}]+$') as filler from documents")
 def filler_flag(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.is_pure_filler(X.strip_punct("text")).alias("filler"))
@@ -225,17 +221,21 @@ def split_even(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(layout.split_even(F.col("text"), F.lit(7)), "|").alias("parts"))
 
 
-@_query()
+@_query(f"with {statements.split_ctes('c', UTTERANCES)} select source_id, seq, piece, start_ms, end_ms, text from c")
 def split_long_cues(spark, sf_dir):
     return layout.split_long_cues(utterances(spark, sf_dir)).select("source_id", "seq", "piece", "start_ms", "end_ms", "text")
 
 
-@_query()
+@_query(f"with recursive {statements.wrap_ctes('w', '(select doc_id as id, text as t from documents)')} select id as doc_id, wrapped from w")
 def wrap_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", layout.wrap_text("text").alias("wrapped"))
 
 
-@_query()
+@_query(
+    f"""with recursive {statements.split_ctes('c', UTTERANCES)}, k as (select *, source_id || ':' || seq || ':' || piece as id from c),
+{statements.wrap_ctes('w', '(select id, text as t from k)')}
+select source_id, row_number() over (partition by source_id order by seq, piece) as index, start_ms, end_ms, t as text from (select k.*, {_utrim('wrapped')} as t from k join w using (id)) where t <> ''"""
+)
 def layout_cues(spark, sf_dir):
     return layout.layout(utterances(spark, sf_dir)).select("source_id", "index", "start_ms", "end_ms", "text")
 
@@ -262,7 +262,12 @@ def _judged(spark, sf_dir):
     return dedup.segment_verdicts(u)
 
 
-@_query()
+_RAW = f"(select source_id, seq, start_ms, end_ms, case when role = 'user' then 'None' else 'English' end as lang, text from {UTTERANCES})"
+_SEGMENTS = "with recursive " + statements.segments_ctes(_RAW)
+_JUDGED = f"""{_SEGMENTS}, {statements.split_ctes('sp', "(select source_id, seq, start_ms, end_ms, text from judged where verdict = 'process')")}, {statements.verdict_ctes('cues', 'sp')}"""
+
+
+@_query(_SEGMENTS + " select * from judged")
 def segment_verdicts(spark, sf_dir):
     return _judged(spark, sf_dir)
 
@@ -272,12 +277,17 @@ def _cues(spark, sf_dir):
     return dedup.cue_verdicts(layout.split_long_cues(kept))
 
 
-@_query()
+@_query(_JUDGED + " select source_id, seq, piece, start_ms, end_ms, text, verdict from cues")
 def cue_verdicts(spark, sf_dir):
     return _cues(spark, sf_dir)
 
 
-@_query()
+@_query(
+    _JUDGED
+    + """ select source_id, n_segs, n_empty + coalesce(e, 0) as n_empty, n_frag, n_collapsed, coalesce(d, 0) as n_dup, coalesce(f, 0) as n_filler, coalesce(k, 0) as n_kept from
+(select source_id, count(*) as n_segs, count(*) filter (verdict = 'empty') as n_empty, count(*) filter (verdict = 'fragment') as n_frag, count(*) filter (collapsed) as n_collapsed from judged group by 1)
+left join (select source_id, count(*) filter (verdict = 'empty') as e, count(*) filter (verdict = 'duplicate') as d, count(*) filter (verdict = 'filler_repeat') as f, count(*) filter (verdict = 'keep') as k from cues group by 1) using (source_id)"""
+)
 def transcript_counters(spark, sf_dir):
     return dedup.counters(_judged(spark, sf_dir), _cues(spark, sf_dir))
 
@@ -288,7 +298,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.select("source_id", F.col("index").cast("long").alias("index"), X.format_timestamp("start_ms").alias("start"), X.format_timestamp("end_ms").alias("end"), "text")
 
 
-@_query()
+@_query(
+    f"""{_JUDGED} select source_id, row_number() over (partition by source_id order by seq, piece) as index, {_TS.format('start_ms')} as start, {_TS.format('end_ms')} as "end", text from cues where verdict = 'keep'"""
+)
 def subtitles(spark, sf_dir):
     return flagship(spark, sf_dir)
 

@@ -1,10 +1,12 @@
-"""Text functions against literal cases and against plain Python over all code points that matter."""
+"""Text functions against literal cases and against definitions in plain Python."""
 
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
-from cuewright.functions import plain
+from cuewright.functions import echo
 from cuewright.functions import text as X
 
 
@@ -13,6 +15,7 @@ def column(spark, values, f, kind="s string"):
     return [r[0] for r in rows.orderBy("i").select(f("s").alias("x")).collect()]
 
 
+# Cases that the results must equal.
 COLLAPSE = {
     "啊！" * 10: "啊！啊！",
     "谢谢谢谢谢谢": "谢谢",
@@ -30,40 +33,32 @@ COLLAPSE = {
 }
 
 
-def scan(text):
-    """The collapse rule as a scan: smallest repeating unit at each place, the whole chain skipped."""
-    out, i = [], 0
-    while i < len(text):
-        for n in range(1, min((len(text) - i) // 2, 128) + 1):
-            unit = text[i : i + n]
-            times = 1
-            while text[i + times * n : i + (times + 1) * n] == unit:
-                times += 1
-            keep = 1 if n >= 3 and times >= 2 else 2 if times >= 3 else 0
-            if keep:
-                out.append(unit * keep)
-                i += times * n
-                break
-        else:
-            out.append(text[i])
-            i += 1
-    return "".join(out)
-
-
-def test_collapse_repeats(spark):
+# The rule as a pattern: alternatives and lengths are tried in its order, an echo is one match.
+ECHO = re.compile(r"(.)\1{2,}|(..)\2{2,}|(.{3,128}?)\3+", re.DOTALL)
+
+
+def defined(text):
+    return ECHO.sub(lambda m: 2 * (m[1] or m[2] or "") or m[3], text)
+
+
+def test_collapse_repeats(spark, monkeypatch):
     rng = random.Random(5)
-    more = ["".join(rng.choice("ab啊！\n") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    more = ["".join(rng.choice("ab啊！\n😀") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    more += ["x" * 300 + ("".join(rng.choice("abcd") for _ in range(n))) * 3 for n in (99, 127, 128, 129, 130)]
     values = list(COLLAPSE) + more
-    want = list(COLLAPSE.values()) + [scan(s) for s in more]
-    assert column(spark, values, X.collapse_repeats) == want
-    assert [plain.collapse_repeats(s) for s in values] == want
+    want = list(COLLAPSE.values()) + [defined(s) for s in more]
+    assert column(spark, [*values, None], X.collapse_repeats) == [*want, None]
+    monkeypatch.setattr(echo, "BLOCK", 100)
+    assert echo.collapse_all(values) == want and echo.collapse_all([]) == []
 
 
 def test_strip_and_filler(spark):
     cases = {"你好，世界！": "你好世界", "えー…": "えー", "a.b, c!": "abc", "「引用」(括弧)": "引用括弧", "«x»¿": "«x»¿", "々〇": ""}
     assert column(spark, list(cases), X.strip_punct) == list(cases.values())
-    points = ["".join(map(chr, range(a, a + 64))) for a in range(32, 0x3100, 64)]
-    assert column(spark, points, X.strip_punct) == [plain.strip_punct(p) for p in points]
+    ranges = [(0x2000, 0x206F), (0x3000, 0x303F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFE30, 0xFE4F), (0xB7, 0xB7)]
+    gone = lambda c: (c.isspace() and not 0x1C <= ord(c) <= 0x1F) or (c.isascii() and unicodedata.category(c)[0] in "PS") or any(a <= ord(c) <= b for a, b in ranges)
+    points = ["".join(map(chr, range(a, a + 64))) for a in [*range(32, 0x3100, 64), *range(0xFE00, 0xFFC0, 64)]]
+    assert column(spark, points, X.strip_punct) == ["".join(c for c in p if not gone(c)) for p in points]
     fillers = {"嗯嗯": True, "哎呀": True, "": False, "嗯好": False, "太阳": False}
     assert column(spark, list(fillers), X.is_pure_filler) == list(fillers.values())
 
