@@ -7,7 +7,8 @@ template's words that are aligned with equal words of the text.
 
 A text is only aligned with templates of which it holds enough distinct words to reach the coverage,
 and then from every place on where those words stand close enough together, so the texts of a clean
-corpus are passed over by set intersection.
+corpus are passed over by set intersection. A match of a notice or a whole text may be stretched by
+other words to ``REACH`` times the template's length, a statement to ``STRETCH`` times.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewright.llm._shared import small_batches
 
 COVERAGE = 0.8
-STRETCH = 1.5
+STRETCH = 1.5  # windows that begin at every place are this many templates long
+REACH = 4.0  # the longest match, in templates: part of what a match is
 SHORT = 20  # templates of fewer words must align whole
 
 # Public license texts, notices and statements.
@@ -214,53 +216,65 @@ class Matcher:
         self.all = frozenset().union(*self.kinds.values())
 
     def scan(self, text: list[bytes]) -> list[Match]:
-        """All matches that reach the coverage, by start; where matches overlap the one stays whose aligned
-        words exceed its missing ones by most, then the one of greater coverage, then the earlier in the templates' order."""
+        """All matches that reach the coverage, by start; where matches overlap the one of the narrower windows
+        stays, then the one whose aligned words exceed its missing ones by most, then the one of greater coverage, then the earlier in the templates' order."""
         held = self.all & set(text)
-        found: list[tuple[int, float, int, Match]] = []
+        found: list[tuple[int, int, float, int, Match]] = []
         for order, (name, own) in enumerate(self.templates.items()):
             least, named = self.least[name], self.named.get(name)
             spare = len(own) - least * len(own)
             if not own or len(self.kinds[name] - held) > spare:
                 continue
             done = 0
-            for low, high in self._windows(text, own, spare):
+            for scale, low, high in self._windows(text, own, spare, len(own) >= SHORT):
                 if low < done:
                     continue
                 pairs = align(text[low:high], own)
                 share = len(pairs) / len(own)
                 if share >= least and (named is None or pairs[-1][0] - pairs[named][0] == len(own) - 1 - named) and self.naming[name] <= {own[y] for _, y in pairs}:
                     match = Match(name, share, low + pairs[0][0], low + pairs[-1][0] + 1)
-                    if match.end - match.start <= self.stretch * len(own) + 1:
-                        found.append((len(own) - 2 * len(pairs), -share, order, match))
+                    if match.end - match.start <= (REACH if len(own) >= SHORT else self.stretch) * len(own) + 1:
+                        found.append((scale, len(own) - 2 * len(pairs), -share, order, match))
                     if share == 1.0 and match.end - match.start == len(own):
                         done = match.end  # nothing that starts before its end can be better
         kept: list[Match] = []
-        for *_, match in sorted(found, key=lambda x: (*x[:3], x[3].end - x[3].start, x[3].start)):
+        for *_, match in sorted(found, key=lambda x: (*x[:4], x[4].end - x[4].start, x[4].start)):
             if all(match.end <= k.start or match.start >= k.end for k in kept):
                 kept.append(match)
         return sorted(kept, key=lambda k: k.start)
 
-    def _windows(self, text: list[bytes], own: list[bytes], spare: float) -> Iterator[tuple[int, int]]:
-        """Windows of the text from every place of a template's word on, but those that hold too few of the
-        template's words, counted with repeats, to reach the coverage."""
+    def _windows(self, text: list[bytes], own: list[bytes], spare: float, wide: bool) -> Iterator[tuple[int, int, int]]:
+        """Windows, with the rank of their width, of the text from every place of a template's word on, and if ``wide`` wider ones, which
+        overlap so far that every match of up to ``REACH`` templates lies within one; but none that
+        holds too few of the template's words, counted with repeats, to reach the coverage."""
         wanted = Counter(own)
         at = [i for i, w in enumerate(text) if w in wanted]
         need = len(own) - int(spare)
-        width = int(self.stretch * len(own)) + 1
-        held: Counter[bytes] = Counter()
-        j = useful = 0
-        for low in at:
-            while j < len(at) and at[j] < low + width:
-                w = text[at[j]]
-                held[w] += 1
-                useful += held[w] <= wanted[w]
-                j += 1
-            if useful >= need:
-                yield low, min(len(text), low + width)
-            w = text[low]
-            useful -= held[w] <= wanted[w]
-            held[w] -= 1
+        scales = [(self.stretch, 0.0)] + [(2 * x, x - 0.5) for x in (2.0, REACH)] * wide
+        for scale, (length, stride) in enumerate(scales):
+            width = int(length * len(own)) + 1
+            held: Counter[bytes] = Counter()
+            j = useful = 0
+            free = -1
+            for low in at:
+                while j < len(at) and at[j] < low + width:
+                    w = text[at[j]]
+                    held[w] += 1
+                    useful += held[w] <= wanted[w]
+                    j += 1
+                if useful >= need and low >= free:
+                    yield scale, low, min(len(text), low + width)
+                    free = low + int(stride * len(own))
+                w = text[low]
+                useful -= held[w] <= wanted[w]
+                held[w] -= 1
+
+
+def templates_in(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The texts of a folder's files by file name, as templates to scan for: full licenses, for example. They
+    are read by Spark and held by the driver and each worker, so a folder holds templates, not documents."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    return {r["name"]: r["value"] for r in files.orderBy("name").collect()}
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,3 +91,32 @@ def test_relatives_are_told_apart():
     bsd = L.TEMPLATES["BSD-3-Clause"]
     assert bsd.endswith("SUCH DAMAGE.") and len(bsd.split()) > 200
     assert matcher.scan(L.words(bsd[: len(bsd) // 2].encode())) == []
+
+
+def test_stretched_and_altered_matches():
+    """Whatever whole-text alignment finds in a text of one template among other words is found."""
+    rng = random.Random(8)
+    matcher = L.Matcher()
+    noise = [f"foreign{k}".encode() for k in range(400)]
+    for name, own in matcher.templates.items():
+        if len(own) < L.SHORT:
+            continue
+        for share in (0.3, 0.6, 1.0, 2.0):
+            spread = [x for w in own for x in (w, *rng.sample(noise, int(share) + (rng.random() < share % 1)))]
+            text = [*rng.sample(noise, 80), *spread, *rng.sample(noise, 80)]
+            assert len(L.align(text, own)) >= matcher.coverage * len(own)
+            assert [m.name for m in matcher.scan(text)] == [name], (name, share)
+        # The first two words are altered and stand once more in the middle.
+        half = len(own) // 2
+        altered = [b"another", b"start", *own[2:half], *own[:2], *own[half:]]
+        found = matcher.scan([*rng.sample(noise, 80), *altered, *rng.sample(noise, 80)])
+        assert [m.name for m in found] == [name] and found[0].coverage >= 0.8
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    full = " ".join(f"clause{k} of the terms" for k in range(300))
+    (tmp_path / "Some-1.0").write_text(full)
+    found = L.templates_in(spark, str(tmp_path))
+    df = spark.createDataFrame([(1, f"before {full} after"), (2, "clause1 of the terms")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["coverage"]) for r in L.scan(df, found).collect()}
+    assert found == {"Some-1.0": full} and got == {1: ("Some-1.0", 1.0), 2: (None, 0.0)}
