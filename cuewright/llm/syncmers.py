@@ -7,11 +7,15 @@ stands at its left or right edge. Whether it does depends on the k-mer alone, so
 gives the same anchors in any surroundings, and their positions match it across documents.
 
 The fingerprint is the SKETCH least hashes of the distinct syncmers of the whole text; the likeness
-of two fingerprints estimates the share of common syncmers among all of both (Jaccard).
+of two fingerprints estimates the share of common syncmers among all of both (Jaccard). Beside it the
+SKETCH least hashes of neighbours, two syncmers that follow each other, are kept: their likeness
+estimates how far two texts have the same anchors in the same order.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,8 @@ S = 2
 SKETCH = 128
 TOKEN = r"\S{1,12}"
 BUCKET_ROWS = 512
-MOST_BUCKETS = 1 << 16
+MOST_BUCKETS = 1 << 16  # beyond that many ranges each has more rows: a sort that spills, no table in memory
+PARTS = 1 << 17
 
 
 def _tokens(text: Column) -> Column:
@@ -70,15 +75,18 @@ def with_anchors(df: DataFrame, text_col: str, out: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with ``out array<int>``: the least SKETCH 31-bit hashes of the text's anchors, ascending."""
+    """``df`` with ``out array<int>``: the least SKETCH 31-bit hashes of the text's anchors, ascending, and
+    ``out_order``, the same of neighbouring anchors."""
     t, h, a = (f"__cw_{out}_{x}" for x in "tha")
     few = F.when(F.size(t) == 0, F.array().cast("array<int>")).when(F.size(t) < K, F.array(_short(F.xxhash64(t))))
     all_ = F.transform(_chosen(h), lambda i: _short(_kmer(h, i)))
+    neighbours = F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: _short(F.xxhash64(x, y)))
+    least = lambda x: F.slice(F.sort_array(F.array_distinct(x)), 1, SKETCH)
     return (
         df.withColumn(t, _tokens(F.col(text_col)))
         .withColumn(h, _inner(t))
         .withColumn(a, few.otherwise(all_))
-        .withColumn(out, F.slice(F.sort_array(F.array_distinct(a)), 1, SKETCH))
+        .withColumns({out: least(F.col(a)), f"{out}_order": least(neighbours)})
         .drop(t, h, a)
     )
 
@@ -111,22 +119,30 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], bucket_rows: int
     """``docs`` with ``next_<c>`` for each of ``carried``: the next row's, by descending ``id_col``,
     after the last row the first's. Null ids come last; equal ids go by a hash of ``carried[0]``.
 
-    Rows are dealt into ranges of ids of about equal number. A range's first row is also dealt, as a
-    copy, to the end of the range before it, so no range waits for another.
+    Rows are dealt into ranges of ids of about equal number; rows of one id, null included, that are more
+    than a range's are cut by their hash. A range's first row is also dealt, as a copy, to the end of the
+    range before it, so no range waits for another.
     """
     keyed = docs.withColumn("__cw_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__cw_tie", F.xxhash64(carried[0]))
     n = docs.count()
     buckets = max(1, min(MOST_BUCKETS, n // bucket_rows))
-    bounds: list[int] = []
+    found: list[int] = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(keyed.agg(F.percentile_approx("__cw_key", shares, 20 * buckets)).first()[0]))
-    dealt = _bucketed(keyed, bounds)
-    # A row for each range, MOST_BUCKETS + 1 at most: its first row and the range that its copy goes to.
+        found = keyed.agg(F.percentile_approx("__cw_key", shares, 20 * buckets)).first()[0] or []
+    # An id that several bounds fall on has a range of its own, cut by the hash into as many parts.
+    parts = Counter(found)
+    bounds = sorted({*parts, *(v + 1 for v, times in parts.items() if times > 1 and v < (1 << 63) - 1)})
+    sizes = F.lit([1] + [parts[v] + 1 if parts[v] > 1 else 1 for v in bounds]).cast("array<bigint>")
+    place = F.shiftright("__cw_tie", 33) + F.lit(1 << 30)
+    part = F.shiftright(place * F.get(sizes, F.col("__cw_b")), 31)
+    # Ranges and parts in one number that falls in the order of the rows.
+    dealt = _bucketed(keyed, bounds).withColumn("__cw_b", F.col("__cw_b") * F.lit(PARTS).cast("long") + (F.lit(PARTS - 1) - part))
+    # A row for each range and part: its first row and the range that its copy goes to.
     order = F.struct(F.col("__cw_key").alias("k"), F.bitwise_not("__cw_tie").alias("t"))
     tops = sorted(dealt.groupBy("__cw_b").agg(F.max(order).alias("top")).collect())
     firsts = [(r["__cw_b"], r["top"]["k"], ~r["top"]["t"], tops[(i + 1) % len(tops)]["__cw_b"]) for i, r in enumerate(tops)]
-    first = docs.sparkSession.createDataFrame(firsts, "__cw_fb int, __cw_fk long, __cw_ft long, __cw_to int")
+    first = docs.sparkSession.createDataFrame(firsts, "__cw_fb long, __cw_fk long, __cw_ft long, __cw_to long")
     joined = dealt.join(F.broadcast(first), F.col("__cw_b") == F.col("__cw_fb"))
     is_first = (F.col("__cw_key") == F.col("__cw_fk")) & (F.col("__cw_tie") == F.col("__cw_ft"))
     homes = F.when(is_first, F.array(F.struct(F.col("__cw_b").alias("b"), F.lit(0).alias("g")), F.struct(F.col("__cw_to").alias("b"), F.lit(1).alias("g"))))
@@ -142,16 +158,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the first as many of the next document by descending id, after the last document by the first's.
 
     One row for each row of ``docs``, repeated rows included: ``id_col, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next``. Null texts count as empty: an empty
+    fingerprint, edited_fingerprint, near_edited, near_next`` and ``order_edited, order_next``, the likeness of
+    neighbouring anchors (1 between two texts that have none). Texts of any length count whole. Null texts count as empty: an empty
     fingerprint, like another empty one with 1.0 and any other with 0.0. Null ids come last in the
     order; rows of one id go by a hash of the text. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_sketch(slim, "text", "sketch").select("text", "id", "sketch")
-    both = with_next(own, "id", ["text", "sketch"])
+    own = with_sketch(slim, "text", "sketch").select("text", "id", "sketch", "sketch_order")
+    both = with_next(own, "id", ["text", "sketch", "sketch_order"])
     both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("cut", (F.col("n_chars") / 3).cast("int"))
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substring("next_text", F.lit(1), F.col("cut"))))
-    both = with_sketch(both.select("id", "n_chars", "edited", "sketch", "next_sketch"), "edited", "edited_sketch")
+    both = with_sketch(both.select("id", "n_chars", "edited", "sketch", "sketch_order", "next_sketch", "next_sketch_order"), "edited", "edited_sketch")
     return both.select(
         F.col("id").alias(id_col),
         "n_chars",
@@ -160,4 +177,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         spelled("edited_sketch").alias("edited_fingerprint"),
         likeness("sketch", "edited_sketch").alias("near_edited"),
         likeness("sketch", "next_sketch").alias("near_next"),
+        likeness("sketch_order", "edited_sketch_order").alias("order_edited"),
+        likeness("sketch_order", "next_sketch_order").alias("order_next"),
     )

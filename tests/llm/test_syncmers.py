@@ -15,8 +15,8 @@ def rows():
     return [(i * 3, t, "s", 1) for i, t in enumerate(texts)] + [(None, "no id", "s", 1), (6, "same id", "s", 1)]
 
 
-def check(spark, got):
-    own = [(r[0], r[1] or "") for r in rows()]
+def check(spark, got, given=None):
+    own = [(r[0], r[1] or "") for r in given or rows()]
     tie = {t: h for t, h in spark.createDataFrame([(t,) for _, t in own], "t string").select("t", F.xxhash64("t")).collect()}
     own.sort(key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
     want = []
@@ -63,3 +63,21 @@ def test_empty_and_single(spark):
     assert S.edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = S.edited_fingerprints(spark.createDataFrame([(1, LONG, "s", 1)], SCHEMA)).collect()
     assert one[0]["near_next"] == 1.0
+
+
+def test_one_id_with_many_rows(spark, monkeypatch):
+    """Rows without an id are cut by their hash; each still finds its next."""
+    many = [(None if k % 3 else k, f"text number {k} of the many", "s", 1) for k in range(400)]
+    monkeypatch.setattr(S.with_next, "__defaults__", (20,))
+    check(spark, S.edited_fingerprints(spark.createDataFrame(many, SCHEMA)).collect(), many)
+
+
+def test_order_is_told_apart(spark):
+    words = [f"w{k}" for k in range(600)]
+    blocks = [words[k : k + 20] for k in range(0, 600, 20)]
+    turned = " ".join(w for b in reversed(blocks) for w in b)
+    df = spark.createDataFrame([(1, " ".join(words)), (2, turned), (3, " ".join(words))], "i int, text string")
+    got = S.with_sketch(df, "text", "s")
+    a, b = got.where("i = 1"), got.where("i = 2").select(F.col("s").alias("u"), F.col("s_order").alias("u_order"))
+    r = a.crossJoin(b).select(S.likeness("s", "u").alias("x"), S.likeness("s_order", "u_order").alias("y")).first()
+    assert 0.5 < r["x"] < 0.9 and r["y"] < r["x"]
