@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, html_text, licenses, mixing, quality, secrets, sharding, simhash, suffixes, syncmers
+from cuewright.llm import bpe, html_text, licenses, mixing, quality, secrets, sharding, simhash, statements, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,6 +61,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+# What SQL can state of a contract is a query of its own beside the operator's.
+
+
+def base_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_syncmers(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+def base_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_suffixes(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_syncmers": op1_syncmers,
@@ -74,8 +97,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
+        "base_edited": base_edited,
+        "base_quality": base_quality,
+        "base_mixing": base_mixing,
+        "base_suffixes": base_suffixes,
+        "base_secrets": base_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "base_edited": statements.BASE_EDITED,
+        "base_quality": statements.BASE_QUALITY,
+        "base_mixing": statements.BASE_MIXING,
+        "base_suffixes": statements.BASE_SUFFIXES,
+        "base_secrets": statements.BASE_SECRETS,
+    }

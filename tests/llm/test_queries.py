@@ -36,4 +36,15 @@ def test_contract(spark, name):
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert {*COLUMNS, "pipeline"} == set(Q.queries()) and set(Q.queries()) <= set(entry.queries())
+    assert {*COLUMNS, "pipeline", *Q.oracle_sql()} == set(Q.queries()) and set(Q.queries()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_statement(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    found = con.execute(Q.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    assert sorted(map(tuple, Q.queries()[name](spark, SMALL).select(*columns).collect())) == sorted(found.fetchall())
