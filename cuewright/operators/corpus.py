@@ -7,26 +7,19 @@ from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
 
-BROADCAST_ROWS = 200_000
-
 
 def last_wins(pairs: DataFrame, key: str = "src", value: str = "dst", order: str = "line_no") -> DataFrame:
     """One row for each key: the value of its last line, the place of its first."""
     return pairs.groupBy(key).agg(F.max_by(value, order).alias(value), F.min(order).alias(order))
 
 
-def _small(side: DataFrame) -> DataFrame:
-    """``side`` to be broadcast if it is counted to be small, else as it is."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
-
-
 def translate(rows: DataFrame, table: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with ``target`` and ``match``: exact on the trimmed text, else on the text without closing
-    marks, of such keys the first in the table; null and ``miss`` if neither."""
+    marks, of such keys the first in the table; null and ``miss`` if neither. Keys are whole texts, so whether
+    a side is broadcast is left to Spark, which goes by the bytes that it finds at run time."""
     t = last_wins(table)
-    exact = _small(t.select(F.col("src").alias("__k"), F.col("dst").alias("__exact")))
+    exact = t.select(F.col("src").alias("__k"), F.col("dst").alias("__exact"))
     loose = t.groupBy(X.rstrip_sentence_marks("src").alias("__n")).agg(F.min_by("dst", "line_no").alias("__loose"))
-    loose = _small(loose)
     out = rows.withColumn("__key", X.utrim(text_col)).withColumn("__norm", X.rstrip_sentence_marks("__key"))
     out = out.join(exact, F.col("__key") == F.col("__k"), "left").join(loose, F.col("__norm") == F.col("__n"), "left")
     match = F.when(F.col("__exact").isNotNull(), "exact").when(F.col("__loose").isNotNull(), "loose").otherwise("miss")
@@ -67,7 +60,17 @@ def draw(seed: int, row_id: Column) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def position(rows: DataFrame, order: list[str], salt_bits: int = 0) -> DataFrame:
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """A reader's limit: the first ``most`` rows in ``order``."""
+    return rows.orderBy(*order).limit(most)
+
+
+def first_match(candidates: DataFrame, group: str, value: str, rank: str, complete: Column) -> DataFrame:
+    """``group`` and ``first``: the value of the candidate of least rank that is complete; null if none is."""
+    return candidates.groupBy(group).agg(F.min_by(value, F.when(complete, F.col(rank))).alias("first"))
+
+
+def position(rows: DataFrame, order: list[str]) -> DataFrame:
     """``rows`` with ``position``, counted from 0 over all rows in ``order``.
 
     Rows are range partitioned by the first column and numbered in each range; only the ranges' counts
@@ -83,6 +86,13 @@ def position(rows: DataFrame, order: list[str], salt_bits: int = 0) -> DataFrame
     return own.join(F.broadcast(before), "__r").withColumn("position", F.col("__b") + F.col("__i") - 1).drop("__r", "__b", "__i")
 
 
+def _drawn(rows: DataFrame, limit: int, asr_ratio: float, seed: int) -> DataFrame:
+    """``rows`` with ``__eval``, from position ``limit`` on, ``__mt``, to be translated, and ``__skip``, if that has no target."""
+    own = rows.withColumn("__eval", F.col("position") >= limit)
+    own = own.withColumn("__mt", F.col("__eval") | (draw(seed, F.col("row_id")) >= asr_ratio))
+    return own.withColumn("__skip", F.col("__mt") & F.col("target").isNull())
+
+
 def records(rows: DataFrame, limit: int, asr_ratio: float, seed: int, prompt: str, language: str = "Japanese") -> DataFrame:
     """Training and evaluation records from ``rows(row_id, audio, text, target, position)``.
 
@@ -90,13 +100,18 @@ def records(rows: DataFrame, limit: int, asr_ratio: float, seed: int, prompt: st
     and transcribed without. Of the others a fixed draw decides the task. Rows to be translated without
     a target are skipped.
     """
-    eval_ = F.col("position") >= limit
-    translated = eval_ | (draw(seed, F.col("row_id")) >= asr_ratio)
+    own = _drawn(rows, limit, asr_ratio, seed)
     mt = F.struct(F.lit("translate").alias("task"), X.tagged(language, F.col("target")).alias("text"), F.lit(prompt).alias("prompt"))
     asr = F.struct(F.lit("transcribe").alias("task"), X.tagged(language, F.col("text")).alias("text"), F.lit("").alias("prompt"))
-    out = rows.where(~translated | F.col("target").isNotNull())
-    made = F.when(eval_, F.array(mt, asr)).when(translated, F.array(mt)).otherwise(F.array(asr))
-    return out.select("row_id", F.when(eval_, "eval").otherwise("train").alias("split"), "audio", F.explode(made).alias("r")).select("row_id", "split", "audio", "r.task", "r.text", "r.prompt")
+    made = F.when(F.col("__eval"), F.array(mt, asr)).when(F.col("__mt"), F.array(mt)).otherwise(F.array(asr))
+    split = F.when(F.col("__eval"), "eval").otherwise("train").alias("split")
+    return own.where("not __skip").select("row_id", split, "audio", F.explode(made).alias("r")).select("row_id", "split", "audio", "r.task", "r.text", "r.prompt")
+
+
+def with_silence(made: DataFrame, silence: DataFrame) -> DataFrame:
+    """``records`` with ``silence_rows`` behind them, as training records of the task ``silence`` without a row id."""
+    own = silence.select(F.lit(None).cast(made.schema["row_id"].dataType).alias("row_id"), F.lit("train").alias("split"), "audio", F.lit("silence").alias("task"), "text", "prompt")
+    return made.unionByName(own)
 
 
 def silence_rows(spark: SparkSession, n: int, prompt: str, low: float, high: float, seed: int) -> DataFrame:
@@ -114,3 +129,10 @@ def silence_rows(spark: SparkSession, n: int, prompt: str, low: float, high: flo
 
 def composition(made: DataFrame) -> DataFrame:
     return made.groupBy("split", "task").agg(F.count("*").alias("n"))
+
+
+def counters(rows: DataFrame, limit: int, asr_ratio: float, seed: int, n_silence: int) -> DataFrame:
+    """One row for the training part: ``n_mt, n_asr, n_skipped, n_silence``; skipped rows count wherever they stand."""
+    own = _drawn(rows, limit, asr_ratio, seed)
+    train = ~F.col("__eval") & ~F.col("__skip")
+    return own.agg(F.count_if(train & F.col("__mt")).alias("n_mt"), F.count_if(train & ~F.col("__mt")).alias("n_asr"), F.count_if("__skip").alias("n_skipped"), F.lit(n_silence).cast("long").alias("n_silence"))

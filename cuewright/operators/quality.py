@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cuewright.functions import text as X
 
@@ -48,15 +50,24 @@ def subtitle_checks(metrics: DataFrame, transcribed: bool = False) -> DataFrame:
     return metrics.select("source_id", F.explode(pairs).alias("x")).select("source_id", "x.check", "x.ok")
 
 
-def eval_metrics(rows: DataFrame, group: list[str], prompt_col: str = "prompt", out_col: str = "out") -> DataFrame:
+@F.pandas_udf(DoubleType())
+def rounded(shares: pd.Series) -> pd.Series:
+    """Four decimals, to the nearest of the exact binary value and to even in a tie, which Spark's functions do not do."""
+    return shares.map(lambda x: round(x, 4), na_action="ignore")
+
+
+def eval_metrics(rows: DataFrame, group: list[str], prompt_col: str = "prompt", out_col: str = "out", report: bool = False) -> DataFrame:
     """Mean script shares of outputs with and without a prompt, and how many of those without leak
-    (kana under 5 %). Not rounded."""
-    kana, cjk = X.script_ratio(out_col, X.KANA), X.script_ratio(out_col, X.CJK)
+    (kana under 5 %). For the ``report`` each row's shares are rounded to four decimals and so are their
+    means; else nothing is rounded."""
+    exact = lambda x: x
+    each = rounded if report else exact
+    rows = rows.withColumns({"__kana": each(X.script_ratio(out_col, X.KANA)), "__cjk": each(X.script_ratio(out_col, X.CJK))})
+    kana, cjk = F.col("__kana"), F.col("__cjk")
     mt = F.coalesce(F.col(prompt_col), F.lit("")) != ""
-    return rows.groupBy(*group).agg(
-        F.avg(F.when(mt, kana)).alias("translated_kana"), F.avg(F.when(mt, cjk)).alias("translated_cjk"),
-        F.avg(F.when(~mt, kana)).alias("transcribed_kana"), F.count_if(~mt & (kana < 0.05)).alias("leaks"),
-    )
+    means = {"translated_kana": F.when(mt, kana), "translated_cjk": F.when(mt, cjk), "transcribed_kana": F.when(~mt, kana)}
+    out = rows.groupBy(*group).agg(*(F.avg(v).alias(k) for k, v in means.items()), F.count_if(~mt & (kana < 0.05)).alias("leaks"))
+    return out.withColumns({k: rounded(k) for k in means}) if report else out
 
 
 def eval_checks(metrics: DataFrame, most: float = 0.10, least: float = 0.15) -> DataFrame:

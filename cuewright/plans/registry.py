@@ -356,6 +356,93 @@ def training_mix(spark, sf_dir):
     return corpus.composition(training_records(spark, sf_dir))
 
 
+_ROWS = f"""p as (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents),
+q as (select *, position >= lim as ev, case when lang <> 'de' then upper(lang) end as target, position >= lim or {_DRAW} >= 0.3 as mt from p)"""
+
+
+def _some_targets(spark, sf_dir):
+    """Rows of which some have no target, and the position from which on they are for evaluation."""
+    docs = _docs(spark, sf_dir)
+    rows = docs.select(F.col("doc_id").alias("row_id"), "text", F.when(F.col("lang") != "de", F.upper("lang")).alias("target"), F.format_string("d%d.wav", "doc_id").alias("audio"))
+    return corpus.position(rows, ["row_id"]), docs.count() * 9 // 10
+
+
+_SILENCE = "select i as j, {}i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range(200) t(i)"
+
+
+@_query(
+    f"""with {_ROWS} select doc_id, case when ev then 'eval' else 'train' end as split, 'd' || doc_id || '.wav' as audio, task, 'language Japanese<asr_text>' || case when task = 'translate' then target else text end as text,
+case when task = 'translate' then 'to zh' else '' end as prompt from (select *, unnest(case when ev then ['translate', 'transcribe'] when mt then ['translate'] else ['transcribe'] end) as task from q where not mt or target is not null)
+union all select -1, 'train', audio, 'silence', text, prompt from ({_SILENCE.format('')})"""
+)
+def training_set(spark, sf_dir):
+    rows, limit = _some_targets(spark, sf_dir)
+    made = corpus.records(rows, limit, 0.3, 7, "to zh")
+    return corpus.with_silence(made, corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7)).select(F.coalesce("row_id", F.lit(-1)).alias("doc_id"), "split", "audio", "task", "text", "prompt")
+
+
+@_query(f"with {_ROWS} select count(*) filter (not ev and mt and target is not null) as n_mt, count(*) filter (not ev and not mt) as n_asr, count(*) filter (mt and target is null) as n_skipped, 200::bigint as n_silence from q")
+def training_counts(spark, sf_dir):
+    return corpus.counters(*_some_targets(spark, sf_dir), 0.3, 7, 200)
+
+
+@_query("select doc_id, trim(case when doc_id % 3 = 0 or text = '' then lang else text end) as text from documents where n_chars between 200 and 2000 and (doc_id % 5 > 0) order by doc_id limit 100")
+def labelled_first(spark, sf_dir):
+    rows = _docs(spark, sf_dir).withColumns({"transcription": F.when(F.col("doc_id") % 3 != 0, F.col("text")), "raw_transcription": F.when(F.col("doc_id") % 5 != 0, F.col("lang"))})
+    rows = corpus.within_duration(rows.where("doc_id % 5 > 0"), 2000, 200, "n_chars")
+    return corpus.first_rows(corpus.labelled_text(rows.drop("text")), ["doc_id"], 100).select("doc_id", "text")
+
+
+@_query("select doc_id, lang as text from documents where doc_id % 3 > 0 and n_chars / 16.0 <= 60")
+def transcribed_files(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    files = docs.select("doc_id", F.format_string("wav/d.%d.wav", "doc_id").alias("path"), (F.col("n_chars") / 16.0).alias("secs"))
+    key = F.when(F.col("doc_id") % 2 == 0, F.format_string("d.%d", "doc_id")).otherwise(F.format_string("d.%d.wav", "doc_id"))
+    found = corpus.join_transcripts(files, docs.where("doc_id % 3 > 0").select(key.alias("key"), F.col("lang").alias("text")))
+    return corpus.within_duration(found, 60, None).select("doc_id", "text")
+
+
+@_query("select doc_id, n_chars from documents where doc_id not in (select doc_id from labels) order by n_chars, doc_id limit 30")
+def next_untaken(spark, sf_dir):
+    return sources.untaken(_docs(spark, sf_dir).select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id", "n_chars", 30)
+
+
+@_query("select lang, arg_min(source, doc_id) filter (n_chars > 5000) as first from documents group by 1")
+def first_complete(spark, sf_dir):
+    return corpus.first_match(_docs(spark, sf_dir), "lang", "source", "doc_id", F.col("n_chars") > 5000)
+
+
+@_query("select p_partkey as name, p_partkey // 1 as start, p_partkey + p_size <= 1000 as ok from part")
+def weight_layout(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 4).alias("offset"), F.col("p_size").alias("len"))
+    return sources.weight_layout(parts, 1000).select("name", "start", "ok")
+
+
+@_query("select doc_id, octet_length(encode(text)) // 4 as n_samples from documents")
+def pcm_sizes(spark, sf_dir):
+    files = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    return sources.pcm_samples(files).select(F.col("source_id").cast("long").alias("doc_id"), F.size("samples").cast("long").alias("n_samples"))
+
+
+@_query("""select lang, '{"lang":"' || lang || '","n":' || count(*) || ',"longest":' || max(n_chars) || ',"none":null}' as json from documents group by 1""")
+def report_json(spark, sf_dir):
+    m = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"), F.lit(None).cast("string").alias("none"))
+    return sources.report_json(m).select(F.get_json_object("json", "$.lang").alias("lang"), "json")
+
+
+@_query(
+    r"""select page_id, regexp_extract(url, '^(.*/)?', 0) || stem || '.srt' as beside, 'out/' || stem || '.raw.srt' as raw
+from (select *, case when regexp_matches(name, '^.+\.[^.]*$') then regexp_replace(name, '\.[^.]*$', '') else name end as stem from (select *, regexp_extract(url, '([^/]*)$', 1) as name from pages))"""
+)
+def output_names(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", srt.output_name(F.col("url")).alias("beside"), srt.output_name(F.col("url"), raw=True, folder="out").alias("raw"))
+
+
+@_query(_SILENCE.format("round(case when i < 4 then 2.0 else 0.5 + cast('0x' || substr(sha1('7:' || i), 1, 8) as bigint) / 4294967296.0 * 4.5 end, 2) as secs, "))
+def silence_lengths(spark, sf_dir):
+    return corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7)
+
+
 @_query("select i as j, i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range(200) t(i)")
 def silence_rows(spark, sf_dir):
     return corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7).drop("secs")
@@ -427,6 +514,24 @@ def eval_metrics(spark, sf_dir):
     return quality.eval_checks(quality.eval_metrics(rows, ["source"]))
 
 
+@_query(f"select source, avg(kana) filter (lang = 'en')::double as kana, (count(*) filter (lang <> 'en' and kana < 0.05))::bigint as leaks from (select source, lang, {_RATIO.format(_sub('s', X.KANA, True))} as kana from (select *, {_sub('text', _WS)} as s from documents)) group by 1")
+def eval_report(spark, sf_dir):
+    """The report's rounded form; the tables hold no kana, so that it shows as the statement's unrounded."""
+    rows = _docs(spark, sf_dir).select("source", F.when(F.col("lang") == "en", "p").otherwise("").alias("prompt"), F.col("text").alias("out"))
+    return quality.eval_metrics(rows, ["source"], report=True).select("source", F.col("translated_kana").alias("kana"), "leaks")
+
+
+@_query(f"select bool_and(length({_utrim('text')}) <= 2) as silence_is_empty from conversations")
+def silence_check(spark, sf_dir):
+    return quality.silence_check(table(spark, sf_dir, "conversations").select("text", F.lit(None).cast("string").alias("error")))
+
+
+@_query(f"select source_id, row_number() over (partition by source_id order by start_ms) - 1 as seq, round(start_ms / 1000.0, 3) as start_s, round(end_ms / 1000.0, 3) as end_s, t as text from (select *, {_utrim('text')} as t from {UTTERANCES})")
+def srt_strict(spark, sf_dir):
+    found = srt.parse_strict(srt.render(utterances(spark, sf_dir)))
+    return found.select("source_id", F.col("seq").cast("long").alias("seq"), F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "text")
+
+
 _LINES = "(select doc_id as source_id, unnest(string_split(text, chr(10))) as line from documents)"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,21 @@ def render(cues: DataFrame, order: tuple[str, ...] = ("start_ms",)) -> DataFrame
 
 
 def write(cues: DataFrame, path: str, order: tuple[str, ...] = ("start_ms",)) -> None:
-    """One folder for each source under ``path`` holding its SRT text; overwrites."""
-    render(cues, order).write.mode("overwrite").partitionBy("source_id").option("lineSep", "\n").text(path)
+    """``<source>.srt`` for each source under ``path``; overwrites. A source is one file, as the format has it, so
+    the driver renames as many files as there are sources; it reads none."""
+    spark = cues.sparkSession
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
+    # The writer adds the last line's end itself.
+    texts = render(cues, order).withColumn("srt", F.expr("left(srt, length(srt) - 1)"))
+    texts.write.mode("overwrite").partitionBy("source_id").option("lineSep", "\n").text(path)
+    for folder in fs.listStatus(home):
+        name = folder.getPath().getName()
+        if name.startswith("source_id="):
+            (part,) = [x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
+            stem = unquote(name.removeprefix("source_id="))
+            fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(home, f"{stem.replace('/', '_')}.srt"))
+            fs.delete(folder.getPath(), True)
 
 
 def output_name(path: Column, raw: bool = False, folder: str | None = None) -> Column:
@@ -50,6 +65,7 @@ def parse(files: DataFrame, id_col: str = "source_id", text_col: str = "srt") ->
     return good.select("source_id", index.alias("index"), "start_ms", F.greatest(F.col("end_ms"), F.col("start_ms") + 1).alias("end_ms"), "text")
 
 
+# Fixed value: the time line as the quality tool accepts it.
 _STRICT = r"^(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)"
 
 

@@ -99,3 +99,30 @@ def test_log_checks(spark):
     cap = quality.line_cap(lines).first()
     assert (cap["n_lines"], cap["n_files"], cap["n_kept"], cap["cap"], cap["ok"]) == (3, 1, 5, 17, True)
     assert json.loads(sources.report_json(quality.line_cap(lines)).first()["json"])["cap"] == 17
+
+
+def test_silence_joins_the_training_part(spark):
+    rows = spark.createDataFrame([(k, "t", "z" if k % 2 else None, "f", k) for k in range(40)], "row_id long, text string, target string, audio string, position long")
+    made = corpus.with_silence(corpus.records(rows, 30, 0.3, 7, "p"), corpus.silence_rows(spark, 6, "p", 0.5, 2.0, 7))
+    n = {(r["split"], r["task"]): r["n"] for r in corpus.composition(made).collect()}
+    counts = corpus.counters(rows, 30, 0.3, 7, 6).first()
+    assert n["train", "silence"] == counts["n_silence"] == 6 and made.where("task = 'silence' and row_id is null").count() == 6
+    assert (n["train", "translate"], n["train", "transcribe"]) == (counts["n_mt"], counts["n_asr"])
+    assert counts["n_mt"] + counts["n_asr"] + counts["n_skipped"] + n["eval", "translate"] == 40
+
+
+def test_report_rounds_as_decimals_do(spark):
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    values = [k / 3 for k in range(50)] + [0.00005, 0.00015, 0.12345, 2.67485, 0.03125] + [k / 32 / 1000 for k in range(60)]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(quality.rounded("v")).collect()]
+    assert got == [float(Decimal(v).quantize(Decimal("0.0001"), ROUND_HALF_EVEN)) for v in values]
+    rows = spark.createDataFrame([("", "あ亜亜"), ("", "あああ亜亜亜亜"), ("p", "亜")], "prompt string, out string").selectExpr("'g' g", "*")
+    report = quality.eval_metrics(rows, ["g"], report=True).first()
+    assert report["transcribed_kana"] == round((0.3333 + 0.4286) / 2, 4) and report["translated_kana"] == 0.0 and report["leaks"] == 0
+
+
+def test_first_match_and_first_rows(spark):
+    rows = spark.createDataFrame([("a", "x", 2, True), ("a", "y", 1, False), ("a", "z", 3, True), ("b", "w", 1, False)], "g string, v string, r int, ok boolean")
+    assert {r["g"]: r["first"] for r in corpus.first_match(rows, "g", "v", "r", F.col("ok")).collect()} == {"a": "x", "b": None}
+    assert [r["v"] for r in corpus.first_rows(rows, ["r", "v"], 2).collect()] == ["w", "y"]

@@ -20,7 +20,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["strip_punct", "vad_segments", "lookup", "srt_roundtrip", "training_mix", "subtitle_checks"])
+@pytest.mark.parametrize("name", ["strip_punct", "vad_segments", "lookup", "srt_roundtrip", "training_mix", "subtitle_checks", "vad_capped", "subtitles", "transcript_counters", "training_set", "collapse_turns", "wrap_text", "srt_strict"])
 def test_oracles(spark, name):
     import duckdb
 

@@ -143,3 +143,13 @@ def test_srt_files(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\nx\n\n")
     (tmp_path / "a.raw.srt").write_text("1\n00:00:00,000 --> 00:00:01,000\ny\n\n")
     assert [r["text"] for r in srt.parse(srt.read(spark, str(tmp_path))).collect()] == ["x"]
+
+
+def test_one_file_for_each_source(spark, tmp_path):
+    rows = [("a b", 0, 0, 1500, "x"), ("a b", 1, 1500, 2000, "y"), ("ü=1", 0, 0, 10, "z")]
+    df = spark.createDataFrame(rows, "source_id string, seq int, start_ms long, end_ms long, text string")
+    for _ in range(2):  # a second run overwrites the first
+        srt.write(df, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".srt") == ["a b.srt", "ü=1.srt"]
+    assert (tmp_path / "out" / "a b.srt").read_text() == "1\n00:00:00,000 --> 00:00:01,500\nx\n\n2\n00:00:01,500 --> 00:00:02,000\ny\n\n"
+    assert len(srt.parse(srt.read(spark, str(tmp_path / "out"))).collect()) == 3
