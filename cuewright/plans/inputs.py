@@ -22,10 +22,16 @@ UTTERANCES = """(select conv_id as source_id, turn as seq, e - d as start_ms, e
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a user as frames, by time; a five-hundredth of the value as probability."""
-    e = table(spark, sf_dir, "events")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("source_id"), place.cast("long").alias("frame_idx"), (F.col("value") / 500).alias("prob"))
+    """Events of a user as frames, by time; a five-hundredth of the value as probability.
+
+    Events are numbered within each day, to which the number of the user's events of earlier days is added,
+    so a user with very many events is not one task."""
+    day = F.to_date("ts")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"), "ts", "event_id", (F.col("value") / 500).alias("prob"), day.alias("day"))
+    before = Window.partitionBy("source_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = e.groupBy("source_id", "day").agg(F.count("*").alias("n")).select("source_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("source_id", "day").orderBy("ts", "event_id")) - 1
+    return e.withColumn("place", place).join(days, ["source_id", "day"]).select("source_id", (F.col("before") + F.col("place")).alias("frame_idx"), "prob")
 
 
 FRAMES = """(select user_id as source_id, row_number() over (partition by user_id order by ts, event_id) - 1 as frame_idx, value / 500 as prob from events)"""

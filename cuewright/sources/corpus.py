@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -26,9 +26,18 @@ def parallel_pairs(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of text files, lines numbered from 0 in each file; a file is one row at first."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    """``path, line_no, line`` of text files, lines numbered from 0 in each file.
+
+    Files are read in blocks, as Spark splits them. Lines are numbered in each block, and a row for each block
+    carries over how many lines the blocks before it have, so a large file is not one task.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = lines.withColumn("i", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")) - 1)
+    return own.join(blocks, ["path", "block"]).select("path", (F.col("before") + F.col("i")).alias("line_no"), "line")
 
 
 def read_records(spark: SparkSession, path: str, required: bool = True) -> DataFrame:

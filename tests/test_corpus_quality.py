@@ -126,3 +126,19 @@ def test_first_match_and_first_rows(spark):
     rows = spark.createDataFrame([("a", "x", 2, True), ("a", "y", 1, False), ("a", "z", 3, True), ("b", "w", 1, False)], "g string, v string, r int, ok boolean")
     assert {r["g"]: r["first"] for r in corpus.first_match(rows, "g", "v", "r", F.col("ok")).collect()} == {"a": "x", "b": None}
     assert [r["v"] for r in corpus.first_rows(rows, ["r", "v"], 2).collect()] == ["w", "y"]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 7) if k % 5 else "" for k in range(2000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\r\ntwo")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = sources.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    by = {}
+    for r in got:
+        by.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["line_no"], r["line"]))
+    assert sorted(by["a.txt"]) == list(enumerate(lines)) and sorted(by["b.txt"]) == [(0, "one"), (1, "two")]
