@@ -136,12 +136,16 @@ def base_counts(raw: bytes, text: str, words: list[bytes]) -> tuple[int, int, in
     return n, len(text) - blank, len(raw) - len(raw.translate(None, _SYMBOLS)), again, repeated, n < 20 or 100 * repeated > 30 * n
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> dict:
-    """Each language's class counts, commonest words with their counts, and number of words.
+MOST_LANGS = 256  # as many languages' references go to all tasks; those of more are joined to the documents
+
+
+def reference_table(docs: DataFrame, text_col: str, lang_col: str, limits: Limits) -> DataFrame:
+    """``lang, total, ref array<struct<is_class, word, n>>``: each language's class counts, commonest words with
+    their counts, and number of words.
 
     All documents count. Partial counts are summed in each task, so that the shuffle carries a word
-    once for each task and language; ties among the commonest words go to the smaller word. What
-    comes back is bounded by languages times ``limits.common_words``. A null language is one of its own.
+    once for each task and language; ties among the commonest words go to the smaller word. A null language
+    is one of its own.
     """
     small_batches(docs.sparkSession)
 
@@ -182,28 +186,38 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     salted = Window.partitionBy("lang", "is_class", F.expr("pmod(xxhash64(word), 64)")).orderBy(F.desc("n"), "word")
     whole = Window.partitionBy("lang", "is_class").orderBy(F.desc("n"), "word")
     summed = written(summed, "words")
-    totals = summed.where("not is_class").groupBy("lang").agg(F.sum("n").alias("n")).collect()
+    totals = summed.groupBy("lang").agg(F.coalesce(F.sum(F.when(~F.col("is_class"), F.col("n"))), F.lit(0)).alias("total"))
     top = summed.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= limits.common_words)
     top = top.withColumn("r", F.row_number().over(whole)).where(F.col("r") <= limits.common_words)
-    found: dict = {}
-    for row in top.collect():
-        own = found.setdefault(row["lang"], {"classes": np.zeros(len(CLASSES)), "words": {}, "total": 0})
+    refs = top.groupBy(F.col("lang").alias("ref_lang")).agg(F.collect_list(F.struct("is_class", "word", "n")).alias("ref"))
+    return written(totals.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang"))).select("lang", "total", "ref"), "references")
+
+
+def _reference(ref: list, total: int) -> dict:
+    own = {"classes": np.zeros(len(CLASSES)), "words": {}, "total": total}
+    for row in ref:
         if row["is_class"]:
             own["classes"][int(bytes(row["word"]))] = row["n"]
         else:
             own["words"][bytes(row["word"])] = row["n"]
-    for row in totals:
-        found[row["lang"]]["total"] = row["n"]
-    return found
+    return own
+
+
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits()) -> dict:
+    """``reference_table`` on the driver, by language."""
+    return {r["lang"]: _reference(r["ref"], r["total"]) for r in reference_table(docs, text_col, lang_col, limits).collect()}
 
 
 class Judge:
     """A language's references in the form that comparing takes."""
 
-    def __init__(self, found: dict, limits: Limits):
-        self.limits = limits
-        self.own = {}
+    def __init__(self, found: dict):
+        self.own: dict = {}
         for lang, ref in found.items():
+            self.learn(lang, ref)
+
+    def learn(self, lang: str | None, ref: dict) -> None:
+        if lang not in self.own:
             place = {w: i for i, w in enumerate(sorted(ref["words"]))}
             counts = np.array([ref["words"][w] for w in place] + [ref["total"] - sum(ref["words"].values())], dtype=float)
             self.own[lang] = (np.asarray(ref["classes"], dtype=float), place, counts)
@@ -219,17 +233,36 @@ class Judge:
         return js_distance(class_counts(text).astype(float), classes), js_distance(mine, counts)
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), keep_rows: bool = False) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits = Limits(), keep_rows: bool = False, most_langs: int = MOST_LANGS) -> DataFrame:
     """One row for each row of ``docs``: ``id_col, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, class_distance, word_distance``; with ``keep_rows`` the rows
     of ``docs`` that are kept, with their own columns alone. Distances are null where the text is under
     the minimum lengths. Null texts count as empty and fail the base rule; repeated rows, null ids and
-    null languages are rows like any other.
+    null languages are rows like any other. Texts of any length are judged whole. The references of up to
+    ``most_langs`` languages go to all tasks, those of more are joined to the rows; the results are the same.
     """
     small_batches(docs.sparkSession)
-    found = references(docs, text_col, lang_col, limits)
+    refs = reference_table(docs, text_col, lang_col, limits)
+    rows_ = refs.limit(most_langs + 1).collect()
+    joined = len(rows_) > most_langs
+    found = {} if joined else {r["lang"]: _reference(r["ref"], r["total"]) for r in rows_}
     names = docs.columns
 
+    def with_refs(df: DataFrame, lang: str) -> DataFrame:
+        if not joined:
+            return df
+        own = refs.withColumnsRenamed({c: f"__cw_{c}" for c in refs.columns})
+        return df.join(own.hint("merge"), F.col(lang).cast("string").eqNullSafe(F.col("__cw_lang")), "left").drop("__cw_lang")
+
+    def learnt(judge: Judge, batch: pa.RecordBatch, langs: list) -> None:
+        if joined:  # a batch brings its rows' references along
+            if len(judge.own) > MOST_LANGS:
+                judge.own.clear()
+            totals, own = (batch.column(batch.schema.get_field_index(f"__cw_{c}")).to_pylist() for c in ("total", "ref"))
+            for lang, total, ref in zip(langs, totals, own, strict=True):
+                if lang not in judge.own:
+                    judge.learn(lang, _reference(ref, total))
+
     def judged(raw: bytes | None, lang: str | None, judge: Judge):
         raw = raw or b""
         text = raw.decode("utf-8", "replace")
@@ -242,9 +275,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         return *counts, not counts[-1] and near, a, b
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(found, limits)
+        judge = Judge(found)
         for batch in batches:
-            out = [judged(t, g, judge) for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            langs = batch.column(2).to_pylist()
+            learnt(judge, batch, langs)
+            out = [judged(t, g, judge) for t, g in zip(batch.column(1).to_pylist(), langs, strict=True)]
             columns = list(zip(*out, strict=True)) if out else [[]] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays(
@@ -253,17 +288,18 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             )
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(found, limits)
+        judge = Judge(found)
         at, lang_at = names.index(text_col), names.index(lang_col)
         for batch in batches:
             texts, langs = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(lang_at).cast(pa.string()).to_pylist()
-            yield batch.filter(pa.array([judged(t, g, judge)[6] for t, g in zip(texts, langs, strict=True)], pa.bool_()))
+            learnt(judge, batch, langs)
+            yield batch.select(names).filter(pa.array([judged(t, g, judge)[6] for t, g in zip(texts, langs, strict=True)], pa.bool_()))
 
     if keep_rows:
-        return docs.mapInArrow(passing, docs.schema)
+        return with_refs(docs, lang_col).mapInArrow(passing, docs.schema)
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return slim.mapInArrow(
+    return with_refs(slim, "lang").mapInArrow(
         rows,
         f"id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
     ).withColumnRenamed("id", id_col)

@@ -90,3 +90,18 @@ def test_verdicts(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert Q.assess(empty).count() == 0 and Q.assess(empty, keep_rows=True).count() == 0
+
+
+def test_joined_references_give_the_same(spark):
+    rng = random.Random(11)
+    vocabulary = {lang: [f"{lang}{rng.randrange(400)}" for _ in range(60)] for lang in ("aa", "bb", "cc", None, "dd")}
+    rows = []
+    for k in range(150):
+        lang = rng.choice(list(vocabulary))
+        other = rng.choice(list(vocabulary)) if k % 9 == 0 else lang
+        rows.append((k if k % 13 else None, " ".join(rng.choice(vocabulary[other]) for _ in range(rng.choice([5, 80, 300]))), lang, "x"))
+    rows += [(1000, None, "ee", "x"), (1001, "", None, "x"), rows[3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, ref string")
+    for keep in (False, True):
+        whole = sorted(map(str, Q.assess(df, keep_rows=keep).collect()))
+        assert whole and sorted(map(str, Q.assess(df, keep_rows=keep, most_langs=2).collect())) == whole
