@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is read as tokens: runs of characters that are not white space, cut every 12 characters so
-that scripts without spaces have tokens too. A k-mer is K tokens in a row, its inner substrings are
+A text is read as tokens: runs of characters that are not white space, cut every 12 characters; in
+scripts that are written without spaces every character is a token, so that one character more
+or less does not shift the others. A k-mer is K tokens in a row, its inner substrings are
 the S tokens in a row within it. A k-mer is a closed syncmer if the inner substring of least hash
 stands at its left or right edge. Whether it does depends on the k-mer alone, so the same passage
 gives the same anchors in any surroundings, and their positions match it across documents.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 K = 5
 S = 2
 SKETCH = 128
-TOKEN = r"\S{1,12}"
+# Fixed value: blocks of scripts without spaces, Thai to Lao, Myanmar, Khmer, and from the CJK radicals to the ideographs.
+SPACELESS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+TOKEN = rf"[^\s{SPACELESS}]{{1,12}}|[{SPACELESS}]"
 BUCKET_ROWS = 512
 MOST_BUCKETS = 1 << 16  # beyond that many ranges each has more rows: a sort that spills, no table in memory
 PARTS = 1 << 17

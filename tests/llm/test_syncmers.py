@@ -81,3 +81,13 @@ def test_order_is_told_apart(spark):
     a, b = got.where("i = 1"), got.where("i = 2").select(F.col("s").alias("u"), F.col("s_order").alias("u_order"))
     r = a.crossJoin(b).select(S.likeness("s", "u").alias("x"), S.likeness("s_order", "u_order").alias("y")).first()
     assert 0.5 < r["x"] < 0.9 and r["y"] < r["x"]
+
+
+def test_scripts_without_spaces(spark):
+    import random
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("日本語文章例題春夏秋冬山川海空あいうえおかきく") for _ in range(3000))
+    df = spark.createDataFrame([(1, text, "x" + text[:40] + "字" + text[40:])], "i int, a string, b string")
+    r = S.with_sketch(S.with_sketch(df, "a", "p"), "b", "q").select(S.likeness("p", "q").alias("x")).first()
+    assert r["x"] > 0.95
