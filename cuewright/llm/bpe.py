@@ -218,7 +218,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str = ".", ids_
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` for every row, repeated rows and null ids
-    included. Null texts count as empty: no tokens, digests of the empty string. Other columns are not read."""
+    included. Null texts count as empty: no tokens, digests of the empty string. Texts of any length are
+    encoded whole. Other columns are not read."""
 
     def row(codec: Codec, text: str) -> tuple[int, str, str]:
         joined = codec.encode_joined(text)

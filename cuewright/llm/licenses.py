@@ -281,7 +281,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """One row for each row of ``docs``: ``id_col, n_licenses, license, coverage, matches``.
 
     ``license`` and ``coverage`` are of the match with most aligned words (null and 0 if none);
-    ``matches`` lists all as ``name:start:end`` in bytes of the text, by start. Null texts count as
+    ``matches`` lists all as ``name:start:end`` in bytes of the text, by start. Texts of any length are
+    scanned whole. Null texts count as
     empty. Repeated rows and null ids are rows like any other; other columns are not read.
     """
     small_batches(docs.sparkSession)

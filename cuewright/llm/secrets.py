@@ -241,7 +241,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = REDACTED)
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``, repeated rows and null ids included: ``id_col, n_assign,
     n_access, n_hex, base_sha256, spans``. Null texts count as empty: no spans, the digest of the
-    empty string. Spans are ``kind:start:end`` in code points, end exclusive. Other columns are not read.
+    empty string. Texts of any length are scanned whole. Spans are ``kind:start:end`` in code points, end
+    exclusive. Other columns are not read.
     """
     small_batches(docs.sparkSession)
 

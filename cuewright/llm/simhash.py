@@ -127,7 +127,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints link at two or fewer differing bits; a component's id is its smallest ``id_col``.
     Null texts count as empty, and texts without words have fingerprint zero and link like any
     other. Rows with a null id are returned with their component's id and never name one; a
-    component of such rows only has a null id. Repeated rows stay. Other columns are not read.
+    component of such rows only has a null id. Repeated rows stay. Texts of any length count whole. Other
+    columns are not read.
     """
     each, rooted = _grouped(docs, id_col, text_col, dense)
     first = each.groupBy("fp").agg(F.min(id_col).alias("first_id")).join(rooted, "fp")
