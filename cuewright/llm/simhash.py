@@ -76,11 +76,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _variants(fps: DataFrame) -> DataFrame:
-    """``(k, fp)``: 2 segments times 32 ignored bits; k packs the place and the remaining bits.
-
-    A row becomes 64, so the rows, which may lie in a few small files, are first dealt out to all tasks."""
-    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = fps.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
+    """``(k, fp)``: 2 segments times 32 ignored bits; k packs the place and the remaining bits."""
+    spread = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("w"))
     return spread.select(
         F.expr(
             "(shiftright(fp, 32 * (w div 32)) & 4294967295L & ~shiftleft(1L, w % 32)) | shiftleft(cast(w as long), 32)"
@@ -116,7 +113,9 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, dense: int) -> tuple[DataFrame, DataFrame]:
     """``fingerprints`` of the rows, and for each fingerprint its component: ``(fp, root)``."""
     each = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = written(each.select("fp").distinct(), "distinct")
+    # A row of a few bytes becomes 64 when it is read, so the rows are dealt out to many files.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = written(each.select("fp").distinct().repartition(tasks), "distinct")
     roots = components(links(fps, dense))
     return each, fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
