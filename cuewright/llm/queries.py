@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, html_text, licenses, mixing, quality, secrets, sharding, simhash, statements, suffixes, syncmers
+from cuewright.llm import bpe, fim, html_text, licenses, mixing, quality, secrets, sharding, simhash, statements, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,6 +61,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(_table(spark, sf_dir, "documents"))
+
+
 # What SQL can state of a contract is a query of its own beside the operator's.
 
 
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixes": op8_suffixes,
         "op9_sharding": op9_sharding,
         "op10_secrets": op10_secrets,
+        "op13_fim": op13_fim,
         "pipeline": corpus_pipeline.run,
         "base_edited": base_edited,
         "base_quality": base_quality,
@@ -107,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_fim": statements.FIM,
         "base_edited": statements.BASE_EDITED,
         "base_quality": statements.BASE_QUALITY,
         "base_mixing": statements.BASE_MIXING,

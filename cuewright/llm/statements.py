@@ -40,3 +40,14 @@ k as (select doc_id, coalesce(lag(z) over w, 1) as a, a as z from m window w as
 e as (select doc_id, sha256(unhex(string_agg(case when k.z > k.a then hex(b[k.a:k.z - 1]) else '' end, '' order by k.a))) as kept_sha256 from k join d using (doc_id) group by 1)
 select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(c, 0)::bigint as n_spans, kept_sha256
 from d join e using (doc_id) left join (select doc_id, sum(z - a) as n, count(*) as c from m group by 1) using (doc_id)"""
+
+FIM = """with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as x from documents),
+u as (select *, case when ends_with(t, chr(10)) or t = '' then p[:len(p) - 1] else p end as p_ from (select *, string_split(t, chr(10)) as p from d)),
+l as (select doc_id, t, list_transform(range(1, len(p_) + 1), lambda i: p_[i] || case when i < len(p) then chr(10) else '' end) as l, len(p_)::bigint as n,
+  list_transform(range(4), lambda k: ('0x' || substr(x, (8 * k + 1)::int, 8))::bigint) as h from u),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 100 then 'plain' when h[4] % 100 < 50 then 'spm' else 'psm' end as form from l),
+o as (select *, array_to_string(l[:a], '') as pre, array_to_string(l[a + 1:b], '') as mid, array_to_string(l[b + 1:], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+sha256(t) as restored_sha256 from o"""
