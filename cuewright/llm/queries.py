@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from cuewright.llm import bpe, fim, html_text, licenses, mixing, quality, secrets, sharding, simhash, statements, suffixes, syncmers
+from cuewright.llm import bpe, fim, html_text, licenses, line_dedup, mixing, prefix_trie, quality, secrets, sharding, simhash, statements, suffixes, syncmers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -61,6 +61,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.with_shared_starts(prefix_trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(_table(spark, sf_dir, "documents"))
 
@@ -100,6 +108,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffixes": op8_suffixes,
         "op9_sharding": op9_sharding,
         "op10_secrets": op10_secrets,
+        "op11_lines": op11_lines,
+        "op12_trie": op12_trie,
         "op13_fim": op13_fim,
         "pipeline": corpus_pipeline.run,
         "base_edited": base_edited,
@@ -112,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_lines": statements.LINES,
+        "op12_trie": statements.TRIE,
         "op13_fim": statements.FIM,
         "base_edited": statements.BASE_EDITED,
         "base_quality": statements.BASE_QUALITY,

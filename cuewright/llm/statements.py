@@ -51,3 +51,26 @@ o as (select *, array_to_string(l[:a], '') as pre, array_to_string(l[a + 1:b], '
 select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
 sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
 sha256(t) as restored_sha256 from o"""
+
+LINES = """with l as (select doc_id, unnest(p) as line, generate_subscripts(p, 1) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents)),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+g as (select key, min(doc_id) as first from k where length(key) >= 10 group by key having count(distinct doc_id) > 1),
+j as (select doc_id, i, line, first is not null and doc_id <> first as gone from k left join g using (key))
+select doc_id, count(*) as n_lines, count_if(gone)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from j group by doc_id"""
+
+# A decimal's CRC-32, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint), lambda r, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::bigint[],
+  lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end, xor(r, b)), 4294967295::bigint), 4294967295::bigint)"""
+
+TRIE = f"""with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first) as i, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, {_CRC} % 6 as h from (select distinct conv_id from t)),
+r as (select c.conv_id, 0 as part, i, role, text from c join t on t.conv_id = c.base and i <= h union all select conv_id, 1, i, role, text from c join t using (conv_id) where i > h),
+s as (select c.conv_id, list(md5(role || chr(0) || text) order by part, i) filter (i is not null) as p, list(length(text) order by part, i) filter (i is not null) as n from c left join r using (conv_id) group by 1),
+q as (select conv_id, coalesce(p, []) as p, coalesce(n, []) as n from s),
+m as (select conv_id, d, p[:d] as k, len(p) = d as ends, case when d > 0 then n[d] else 0 end as chars from (select *, unnest(range(0, len(p) + 1)) as d from q)),
+g as (select d, k, min(conv_id) as least, count(*) as n, any_value(chars) as chars, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from m group by d, k),
+u as (select g.*, p.least as parent from g left join g p on p.d = g.d - 1 and p.k = g.k[:p.d]),
+w as (select d, k, count(*) as n from (select d - 1 as d, k[:d - 1] as k from g where d > 0) group by 1, 2),
+x as (select g.d, g.k, count_if(w.n is null) as leaves, sum((b.n - 1) * b.chars)::bigint as saved from g join g b on b.d >= g.d and b.k[:g.d] = g.k left join w on w.d = b.d and w.k = b.k group by 1, 2)
+select least as conv_id, u.d::bigint as depth, parent as parent_conv_id, u.n as n_convs, coalesce(w.n, 0)::bigint as n_children, leaves::bigint as n_leaves, saved as saved_tokens, ends_sha256
+from u left join w on w.d = u.d and w.k = u.k join x on x.d = u.d and x.k = u.k"""
