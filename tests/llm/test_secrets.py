@@ -38,6 +38,24 @@ def test_scan_finds_what_a_full_scan_finds():
         assert [s for s in spans if s[1] < 3] == contract(text)
 
 
+def test_a_token_that_never_comes():
+    """Long texts of what could begin a token at every place."""
+    import time
+
+    scanner = S.Scanner()
+    token = b"eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    texts = [b"eyJ" * 350_000, b"eyJ" * 350_000 + b".x", b"-----BEGIN PRIVATE KEY-----\n" * 40_000, b"ghp_" * 250_000, b"xoxb-" * 200_000 + b"_", b"://a:" * 200_000, b"password " * 120_000, b"secret" + b" " * 1_000_000]
+    began = time.perf_counter()
+    found = list(scanner.scan(texts))
+    assert time.perf_counter() - began < 20 and not found[0] and not found[1]
+    (jwt,) = [i for i, r in enumerate(S.RULES) if r.kind == "jwt"]
+    began = time.perf_counter()
+    assert list(scanner.scan([texts[0]])) == [[]] and time.perf_counter() - began < 5
+    for before, there in ((b"", True), (b"token=", True), (b" ", True), (b"x", False), (b"_", False)):
+        spans = next(iter(scanner.scan([before + token + b" end"])))
+        assert ((len(before), jwt, len(before + token)) in spans) == there
+
+
 def holds(query, text):
     if query is True:
         return True
