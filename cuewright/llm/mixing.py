@@ -8,7 +8,8 @@ number of draws, splits the output shards in two halves and deals the draws by a
 hypergeometric sample to the halves, down to single shards. So every shard holds an exact quota
 of each source, takes its own run of the permuted draws, and orders what it holds by itself.
 
-The plan is a row for each source and shard, never a row for each document.
+Nobody holds the whole tree. A node's deal is drawn from the seed and the node's place alone, so a task walks from the
+root to the shards that its own rows fall into, and there is no bound on the number of shards.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,6 @@ SEED = 20240607
 BLOCK_WORDS = 4096
 BLOCKS_PER_SOURCE = 64
 SHARD_WORDS = 4_000_000
-MOST_SHARDS = 10_000
 BUCKET_ROWS = 20_000
 MOST_BUCKET_BITS = 20
 _WORD = r"[^ \t-\r]+"
@@ -46,20 +46,16 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     """Words to take from each source: ``share`` of all words by weight, at most ``most`` times a
     source's own; what is above is shared again by weight among the rest until none is above.
     """
-    wanted = share * sum(sizes)
+    left, total = share * sum(sizes), float(sum(weights))
     out = [0.0] * len(sizes)
-    free = list(range(len(sizes)))
-    while free:
-        left = wanted - sum(out[i] for i in range(len(sizes)) if i not in set(free))
-        total = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / total > most * sizes[i]}
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
+    order = sorted(range(len(sizes)), key=lambda i: most * sizes[i] / weights[i])
+    for at, i in enumerate(order):  # those that are full at the lowest share of their weight come first
+        if left * weights[i] / total <= most * sizes[i]:
+            for k in order[at:]:
+                out[k] = left * weights[k] / total
             break
-        for i in over:
-            out[i] = float(most * sizes[i])
-        free = [i for i in free if i not in over]
+        out[i] = float(most * sizes[i])
+        left, total = left - out[i], total - weights[i]
     return out
 
 
@@ -88,24 +84,72 @@ def _scramble(n: int, key: int):
     return permuted
 
 
+class Tree:
+    """Draws of each source dealt to ``shards``, node by node where they are asked for.
+
+    A shard holds a run of each source's draws, the shards one behind the other. The deals of a bounded number of
+    nodes are kept; others are drawn again, with the same result.
+    """
+
+    def __init__(self, draws: np.ndarray, shards: int, seed: int):
+        self.draws, self.shards, self.seed = np.asarray(draws, dtype=np.int64), shards, seed
+        self._kept: dict[tuple[int, int], np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_kept": {}}
+
+    def left(self, low: int, high: int, held: np.ndarray) -> np.ndarray:
+        """What the first half of the shards ``low`` to ``high`` gets of the ``held`` draws."""
+        found = self._kept.get((low, high))
+        if found is None:
+            size = int(held.sum()) * ((low + high) // 2 - low) // (high - low)
+            found = _deal(held, size, np.random.default_rng([self.seed, low, high]))
+            if (len(self._kept) + 1) * len(held) > TABLES_HELD:
+                self._kept.clear()
+            self._kept[low, high] = found
+        return found
+
+    def quotas(self, first: int = 0, end: int | None = None) -> Iterator[np.ndarray]:
+        """The quota of each source in the shards from ``first`` to before ``end``."""
+        todo = [(0, self.shards, self.draws)]
+        while todo:
+            low, high, held = todo.pop()
+            if high <= first or (end is not None and low >= end):
+                continue
+            if high - low == 1:
+                yield held
+                continue
+            middle, left = (low + high) // 2, self.left(low, high, held)
+            todo += [(middle, high, held - left), (low, middle, left)]
+
+    def shards_of(self, source: int, draws: np.ndarray) -> np.ndarray:
+        """The shards that hold the ``draws`` of one source."""
+        order = np.argsort(draws, kind="stable")
+        own, out = draws[order], np.empty(len(draws), dtype=np.int64)
+        todo = [(0, self.shards, self.draws, 0, 0, len(own))]
+        while todo:
+            low, high, held, before, a, z = todo.pop()
+            if a == z:
+                continue
+            if high - low == 1:
+                out[order[a:z]] = low
+                continue
+            middle, left = (low + high) // 2, self.left(low, high, held)
+            border = before + int(left[source])
+            cut = a + int(np.searchsorted(own[a:z], border))
+            todo += [(low, middle, left, before, a, cut), (middle, high, held - left, border, cut, z)]
+        return out
+
+
 def split_quotas(draws: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """``shards`` rows that sum to ``draws``: each node deals its draws to two halves of its shards."""
-    out = np.zeros((shards, len(draws)), dtype=np.int64)
-    todo = [(0, shards, np.asarray(draws, dtype=np.int64))]
-    while todo:
-        low, high, held = todo.pop()
-        if high - low == 1:
-            out[low] = held
-            continue
-        middle = (low + high) // 2
-        size = int(held.sum()) * (middle - low) // (high - low)
-        left = _deal(held, size, rng)
-        todo += [(middle, high, held - left), (low, middle, left)]
-    return out
+    """The quotas of all shards: ``shards`` rows that sum to ``draws``."""
+    return np.array(list(Tree(draws, shards, int(rng.integers(1 << 62))).quotas()))
 
 
 def _deal(held: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     """One multivariate hypergeometric sample of ``size`` from the colours ``held``."""
+    if held.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(held, size, method="marginals")
     left = np.zeros_like(held)
     rest = int(held.sum())
     for i, n in enumerate(held.tolist()):
@@ -168,7 +212,8 @@ class Source:
     passes: int = 0
     whole: int = 0
     part: int = 0
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    tree: Tree | None = None
+    place: int = 0  # among the tree's sources
 
     def __post_init__(self) -> None:
         words = round(self.target)
@@ -210,9 +255,9 @@ class Source:
                 keep &= low < top
             else:
                 keep = np.ones(len(own), dtype=bool)
-            shard = np.searchsorted(self.starts, turn * self.blocks + rank, side="right") - 1
+            shard = self._shards(turn * self.blocks + rank[keep])
             held = None
-            for s, a, b in zip(shard[keep].tolist(), low[keep].tolist(), top[keep].tolist(), strict=True):
+            for s, a, b in zip(shard.tolist(), low[keep].tolist(), top[keep].tolist(), strict=True):
                 if held and held[1] == s and held[3] == a:
                     held = (turn, s, held[2], b)
                 else:
@@ -231,7 +276,10 @@ class Source:
             if turn == self.passes and rank >= self.whole:
                 top = min(end, block * self.block + self.part) if rank == self.whole else start
             if start < top:
-                yield turn, int(np.searchsorted(self.starts, turn * self.blocks + rank, side="right")) - 1, start, top
+                yield turn, int(self._shards(np.array([turn * self.blocks + rank]))[0]), start, top
+
+    def _shards(self, draws: np.ndarray) -> np.ndarray:
+        return np.zeros(len(draws), dtype=np.int64) if self.tree is None else self.tree.shards_of(self.place, draws)
 
 
 def _inverse_probe(blocks: int) -> np.ndarray:
@@ -244,37 +292,36 @@ def plan(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGH
     ordered = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     wanted = targets([n for _, n in ordered], [weights[i % len(weights)] for i in range(len(ordered))], share, most)
     sources = [Source(n, t, seed + 97 * i) for i, ((_, n), t) in enumerate(zip(ordered, wanted, strict=True))]
-    shards = max(1, min(MOST_SHARDS, -(-round(sum(wanted)) // shard_words)))
-    quotas = split_quotas(np.array([s.draws for s in sources], dtype=np.int64), shards, np.random.default_rng(seed))
+    tree = Tree(np.array([s.draws for s in sources], dtype=np.int64), max(1, -(-round(sum(wanted)) // shard_words)), seed)
     for i, source in enumerate(sources):
-        source.starts = np.concatenate([[0], np.cumsum(quotas[:-1, i])]).astype(np.int64)
+        source.tree, source.place = tree, i
     return {name: source for (name, _), source in zip(ordered, sources, strict=True)}
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``id, source, size``: words of every row, null texts none."""
+    """``id, source, size, mark``: words of every row, null texts none, and a hash of its text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = pc.fill_null(pc.count_substring_regex(batch.column(2), _WORD), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size], names=["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, batch.column(3)], names=["id", "source", "size", "mark"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, source string, size long")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    return slim.mapInArrow(run, f"id {kind}, source string, size long, mark long")
 
 
 def _placed(rows: DataFrame, names: dict[str, str], n_rows: int, sized: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str | None, int]]]:
     """``rows`` with ``__cw_start``, each row's first word on its source's line, and the sources' sizes.
 
-    ``names`` says which columns hold id, source and size; ``sized`` has those alone, if it is cheaper
-    to read. The order on a line is that of a hash of id and size. Rows are dealt by source and bucket
+    ``names`` says which columns hold id, source, size and the text's hash; ``sized`` has those alone, if it is cheaper
+    to read. The order on a line is that of a hash of id and size, then that of the text's hash. Rows are dealt by source and bucket
     of that hash; only the buckets' totals, a row for each source and bucket, are summed along a line.
     There are enough buckets for ``BUCKET_ROWS`` rows in each; their number does not change the order.
     """
     bits = min(MOST_BUCKET_BITS, max(8, (n_rows // BUCKET_ROWS).bit_length()))
-    key, source, size = (F.col(names[k]) for k in ("id", "source", "size"))
+    key, source, size, mark = (F.col(names[k]) for k in ("id", "source", "size", "mark"))
 
     def bucketed(df: DataFrame) -> DataFrame:
         return df.withColumn("__cw_h", F.xxhash64(key, size)).withColumn("__cw_bucket", F.shiftrightunsigned("__cw_h", 64 - bits))
@@ -283,7 +330,7 @@ def _placed(rows: DataFrame, names: dict[str, str], n_rows: int, sized: DataFram
     along = Window.partitionBy("__cw_o_source").orderBy("__cw_o_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(totals.withColumn("__cw_o_offset", F.coalesce(F.sum("__cw_o_words").over(along), F.lit(0))), "offsets")
     sizes = [(r["__cw_o_source"], r["words"]) for r in offsets.groupBy("__cw_o_source").agg(F.sum("__cw_o_words").alias("words")).collect()]
-    inner = Window.partitionBy(source, "__cw_bucket").orderBy("__cw_h", key, size).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(source, "__cw_bucket").orderBy("__cw_h", key, size, mark).rowsBetween(Window.unboundedPreceding, -1)
     own = bucketed(rows).withColumn("__cw_before", F.coalesce(F.sum(size).over(inner), F.lit(0)))
     placed = own.join(offsets, source.eqNullSafe(F.col("__cw_o_source")) & (F.col("__cw_bucket") == F.col("__cw_o_bucket")))
     placed = placed.withColumn("__cw_start", F.col("__cw_o_offset") + F.col("__cw_before"))
@@ -300,7 +347,7 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     read. ``settings`` go to ``plan``.
     """
     sized = written(_sized(docs, id_col, text_col, source_col), "sizes")
-    placed, sizes = _placed(sized, {k: k for k in ("id", "source", "size")}, sized.count())
+    placed, sizes = _placed(sized, {k: k for k in ("id", "source", "size", "mark")}, sized.count())
     made = plan(sizes, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +385,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     small_batches(docs.sparkSession)
     names = docs.columns
-    named = docs.withColumn("__cw_source", F.col(source_col).cast("string"))
+    named = docs.withColumn("__cw_source", F.col(source_col).cast("string")).withColumn("__cw_mark", F.xxhash64(text_col))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,8 +393,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             yield batch.append_column("__cw_size", size)
 
     schema = T.StructType([*named.schema.fields, T.StructField("__cw_size", T.LongType())])
-    light = _sized(docs, id_col, text_col, source_col).toDF(id_col, "__cw_source", "__cw_size")
-    placed, sizes = _placed(named.mapInArrow(count, schema), {"id": id_col, "source": "__cw_source", "size": "__cw_size"}, docs.count(), light)
+    light = _sized(docs, id_col, text_col, source_col).toDF(id_col, "__cw_source", "__cw_size", "__cw_mark")
+    placed, sizes = _placed(named.mapInArrow(count, schema), {"id": id_col, "source": "__cw_source", "size": "__cw_size", "mark": "__cw_mark"}, docs.count(), light)
     made = plan(sizes, **settings)
     out_schema = T.StructType([*docs.schema.fields, T.StructField(shard_col, T.IntegerType()), T.StructField(order_col, T.LongType())])
 

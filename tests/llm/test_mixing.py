@@ -35,6 +35,41 @@ def test_quotas_sum_and_are_even():
     assert (out.sum(axis=0) == draws).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3
 
 
+def test_the_tree_has_no_bound_on_shards():
+    """20,000 shards of 5,000 sources: every shard has as many draws, of any source what all shards together leave."""
+    rng = random.Random(6)
+    sizes = [(f"s{i:04d}", rng.randint(8_000, 24_000)) for i in range(5000)]
+    made = M.plan(sizes, shard_words=6000)
+    tree = made["s0000"].tree
+    assert tree.shards > 19_000 and tree.shards == -(-round(sum(s.target for s in made.values())) // 6000)
+    words = []
+    for first in (0, 7_777, tree.shards - 3):
+        for quota in tree.quotas(first, first + 3):
+            words.append(sum(q * s.block for q, s in zip(quota.tolist(), made.values(), strict=True)))
+    assert max(words) < 1.3 * 6000 and min(words) > 0.7 * 6000
+    small = M.Tree(np.array([5000, 40, 0, 777]), 301, 9)
+    ends = np.cumsum(np.array(list(small.quotas())), axis=0)
+    for i in range(4):
+        draws = np.arange(ends[-1, i])
+        assert (small.shards_of(i, draws[::-1])[::-1] == np.searchsorted(ends[:, i], draws, side="right")).all()
+
+
+def test_targets_of_very_many_sources():
+    import time
+
+    began = time.perf_counter()
+    got = M.targets([1 + i % 1000 for i in range(200_000)], [M.WEIGHTS[i % 3] for i in range(200_000)])
+    assert abs(sum(got) - 1.5 * sum(1 + i % 1000 for i in range(200_000))) < 1 and time.perf_counter() - began < 5
+
+
+def test_rows_of_one_id_and_size(spark):
+    """Different texts of one id and size have places of their own, the same in any order of the rows."""
+    rows = [(1, f"{'abcdefgh'[i % 8]} x{i} y", "a") for i in range(60)] + [(2, "z " * 500, "b")]
+    takes = lambda df: sorted((r["text"], r["mix_shard"]) for r in M.mix(df, shard_words=20).collect())
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert takes(df) == takes(spark.createDataFrame(rows[::-1], df.schema).repartition(5))
+
+
 def test_hypergeometric_beyond_the_library():
     rng = np.random.default_rng(5)
     good, bad, size = 700_000_000, 900_000_000, 400_000_000
@@ -92,7 +127,7 @@ def test_taken_against_a_plain_loop(spark):
     rows, df = table(spark, 4)
     got = sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in M.mix_sizes(df, shard_words=2000).collect())
     sized = M.written(M._sized(df, "doc_id", "text", "source"), "sizes")
-    placed, sizes = M._placed(sized, {k: k for k in ("id", "source", "size")}, 150)
+    placed, sizes = M._placed(sized, {k: k for k in ("id", "source", "size", "mark")}, 150)
     made = M.plan(sizes, shard_words=2000)
     taken = {}
     for name, s in made.items():
