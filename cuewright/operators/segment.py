@@ -3,19 +3,22 @@
 Frames are ``(source_id, frame_idx, prob)`` with ``frame_idx`` counting from 0 in each source.
 Segments are ``(source_id, start_frame, end_frame)``, half open.
 
-Speech frames in a row are a streak. Streaks with short silences between them are a run; runs do not
-influence each other, so all that has an order happens within one run.
+Speech frames in a row are a streak. A silence that ends a segment whatever came before it is a break: what follows does
+not depend on what was open. A source is cut into chunks of frames, and each chunk is worked on by itself: behind its first
+break all is known there. Only the streaks before that break and the segment that is open behind the last streak go on to one pass
+over a source's chunks in order, which carries two numbers from chunk to chunk.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewright.functions.lets import let
-
 CHUNK = 65_536
 FRAME_SAMPLES = 512
 SAMPLE_RATE = 16_000
@@ -33,51 +36,122 @@ class Limits:
     max_seg: int = 0
 
 
-def _speech(frames: DataFrame, threshold: float) -> DataFrame:
-    """Speech frames as spans of one frame."""
-    at = F.col("frame_idx").cast("long")
-    return frames.where(F.col("prob") >= threshold).select("source_id", at.alias("start_frame"), (at + 1).alias("end_frame"))
-
-
-def _in_runs(spans: DataFrame, gap: int) -> DataFrame:
-    """Disjoint ``spans(source_id, start_frame, end_frame)`` with ``run``, the first frame of their run: a run
-    goes on over silences shorter than ``gap``.
-
-    A source is worked on in chunks of its frames. Two numbers a chunk, the last end and the open run's
-    start, are carried over to the next chunk, so that a long source is not one task.
-    """
-    chunk = ["source_id", "chunk"]
-    spans = spans.withColumn("chunk", F.floor(F.col("start_frame") / CHUNK))
-    within = Window.partitionBy(*chunk).orderBy("start_frame")
-    earlier = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = spans.groupBy(*chunk).agg(F.max("end_frame").alias("e")).select(*chunk, F.max("e").over(earlier).alias("before"))
-    dealt = spans.join(ends, chunk)
-    before = F.coalesce(F.lag("end_frame").over(within), F.col("before"))
-    dealt = dealt.withColumn("opens", before.isNull() | (F.col("start_frame") - before >= gap))
-    dealt = dealt.withColumn("own", F.max(F.when(F.col("opens"), F.col("start_frame"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    open_run = dealt.groupBy(*chunk).agg(F.max("own").alias("o")).select(*chunk, F.max("o").over(earlier).alias("carried"))
-    return dealt.join(open_run, chunk).select("source_id", "start_frame", "end_frame", F.coalesce("own", "carried").alias("run"))
-
+Span = tuple[int, int]
 
-def _joined(spans: DataFrame, gap: int) -> DataFrame:
-    """The runs of ``spans`` as spans."""
-    runs = _in_runs(spans, gap).groupBy("source_id", "run").agg(F.max("end_frame").alias("end_frame"))
-    return runs.select("source_id", F.col("run").alias("start_frame"), "end_frame")
 
+def left_at(a: int, e: int, limits: Limits) -> int:
+    """The silent frame at which a segment from ``a`` whose speech ended at ``e`` is left, if the silence lasts."""
+    quiet = e + limits.min_silence - 1
+    return min(quiet, max(e, a + limits.max_seg)) if limits.max_seg else quiet
 
-def _lengths(frames: DataFrame, last_run: DataFrame) -> DataFrame:
-    """``source_id, n_frames, last_run``: the number of frames and the start of the last run of ``last_run(source_id, run)``."""
-    n = frames.groupBy("source_id").agg((F.max("frame_idx") + 1).cast("long").alias("n_frames"))
-    return n.join(last_run.groupBy("source_id").agg(F.max("run").alias("last_run")), "source_id")
 
+def follow(a: int, e: int, streaks: Iterable[Span], limits: Limits, out: list[Span]) -> Span:
+    """The open segment, from ``a`` with speech up to ``e`` (-1: none), behind further ``streaks``; segments that are over go to ``out``.
 
-def _islands(frames: DataFrame, threshold: float, gap: int, trail: int) -> DataFrame:
-    """``source_id, start_frame, end_frame, n_frames``: runs of speech with fewer than ``gap`` silent
-    frames between. Trailing silence shorter than ``trail`` belongs to a source's last run."""
-    runs = _joined(_speech(frames, threshold), gap)
-    whole = runs.join(_lengths(frames, runs.select("source_id", F.col("start_frame").alias("run"))), "source_id")
-    to_the_end = (F.col("start_frame") == F.col("last_run")) & (F.col("n_frames") - F.col("end_frame") < trail)
-    return whole.select("source_id", "start_frame", F.when(to_the_end, F.col("n_frames")).otherwise(F.col("end_frame")).alias("end_frame"), "n_frames")
+    A segment is left in a silence once that has ``min_silence`` frames or the segment's cap is reached, and
+    taken up again by speech that follows within ``merge_gap``. Speech on or past the cap cuts the segment
+    behind its frame, so a streak is cut every ``max_seg + 1`` frames from its first cut on; the frame by
+    which a segment begins or is taken up again never cuts. A streak may come in pieces.
+    """
+    cap, least = limits.max_seg, max(1, limits.min_speech)
+    for start, end in streaks:
+        left = a < 0 or left_at(a, e, limits) < start
+        if a < 0 or (left and start >= e + limits.merge_gap):
+            if a >= 0 and e - a >= least:
+                out.append((a, e))
+            a = start
+        if cap:
+            for at in range(max(start + left, a + cap), end, cap + 1):
+                out.append((a, at + 1))
+                a = at + 1
+        e = end
+    return a, e
+
+
+def streaks_of(speech: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First frames and ends of the streaks of sorted speech frames."""
+    if not len(speech):
+        return speech, speech
+    new = np.flatnonzero(np.diff(speech) > 1) + 1
+    return speech[np.concatenate([[0], new])], speech[np.concatenate([new - 1, [len(speech) - 1]])] + 1
+
+
+_SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+
+
+def _in_chunks(frames: DataFrame, limits: Limits) -> DataFrame:
+    """A row for each chunk of each source: ``head``, the streaks before its first break; ``body``, the segments that are over
+    behind it; ``a, e``, the segment that is open at the end, null without a break; and the source's ``n_frames``."""
+    at = F.col("frame_idx").cast("long")
+    chunks = frames.groupBy("source_id", F.floor(at / CHUNK).alias("chunk")).agg(
+        F.max(at).alias("last"), F.sort_array(F.collect_list(F.when(F.col("prob") >= limits.threshold, at))).alias("speech")
+    )
+    gap = max(limits.min_silence, limits.merge_gap)
+    kind = frames.schema["source_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[tuple] = []
+            lists = batch.column("speech")
+            frames_, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+            for speech in np.split(frames_, ends[:-1]):
+                begin, end = streaks_of(speech)
+                breaks = np.flatnonzero(begin[1:] - end[:-1] >= gap) + 1
+                first = int(breaks[0]) if len(breaks) else len(begin)
+                spans = list(zip(begin.tolist(), end.tolist(), strict=True))
+                body: list[Span] = []
+                a, e = follow(-1, -1, spans[first:], limits, body) if len(breaks) else (None, None)
+                made.append((spans[:first], body, a, e))
+            head, body, a, e = ([m[i] for m in made] for i in range(4))
+            spans_of = lambda x: pa.array([[{"s": s, "e": t} for s, t in y] for y in x], _SPANS)
+            columns = [batch.column("source_id"), batch.column("chunk"), batch.column("last"), spans_of(head), spans_of(body), pa.array(a, pa.int64()), pa.array(e, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["source_id", "chunk", "last", "head", "body", "a", "e"])
+
+    spans = "array<struct<s:bigint,e:bigint>>"
+    known = chunks.mapInArrow(run, f"source_id {kind}, chunk long, last long, head {spans}, body {spans}, a long, e long")
+    whole = Window.partitionBy("source_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return known.withColumn("n_frames", F.max("last").over(whole) + 1)
+
+
+def _tracked(frames: DataFrame, limits: Limits) -> DataFrame:
+    """The tracker's segments without padding, with their source's ``n_frames``. A segment that is not left when its source
+    ends lasts to the end."""
+    kind = frames.schema["source_id"].dataType.simpleString()
+    least = max(1, limits.min_speech)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, n, a, e = None, None, -1, -1
+
+        def last() -> list[Span]:
+            end = n if left_at(a, e, limits) >= n else e
+            return [(a, end)] if a >= 0 and end - a >= least else []
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for row in batch.to_pylist():
+                if n is None or row["source_id"] != source:
+                    rows += [(source, *x, n) for x in (last() if n is not None else [])]
+                    source, n, a, e = row["source_id"], row["n_frames"], -1, -1
+                out: list[Span] = []
+                a, e = follow(a, e, ((x["s"], x["e"]) for x in row["head"]), limits, out)
+                if row["a"] is not None:
+                    if e - a >= least:
+                        out.append((a, e))
+                    out += [(x["s"], x["e"]) for x in row["body"]]
+                    a, e = row["a"], row["e"]
+                rows += [(source, *x, n) for x in out]
+            yield _segments(rows, batch.schema.field("source_id").type)
+        if n is not None:
+            yield _segments([(source, *x, n) for x in last()], batch.schema.field("source_id").type)
+
+    ordered = _in_chunks(frames, limits).sortWithinPartitions("source_id", "chunk")
+    return ordered.select("source_id", "n_frames", "head", "body", "a", "e").mapInArrow(run, f"source_id {kind}, start_frame long, end_frame long, n_frames long")
+
+
+def _segments(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = (kind, pa.int64(), pa.int64(), pa.int64())
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays(columns, names=["source_id", "start_frame", "end_frame", "n_frames"])
 
 
 def padded(segments: DataFrame, pad: int) -> DataFrame:
@@ -86,17 +160,20 @@ def padded(segments: DataFrame, pad: int) -> DataFrame:
 
 
 def track(frames: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The tracker without a cap, in closed form; runs shorter than ``min_speech`` after merging go."""
-    runs = _islands(frames, limits.threshold, max(limits.min_silence, limits.merge_gap), limits.min_silence)
-    kept = runs.where(F.col("end_frame") - F.col("start_frame") >= limits.min_speech)
-    return padded(kept, limits.pad).drop("n_frames")
+    """The tracker without a cap; segments shorter than ``min_speech`` after merging go."""
+    return track_capped(frames, replace(limits, max_seg=0))
+
+
+def track_capped(frames: DataFrame, limits: Limits) -> DataFrame:
+    """The tracker, with a cap unless ``max_seg`` is 0. Linear in the frames; a source's chunks are worked on apart, but for
+    speech that no break ends over several chunks, which one task follows streak by streak."""
+    return padded(_tracked(frames, limits), limits.pad).drop("n_frames")
 
 
 def mask(frames: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The batch variant's first step: runs that end at ``min_silence``; short ones go before any merge.
     Keeps ``n_frames``."""
-    runs = _islands(frames, limits.threshold, limits.min_silence, limits.min_silence)
-    return runs.where(F.col("end_frame") - F.col("start_frame") >= limits.min_speech)
+    return _tracked(frames, replace(limits, merge_gap=0, max_seg=0))
 
 
 def merge_pad_split(segments: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -118,76 +195,27 @@ def merge_pad_split(segments: DataFrame, limits: Limits = Limits()) -> DataFrame
     return out.select("source_id", start.alias("start_frame"), end.alias("end_frame"))
 
 
-def _capped(streaks: Column, limits: Limits) -> Column:
-    """The segments of one run, from its streaks ``array<struct<s, e>>`` in order: ``struct<a, e, out>`` with the
-    segments that are over in ``out`` and the last one open from ``a``, its last speech ending at ``e``.
-
-    A segment is left in a silence once that has ``min_silence`` frames or the segment's cap is reached, and
-    taken up again by speech that follows within ``merge_gap``. Speech on or past the cap cuts the segment
-    behind its frame, so a streak is cut every ``max_seg + 1`` frames from its first cut on; the frame by
-    which a segment begins or is taken up again never cuts.
-    """
-    span = "array<struct<s:bigint,e:bigint>>"
-    start = F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("e"), F.array().cast(span).alias("out"))
-    step = limits.max_seg + 1
-
-    def entered(acc: Column, x: Column) -> Column:
-        left = acc["a"].isNull() | (_left_at(acc["a"], acc["e"], limits) < x["s"])
-        return F.struct(left.alias("left"), (acc["a"].isNull() | (left & (x["s"] >= acc["e"] + limits.merge_gap))).alias("anew"))
-
-    def advanced(acc: Column, x: Column) -> Column:
-        over = let(entered(acc, x), lambda h: F.struct(
-            F.when(h["anew"], x["s"]).otherwise(acc["a"]).alias("a"),
-            F.when(h["left"], x["s"] + 1).otherwise(x["s"]).alias("from"),
-            F.when(h["anew"] & (acc["e"] - acc["a"] >= max(1, limits.min_speech)), F.array(F.struct(acc["a"].alias("s"), acc["e"].alias("e")))).otherwise(F.array().cast(span)).alias("closed"),
-        ))
-        if not limits.max_seg:
-            return let(over, lambda o: F.struct(o["a"].alias("a"), x["e"].alias("e"), F.concat(acc["out"], o["closed"]).alias("out")))
-        cut = let(over, lambda o: F.struct(o["a"].alias("a"), o["closed"].alias("closed"), F.greatest(o["from"], o["a"] + limits.max_seg).alias("first")))
-        cuts = lambda c: F.when(c["first"] < x["e"], F.sequence(c["first"], x["e"] - 1, F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        return let(cut, lambda c: let(cuts(c), lambda at: F.struct(
-            F.coalesce(F.get(at, F.size(at) - 1) + 1, c["a"]).alias("a"),
-            x["e"].alias("e"),
-            F.concat(acc["out"], c["closed"], F.transform(at, lambda i: F.struct(F.when(i == c["first"], c["a"]).otherwise(i - limits.max_seg).alias("s"), (i + 1).alias("e")))).alias("out"),
-        )))
-
-    return F.aggregate(streaks, start, advanced)
-
-
-def _left_at(a: Column, e: Column, limits: Limits) -> Column:
-    """The silent frame at which a segment from ``a`` whose speech ended at ``e`` is left, if the silence lasts."""
-    quiet = e + (limits.min_silence - 1)
-    return F.least(quiet, F.greatest(e, a + limits.max_seg)) if limits.max_seg else quiet
-
-
-def track_capped(frames: DataFrame, limits: Limits) -> DataFrame:
-    """The tracker with a cap. Silences that end a segment in any case part the streaks into runs; a run's
-    segments follow from its streaks alone. A run's streaks, one pair of numbers each, are one array.
-    """
-    streaks = _in_runs(_joined(_speech(frames, limits.threshold), 1), max(limits.min_silence, limits.merge_gap))
-    runs = streaks.groupBy("source_id", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("start_frame").alias("s"), F.col("end_frame").alias("e")))).alias("streaks"))
-    done = runs.withColumn("r", _capped(F.col("streaks"), limits)).join(_lengths(frames, runs), "source_id")
-    # A source may end before its last segment is left; then the segment lasts to the end.
-    held = (F.col("run") == F.col("last_run")) & (_left_at(F.col("r.a"), F.col("r.e"), limits) >= F.col("n_frames"))
-    last = F.struct(F.col("r.a").alias("s"), F.when(held, F.col("n_frames")).otherwise(F.col("r.e")).alias("e"))
-    long_enough = F.filter(F.array(last), lambda x: x["e"] - x["s"] >= max(1, limits.min_speech))
-    # An inner explode would be filtered by size first, and that filter computes the fold again.
-    out = done.select("source_id", "n_frames", F.explode_outer(F.concat("r.out", long_enough)).alias("x")).where("x is not null")
-    return padded(out.select("source_id", F.col("x.s").alias("start_frame"), F.col("x.e").alias("end_frame"), "n_frames"), limits.pad).drop("n_frames")
-
-
 def bounds_ms(segments: DataFrame) -> DataFrame:
     """Start and end in milliseconds, by whole samples: ``sample * 1000 div rate``."""
     ms = lambda c: F.expr(f"({c} * {FRAME_SAMPLES}) * 1000 div {SAMPLE_RATE}")
     return segments.withColumns({"start_ms": ms("start_frame"), "end_ms": ms("end_frame")})
 
 
-def cut_samples(segments: DataFrame, audio: DataFrame, frame_samples: int = FRAME_SAMPLES) -> DataFrame:
-    """Join segments to ``audio(source_id, samples array)`` and slice out each one's samples."""
-    start = F.col("start_frame") * frame_samples
-    length = F.least(F.col("end_frame") * frame_samples, F.size("samples")) - start
-    cut = F.slice("samples", (start + 1).cast("int"), F.greatest(length, F.lit(0)).cast("int"))
-    return segments.join(audio, "source_id").select("source_id", "start_frame", "end_frame", start.alias("start_sample"), cut.alias("samples"))
+def cut_samples(segments: DataFrame, audio: DataFrame, frame_samples: int = FRAME_SAMPLES, block_samples: int | None = None) -> DataFrame:
+    """Each segment's samples out of ``audio(source_id, block, samples array)``, blocks of ``block_samples`` counted from 0,
+    the last of a source with the rest. A segment meets the blocks that it overlaps, so no row holds a source. Without
+    ``block_samples`` a source is one row of ``audio(source_id, samples)``."""
+    if block_samples is None:
+        audio, block_samples = audio.withColumn("block", F.lit(0).cast("long")), 1 << 40
+    start, end = F.col("start_frame") * frame_samples, F.col("end_frame") * frame_samples
+    first, last = F.expr(f"(start_frame * {frame_samples}) div {block_samples}"), F.expr(f"greatest(end_frame * {frame_samples} - 1, start_frame * {frame_samples}) div {block_samples}")
+    met = segments.withColumn("block", F.explode(F.sequence(first, last))).join(audio.select("source_id", "block", "samples"), ["source_id", "block"], "left")
+    a = F.greatest(start - F.col("block") * block_samples, F.lit(0))
+    z = F.least(end - F.col("block") * block_samples, F.size("samples"))
+    piece = F.slice("samples", (a + 1).cast("int"), F.greatest(z - a, F.lit(0)).cast("int"))
+    pieces = met.groupBy("source_id", "start_frame", "end_frame").agg(F.array_sort(F.collect_list(F.struct("block", piece.alias("piece")))).alias("x"))
+    own = F.flatten(F.filter(F.col("x.piece"), lambda p: p.isNotNull()))
+    return pieces.select("source_id", "start_frame", "end_frame", start.alias("start_sample"), own.alias("samples"))
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap_ms: int) -> DataFrame:

@@ -187,8 +187,9 @@ from k join (select source_id, list(cast(round(prob * 50000) as bigint) order by
 )
 def vad_cut(spark, sf_dir):
     f = frames(spark, sf_dir).withColumn("sample", F.round(F.col("prob") * 50_000).cast("long"))
-    audio = f.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "sample"))).alias("x")).select("source_id", F.col("x.sample").alias("samples"))
-    cut = segment.cut_samples(segment.track(f, _L), audio, 1)
+    block = F.expr("frame_idx div 64")
+    audio = f.groupBy("source_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "sample"))).alias("x")).select("source_id", "block", F.col("x.sample").alias("samples"))
+    cut = segment.cut_samples(segment.track(f, _L), audio, 1, 64)
     return cut.select("source_id", "start_sample", F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cuewright.operators.segment import Limits
+from cuewright.operators.segment import Limits, Span, follow, left_at, streaks_of
 
 FRAME_MS = 32
 
@@ -33,43 +33,22 @@ def session_segments(frames: DataFrame, limits: Limits = Limits(), delay: str =
 
 
 _STATE = "seen long, a long, e long, waiting array<array<long>>"
-Span = tuple[int, int]
 State = tuple[int, int, int, list[Span]]  # frames seen, the open segment's start and end of speech (-1: none), segments whose padding is to come
 
 
-def _streaks(speech: np.ndarray, first: int) -> list[Span]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], speech, [False]]).astype(np.int8))) + first
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
-
-
 def advance(state: State, speech: np.ndarray, limits: Limits) -> tuple[list[Span], State]:
     """The segments that the next frames of a source confirm, padded, and the state after them.
 
-    The rules are those of the batch form, applied to the frames' streaks; a streak that goes on in the next
-    frames is one without a silence before it. A segment is given out when its right padding has been seen.
+    The rules are those of the batch form; a streak that goes on in the next frames is one without a silence before it.
+    A segment is given out when its right padding has been seen.
     """
     seen, a, e, waiting = state
     waiting = list(waiting)
-    cap, least = limits.max_seg, max(1, limits.min_speech)
-
-    def left_before(frame: int) -> bool:
-        at = e + limits.min_silence - 1
-        return (min(at, max(e, a + cap)) if cap else at) < frame
-
-    for start, end in _streaks(speech, seen):
-        left = a < 0 or left_before(start)
-        if a < 0 or (left and start >= e + limits.merge_gap):
-            if a >= 0 and e - a >= least:
-                waiting.append((a, e))
-            a = start
-        cuts = range(max(start + left, a + cap), end, cap + 1) if cap else range(0)
-        for at in cuts:
-            waiting.append((a, at + 1))
-            a = at + 1
-        e = end
+    begin, end = streaks_of(np.flatnonzero(speech) + seen)
+    a, e = follow(a, e, zip(begin.tolist(), end.tolist(), strict=True), limits, waiting)
     seen += len(speech)
-    if a >= 0 and left_before(seen) and seen >= e + limits.merge_gap:
-        if e - a >= least:
+    if a >= 0 and left_at(a, e, limits) < seen and seen >= e + limits.merge_gap:
+        if e - a >= max(1, limits.min_speech):
             waiting.append((a, e))
         a = e = -1
     ready = [(max(0, x - limits.pad), y + limits.pad) for x, y in waiting if y + limits.pad <= seen]
@@ -80,9 +59,7 @@ def finish(state: State, limits: Limits) -> list[Span]:
     """What is left at the end of a source: an open segment lasts to the end unless its silence has already ended it."""
     seen, a, e, waiting = state
     if a >= 0:
-        at = e + limits.min_silence - 1
-        at = min(at, max(e, a + limits.max_seg)) if limits.max_seg else at
-        end = e if at < seen else seen
+        end = e if left_at(a, e, limits) < seen else seen
         waiting = [*waiting, (a, end)] if end - a >= max(1, limits.min_speech) else waiting
     return sorted((max(0, x - limits.pad), min(y + limits.pad, seen)) for x, y in waiting)
 
