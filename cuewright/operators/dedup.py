@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
 from cuewright.functions.lets import let
+from cuewright.scratch import written
 
 MIN_SECS, MIN_CHARS = 2.0, 4  # a segment without a language needs both to be kept
-ROUNDS = 2
+CHUNK = 65_536  # of the first number that orders the cues
 
 
 def segment_verdict(lang: Column, text: Column, dur_secs: Column, filter_fragments: bool = True) -> Column:
@@ -38,63 +36,62 @@ def segment_verdicts(utterances: DataFrame, filter_fragments: bool = True) -> Da
     return out.select("source_id", "seq", "start_ms", "end_ms", F.col("u.lang").alias("lang"), "v.verdict", F.coalesce("v.text", F.col("u.text")).alias("text"), F.coalesce(X.utrim(F.col("u.text")) != F.col("v.text"), F.lit(False)).alias("collapsed"))
 
 
-def _against(base: Column, own: Column) -> Column:
-    """Verdict on a stripped text after the last kept one's ``base`` (null: none kept yet)."""
-    return (
-        F.when(own == "", "empty")
-        .when(base.isNull(), "keep")
-        .when(own == base, "duplicate")
-        .when(X.is_pure_filler(base) & X.is_pure_filler(own), "filler_repeat")
-        .otherwise("keep")
-    )
-
-
 def cue_verdicts(cues: DataFrame, order: tuple[str, ...] = ("seq", "piece")) -> DataFrame:
-    """``cues`` with ``verdict``: each cue against the last kept one of its source.
+    """``cues`` with ``verdict``: each cue against the last kept one of its source. The first of ``order`` is a number.
 
     A cue is compared stripped, ``__s``; what later cues are compared with is its ``__b``: echoes removed, then
-    stripped again. Both are computed once for each cue and carried along.
+    stripped again. Equal cues in a row, empty ones left out, are a run. What becomes of a run depends on the one before it alone:
+
+    * behind an interjection an interjection is dropped;
+    * else a run is kept if it differs from the ``__b`` of the run before it, or if that run was dropped itself, for then
+      the last kept cue is what that run equals, which this one differs from.
 
-    Dropped cues equal or resemble the last kept one, so comparing with the last cue that is not empty
-    nearly always gives the same. From there each round compares with the last cue that the round before
-    kept; verdicts that two rounds agree on are final. Sources that still differ after ``ROUNDS`` are
-    folded one cue at a time.
+    So a run is kept, is dropped, or does the opposite of the one before it, and the fate of any run is that of the last one
+    that is fixed, turned about as often as runs have flipped since: a running count and a last value. Both are taken in
+    chunks of a source, and a few values for each chunk are carried over to the next one.
     """
-    w = Window.partitionBy("source_id").orderBy(*order)
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    own = cues.withColumn("__s", X.strip_punct(F.coalesce("text", F.lit(""))))
-    own = own.withColumn("__b", X.strip_punct(X.collapse_repeats("__s"))).withColumn("__kept", F.col("__s") != "")
-    for _ in range(ROUNDS):
-        own = own.withColumn("__was", F.col("__kept")).withColumn("__base", F.last(F.when(F.col("__kept"), F.col("__b")), ignorenulls=True).over(past))
-        own = own.withColumn("verdict", _against(F.col("__base"), F.col("__s"))).withColumn("__kept", F.col("verdict") == "keep")
-    own = own.withColumn("__odd", F.max((F.col("__kept") != F.col("__was")).cast("int")).over(Window.partitionBy("source_id")))
-    steady = own.where("__odd = 0").select(*cues.columns, "verdict")
-    return steady.unionByName(_folded(own.where("__odd = 1").select(*cues.columns, "__s", "__b"), order).select(*cues.columns, "verdict"))
-
-
-def _folded(cues: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    schema = cues.withColumn("verdict", F.lit("")).schema
-    ordered = cues.repartition("source_id").sortWithinPartitions("source_id", *order)
-    fillers = set(X.FILLERS)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept_base: dict = {}  # of the source at hand only
-        for batch in batches:
-            verdicts = []
-            for source, own, base in zip(batch["source_id"], batch["__s"], batch["__b"], strict=True):
-                last = kept_base.get(source)
-                if not own:
-                    verdicts.append("empty")
-                elif own == last:
-                    verdicts.append("duplicate")
-                elif last and fillers.issuperset(own) and fillers.issuperset(last):
-                    verdicts.append("filler_repeat")
-                else:
-                    verdicts.append("keep")
-                    kept_base = {source: base}
-            yield batch.assign(verdict=verdicts)
-
-    return ordered.mapInPandas(run, schema)
+    chunk = F.coalesce(F.floor(F.col(order[0]) / CHUNK), F.lit(-(2**62))).alias("__chunk")
+    own = cues.select("*", chunk, X.strip_punct(F.coalesce("text", F.lit(""))).alias("__s"))
+    own = own.withColumn("__b", X.strip_punct(X.collapse_repeats("__s"))).withColumn("__f", X.is_pure_filler("__s"))
+    own = written(own, "cues")
+    at, keys = F.struct(*order), ["source_id", "__chunk"]
+    within = Window.partitionBy(*keys).orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    chunks = Window.partitionBy("source_id").orderBy("__chunk")
+    earlier, reached = chunks.rowsBetween(Window.unboundedPreceding, -1), chunks.rowsBetween(Window.unboundedPreceding, 0)
+
+    said = own.where("__s <> ''")
+    one = F.struct("__s", "__b", "__f")
+    ends = said.groupBy(*keys).agg(F.max_by(one, at).alias("l")).select(*keys, F.lag("l").over(chunks).alias("__before"))
+    runs = _beside(said, ends, keys).withColumn("__p", F.coalesce(F.lag(one).over(within), F.col("__before"))).drop("__before")
+    first = F.col("__p").isNull() | (F.col("__s") != F.col("__p.__s"))
+    again = F.coalesce(F.col("__f") & F.col("__p.__f"), F.lit(False))
+    same = F.coalesce(F.col("__s") == F.col("__p.__b"), F.lit(False))
+    runs = runs.withColumns({"__first": first, "__flip": (first & ~again & same).cast("int"), "__fixed": F.when(first & again, 0).when(first & ~same, 1)})
+    runs = runs.withColumn("__flips", F.sum("__flip").over(so_far))
+    # The fate of the last fixed run less the flips up to it; what a stretch of interjections began with.
+    runs = runs.withColumns({"__fate": (F.col("__fixed") + F.col("__flips")) % 2, "__began": F.when(first & F.col("__f") & ~again, F.col("__b"))})
+
+    sums = runs.groupBy(*keys).agg(
+        F.sum("__flip").alias("flips"), F.max_by("__fate", F.when(F.col("__fate").isNotNull(), at)).alias("fate"), F.max_by("__began", F.when(F.col("__began").isNotNull(), at)).alias("began")
+    )
+    sums = sums.withColumn("all", F.sum("flips").over(reached)).withColumn("fate", (F.col("fate") + F.col("flips") + F.col("all")) % 2)
+    sums = sums.withColumn("kept", (F.last("fate", ignorenulls=True).over(reached) + F.col("all")) % 2)
+    carried = sums.select(*keys, F.lag("kept").over(chunks).alias("__kept_in"), F.last("began", ignorenulls=True).over(earlier).alias("__began_in"))
+
+    last = lambda c, carry: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(carry))
+    judged = _beside(runs, carried, keys).withColumns({"__kept": (last("__fate", "__kept_in") + F.col("__flips")) % 2 == 1, "__stretch": last("__began", "__began_in")})
+    repeat = F.when(F.col("__f") & (F.col("__s") != F.col("__stretch")), "filler_repeat").otherwise("duplicate")
+    more = F.when(F.col("__s") == F.col("__b"), "duplicate").when(F.col("__f"), "filler_repeat").otherwise("keep")
+    verdict = F.when(~F.col("__kept"), repeat).when(F.col("__first"), "keep").otherwise(more)
+    empty = own.where("__s = ''").select(*cues.columns, F.lit("empty").alias("verdict"))
+    return judged.select(*cues.columns, verdict.alias("verdict")).unionByName(empty)
+
+
+def _beside(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the values that ``carried`` has for their chunk; sources may be null."""
+    other = carried.withColumnsRenamed({k: f"{k}__" for k in keys})
+    return rows.join(other, rows[keys[0]].eqNullSafe(other[f"{keys[0]}__"]) & (rows[keys[1]] == other[f"{keys[1]}__"])).drop(*(f"{k}__" for k in keys))
 
 
 def kept_cues(judged: DataFrame, order: tuple[str, ...] = ("seq", "piece")) -> DataFrame:

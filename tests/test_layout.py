@@ -5,6 +5,8 @@ import random
 import duckdb
 import pandas as pd
 
+from cuewright.functions import echo
+from cuewright.functions import text as X
 from cuewright.operators import dedup, layout
 from cuewright.plans import statements
 from cuewright.sources import srt
@@ -124,8 +126,47 @@ def test_cue_verdicts_are_the_statement(spark, monkeypatch):
     sql = f"with recursive {statements.verdict_ctes('c', '(select source_id, seq, piece, coalesce(text, chr(32)) as text from given)')} select source_id, seq, verdict from c"
     want = {(a, b): v for a, b, v in stated(sql, given=(rows, ["source_id", "seq", "piece", "text"]))}
     assert verdicts(spark, rows) == want and set(want.values()) == {"keep", "empty", "duplicate", "filler_repeat"}
-    monkeypatch.setattr(dedup, "ROUNDS", 1)  # sources that the rounds do not settle are folded
-    assert verdicts(spark, rows) == want
+    for chunk in (1, 5):  # the chunks of a source do not show
+        monkeypatch.setattr(dedup, "CHUNK", chunk)
+        assert verdicts(spark, rows) == want
+
+
+def test_cue_verdicts_one_by_one(spark, monkeypatch):
+    """Long sources, with texts whose echoes are echoes again, against a plain loop over the cues."""
+    rng = random.Random(4)
+    bare = echo.collapse_all
+    found = ["".join(rng.choice("ab") for _ in range(rng.randint(6, 26))) for _ in range(6000)]
+    once = bare(found)
+    chains = [c for c in zip(found, once, bare(once), strict=True) if len(set(c)) == 3][:12]
+    assert len(chains) > 5
+    pool = [*chains, ("嗯嗯嗯嗯", "嗯嗯"), ("嗯", "啊", "啊"), ("好的", "好的"), ("", "嗯", "", "嗯"), ("x",), ("abcabc", "abc", "abcabc", "abc")]
+    rows = []
+    for k in range(40):
+        texts = []
+        while len(texts) < 150:
+            texts += rng.choice(pool)
+            texts += [""] * rng.randint(0, 1)
+        rows += [(f"s{k}" if k else None, i, 0, t) for i, t in enumerate(texts)]
+    bases = dict(zip(sorted({r[3] for r in rows}), bare(sorted({r[3] for r in rows})), strict=True))
+    want, base = {}, {}
+    for source, seq, _, text in rows:
+        last = base.get(source)
+        filler = lambda t: bool(t) and set(t) <= set(X.FILLERS)
+        verdict = "empty" if not text else "keep" if last is None else "duplicate" if text == last else "filler_repeat" if filler(text) and filler(last) else "keep"
+        if verdict == "keep":
+            base[source] = bases[text]
+        want[source, seq] = verdict
+    for chunk in (65_536, 40, 3):
+        monkeypatch.setattr(dedup, "CHUNK", chunk)
+        assert verdicts(spark, rows) == want
+
+
+def test_cues_are_judged_without_python_in_a_loop(spark):
+    df = spark.createDataFrame([("s", 0, 0, "x")], "source_id string, seq int, piece int, text string")
+    plan = dedup.cue_verdicts(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert verdicts(spark, [("s", 0, 0, None)]) == {("s", 0): "empty"}
+    assert dedup.cue_verdicts(df.limit(0)).count() == 0
 
 
 def test_srt(spark):
