@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.functions import twister
 
 
 def last_wins(pairs: DataFrame, key: str = "src", value: str = "dst", order: str = "line_no") -> DataFrame:
@@ -55,11 +60,37 @@ def within_duration(rows: DataFrame, most: float, least: float | None = 1.0, sec
 
 
 def draw(seed: int, row_id: Column) -> Column:
-    """A number in [0, 1) fixed by seed and row id."""
+    """A number in [0, 1) fixed by seed and row id, for rows without a place in an order."""
     h = F.sha1(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def with_draws(rows: DataFrame, seed: int, block: int = twister.BLOCK) -> DataFrame:
+    """``rows`` with ``draw``: what a generator with this seed gives the row of each ``position``, if every row draws once.
+
+    Rows are dealt by blocks of positions. A task moves the generator ahead to a block's first draw and makes the draws of
+    that block only, so neither the rows' partitioning nor their number shows."""
+    ahead, state = twister.leaps(block), twister.seeded(seed)
+    own = rows.withColumn("__block", F.expr(f"position div {block}")).repartition("__block").sortWithinPartitions("__block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, draws = None, np.zeros(0)
+        for batch in batches:
+            position = batch.column("position").to_numpy()
+            out = np.empty(len(position))
+            blocks = position // block
+            for b in np.unique(blocks).tolist():
+                if b != at:
+                    at, draws = b, twister.block_draws(state, b, ahead, block)
+                here = blocks == b
+                out[here] = draws[position[here] - b * block]
+            yield batch.append_column("draw", pa.array(out))
+
+    out = own.drop("__block")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    return out.mapInArrow(run, f"{fields}, draw double")
+
+
 def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """A reader's limit: the first ``most`` rows in ``order``."""
     return rows.orderBy(*order).limit(most)
@@ -87,9 +118,10 @@ def position(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _drawn(rows: DataFrame, limit: int, asr_ratio: float, seed: int) -> DataFrame:
-    """``rows`` with ``__eval``, from position ``limit`` on, ``__mt``, to be translated, and ``__skip``, if that has no target."""
-    own = rows.withColumn("__eval", F.col("position") >= limit)
-    own = own.withColumn("__mt", F.col("__eval") | (draw(seed, F.col("row_id")) >= asr_ratio))
+    """``rows`` with ``__eval``, from position ``limit`` on, ``__mt``, to be translated, and ``__skip``, if that has no target.
+    Every row takes one draw, whatever becomes of it."""
+    own = with_draws(rows, seed).withColumn("__eval", F.col("position") >= limit)
+    own = own.withColumn("__mt", F.col("__eval") | (F.col("draw") >= asr_ratio)).drop("draw")
     return own.withColumn("__skip", F.col("__mt") & F.col("target").isNull())
 
 
@@ -97,8 +129,8 @@ def records(rows: DataFrame, limit: int, asr_ratio: float, seed: int, prompt: st
     """Training and evaluation records from ``rows(row_id, audio, text, target, position)``.
 
     Rows from position ``limit`` on are for evaluation and give two records, translated with the prompt
-    and transcribed without. Of the others a fixed draw decides the task. Rows to be translated without
-    a target are skipped.
+    and transcribed without. Of the others the seeded generator's draw for the row decides the task. Rows to be
+    translated without a target are skipped.
     """
     own = _drawn(rows, limit, asr_ratio, seed)
     mt = F.struct(F.lit("translate").alias("task"), X.tagged(language, F.col("target")).alias("text"), F.lit(prompt).alias("prompt"))
@@ -132,7 +164,6 @@ def composition(made: DataFrame) -> DataFrame:
 
 
 def counters(rows: DataFrame, limit: int, asr_ratio: float, seed: int, n_silence: int) -> DataFrame:
-    """One row for the training part: ``n_mt, n_asr, n_skipped, n_silence``; skipped rows count wherever they stand."""
+    """One row: ``n_mt, n_asr, n_skipped, n_silence``. A row for evaluation counts as translated."""
     own = _drawn(rows, limit, asr_ratio, seed)
-    train = ~F.col("__eval") & ~F.col("__skip")
-    return own.agg(F.count_if(train & F.col("__mt")).alias("n_mt"), F.count_if(train & ~F.col("__mt")).alias("n_asr"), F.count_if("__skip").alias("n_skipped"), F.lit(n_silence).cast("long").alias("n_silence"))
+    return own.agg(F.count_if(F.col("__mt") & ~F.col("__skip")).alias("n_mt"), F.count_if(~F.col("__mt")).alias("n_asr"), F.count_if("__skip").alias("n_skipped"), F.lit(n_silence).cast("long").alias("n_silence"))

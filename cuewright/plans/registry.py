@@ -332,12 +332,20 @@ def labelled_range(spark, sf_dir):
     return rows.join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality", "toxic")
 
 
-_DRAW = "cast('0x' || substr(sha1('7:' || cast(doc_id as varchar)), 1, 8) as bigint) / 4294967296.0"
+# Every row draws once from the seeded generator, in order; a twentieth as many silent samples are put behind them.
+_DRAWN = f"""{statements.twister_ctes('g', 7, '(select count(*) from documents)')},
+p as (select d.*, draw from (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents) d join g using (position))"""
+
+
+@_query(f"with recursive {_DRAWN} select doc_id, position, draw from p")
+def task_draws(spark, sf_dir):
+    rows = corpus.position(_docs(spark, sf_dir).select("doc_id"), ["doc_id"])
+    return corpus.with_draws(rows.withColumn("position", F.col("position").cast("long")), 7)
 
 
 @_query(
-    f"""with p as (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents),
-r as (select doc_id, 'train' as split, case when {_DRAW} >= 0.3 then 'translate' else 'transcribe' end as task, text, lang from p where position < lim
+    f"""with recursive {_DRAWN},
+r as (select doc_id, 'train' as split, case when draw >= 0.3 then 'translate' else 'transcribe' end as task, text, lang from p where position < lim
 union all select doc_id, 'eval', t, text, lang from p, (values ('translate'), ('transcribe')) v(t) where position >= lim)
 select doc_id, split, 'd' || doc_id || '.wav' as audio, task, 'language Japanese<asr_text>' || case when task = 'translate' then upper(lang) else text end as text,
 case when task = 'translate' then 'to zh' else '' end as prompt from r"""
@@ -349,16 +357,16 @@ def training_records(spark, sf_dir):
 
 
 @_query(
-    f"""with p as (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents)
-select split, task, count(*) as n from (select 'train' as split, case when {_DRAW} >= 0.3 then 'translate' else 'transcribe' end as task from p where position < lim
+    f"""with recursive {_DRAWN}
+select split, task, count(*) as n from (select 'train' as split, case when draw >= 0.3 then 'translate' else 'transcribe' end as task from p where position < lim
 union all select 'eval', t from p, (values ('translate'), ('transcribe')) v(t) where position >= lim) group by 1, 2"""
 )
 def training_mix(spark, sf_dir):
     return corpus.composition(training_records(spark, sf_dir))
 
 
-_ROWS = f"""p as (select *, row_number() over (order by doc_id) - 1 as position, (select count(*) from documents) * 9 // 10 as lim from documents),
-q as (select *, position >= lim as ev, case when lang <> 'de' then upper(lang) end as target, position >= lim or {_DRAW} >= 0.3 as mt from p)"""
+_ROWS = f"""{_DRAWN},
+q as (select *, position >= lim as ev, case when lang <> 'de' then upper(lang) end as target, position >= lim or draw >= 0.3 as mt from p)"""
 
 
 def _some_targets(spark, sf_dir):
@@ -368,23 +376,27 @@ def _some_targets(spark, sf_dir):
     return corpus.position(rows, ["row_id"]), docs.count() * 9 // 10
 
 
-_SILENCE = "select i as j, {}i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range(200) t(i)"
+_SILENCE = "select i as j, {}i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range((select count(*) // 20 from documents)) t(i)"
+
+
+def _silence(spark, sf_dir):
+    return corpus.silence_rows(spark, _docs(spark, sf_dir).count() // 20, "to zh", 0.5, 5.0, 7)
 
 
 @_query(
-    f"""with {_ROWS} select doc_id, case when ev then 'eval' else 'train' end as split, 'd' || doc_id || '.wav' as audio, task, 'language Japanese<asr_text>' || case when task = 'translate' then target else text end as text,
+    f"""with recursive {_ROWS} select doc_id, case when ev then 'eval' else 'train' end as split, 'd' || doc_id || '.wav' as audio, task, 'language Japanese<asr_text>' || case when task = 'translate' then target else text end as text,
 case when task = 'translate' then 'to zh' else '' end as prompt from (select *, unnest(case when ev then ['translate', 'transcribe'] when mt then ['translate'] else ['transcribe'] end) as task from q where not mt or target is not null)
 union all select -1, 'train', audio, 'silence', text, prompt from ({_SILENCE.format('')})"""
 )
 def training_set(spark, sf_dir):
     rows, limit = _some_targets(spark, sf_dir)
     made = corpus.records(rows, limit, 0.3, 7, "to zh")
-    return corpus.with_silence(made, corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7)).select(F.coalesce("row_id", F.lit(-1)).alias("doc_id"), "split", "audio", "task", "text", "prompt")
+    return corpus.with_silence(made, _silence(spark, sf_dir)).select(F.coalesce("row_id", F.lit(-1)).alias("doc_id"), "split", "audio", "task", "text", "prompt")
 
 
-@_query(f"with {_ROWS} select count(*) filter (not ev and mt and target is not null) as n_mt, count(*) filter (not ev and not mt) as n_asr, count(*) filter (mt and target is null) as n_skipped, 200::bigint as n_silence from q")
+@_query(f"with recursive {_ROWS} select count(*) filter (mt and target is not null) as n_mt, count(*) filter (not mt) as n_asr, count(*) filter (mt and target is null) as n_skipped, count(*) // 20 as n_silence from q")
 def training_counts(spark, sf_dir):
-    return corpus.counters(*_some_targets(spark, sf_dir), 0.3, 7, 200)
+    return corpus.counters(*_some_targets(spark, sf_dir), 0.3, 7, _docs(spark, sf_dir).count() // 20)
 
 
 @_query("select doc_id, trim(case when doc_id % 3 = 0 or text = '' then lang else text end) as text from documents where n_chars between 200 and 2000 and (doc_id % 5 > 0) order by doc_id limit 100")
@@ -441,12 +453,12 @@ def output_names(spark, sf_dir):
 
 @_query(_SILENCE.format("round(case when i < 4 then 2.0 else 0.5 + cast('0x' || substr(sha1('7:' || i), 1, 8) as bigint) / 4294967296.0 * 4.5 end, 2) as secs, "))
 def silence_lengths(spark, sf_dir):
-    return corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7)
+    return _silence(spark, sf_dir)
 
 
-@_query("select i as j, i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range(200) t(i)")
+@_query("select i as j, i % 2 = 0 as zeros, printf('silence_%03d.wav', i) as audio, 'language None<asr_text>' as text, case when (i < 4 and i < 2) or (i >= 4 and i // 2 % 2 = 0) then 'to zh' else '' end as prompt from range((select count(*) // 20 from documents)) t(i)")
 def silence_rows(spark, sf_dir):
-    return corpus.silence_rows(spark, 200, "to zh", 0.5, 5.0, 7).drop("secs")
+    return _silence(spark, sf_dir).drop("secs")
 
 
 @_query(

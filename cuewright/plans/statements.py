@@ -131,3 +131,22 @@ def wrap_ctes(name: str, given: str, width: int = layout.MAX_WIDTH) -> str:
   select id, j, k + 1, regexp_replace(substr(rest, cut + 1), '^[{WS}]+', ''), regexp_replace(substr(rest, 1, cut), '[{WS}]+$', '')
   from (select *, case when {columns('rest')} <= {width} then length(rest) else {cut} end as cut from (select *, {fits} as fits from {name}_w where rest <> ''))),
 {name} as (select g.id, case when g.t is not null then coalesce(l, '') end as wrapped from {given} g left join (select id, string_agg(line, chr(10) order by j, k) as l from {name}_w where line <> '' group by 1) x using (id))"""
+
+
+def twister_ctes(name: str, seed: int, draws: str) -> str:
+    """``name(position, draw)``: the first ``draws`` numbers of Python's generator under a seed below 2**32, by the definition of
+    MT19937: seeding by an array of one word, twists of 624 words, tempering, 53 bits of two words. Recursive."""
+    mask = 4294967295
+    mixed = lambda x, factor: f"xor({x}, {x} >> 30) * {factor}"
+    twist = lambda u, v, w: f"xor({w}, xor((({u} & 2147483648) | ({v} & 2147483647)) >> 1, case when {v} & 1 = 1 then 2567483615 else 0 end))"
+    return f"""mt_a as (select list_reduce(list_concat([[19650218::bigint]], list_transform(range(1, 624), lambda i: [i])), lambda a, b: list_append(a, ({mixed('a[-1]', 1812433253)} + b[1]) & {mask})) as m),
+mt_b as (select list_reduce(list_transform(m, lambda x: [x]), lambda a, b: list_append(a, (xor(b[1], {mixed('a[-1]', 1664525)}) + {seed}) & {mask})) as m from mt_a),
+mt_c as (select list_concat([m[624], (xor(m[2], {mixed('m[624]', 1664525)}) + {seed}) & {mask}], m[3:]) as m from mt_b),
+mt_d as (select m, list_reduce(list_concat([[m[2]]], list_transform(range(3, 625), lambda i: [m[i], i - 1])), lambda a, b: list_append(a, (xor(b[1], {mixed('a[-1]', 1566083941)}) - b[2]) & {mask})) as q from mt_c),
+mt_s as (select 0 as k, list_concat([2147483648::bigint, (xor(m[2], {mixed('q[623]', 1566083941)}) - 1) & {mask}], q[2:]) as m from mt_d
+  union all select k + 1, x || y || list_transform(range(455, 624), lambda i: {twist('m[i]', 'm[i + 1]', 'y[i - 454]')}) || [{twist('m[624]', 'x[1]', 'y[170]')}]
+  from (select *, list_transform(range(228, 455), lambda i: {twist('m[i]', 'm[i + 1]', 'x[i - 227]')}) as y
+    from (select *, list_transform(range(1, 228), lambda i: {twist('m[i]', 'm[i + 1]', 'm[i + 397]')}) as x from mt_s)) where k * 312 < {draws}),
+mt_w as (select (k - 1) * 624 + i - 1 as i, m[i] as y from (select *, unnest(range(1, 625)) as i from mt_s where k > 0)),
+mt_t as (select i, xor(y, (y << 15) & 4022730752) as y from (select i, xor(y, (y << 7) & 2636928640) as y from (select i, xor(y, y >> 11) as y from mt_w))),
+{name} as (select i // 2 as position, (sum(case when i % 2 = 0 then (w >> 5) * 67108864 else w >> 6 end))::double / 9007199254740992.0 as draw from (select i, xor(y, y >> 18) as w from mt_t) group by 1)"""
