@@ -6,6 +6,7 @@ places of whole documents; ``collapse_turns`` is the same operator on shorter te
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from cuewright.functions import text as X
 from cuewright.operators import corpus, dedup, layout, quality, segment
 from cuewright.plans import statements
 from cuewright.plans.inputs import FRAMES, UTTERANCES, frames, pairs, utterances
+from cuewright.scratch import scratch_dir
 from cuewright.session import table
 from cuewright.sources import corpus as sources
-from cuewright.sources import srt
+from cuewright.sources import files, srt
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -258,6 +260,15 @@ def srt_roundtrip(spark, sf_dir):
     return srt.parse(srt.render(utterances(spark, sf_dir)))
 
 
+@_query(f"select source_id, row_number() over (partition by source_id order by start_ms) as index, start_ms, end_ms, t as text from (select *, {_utrim('text')} as t from {UTTERANCES}) where t <> ''")
+def srt_written(spark, sf_dir):
+    """The files, written and read again."""
+    path = f"{scratch_dir(spark)}/srt-{uuid.uuid4().hex}"
+    srt.write(utterances(spark, sf_dir), path)
+    back = srt.parse(srt.read(spark, path))
+    return back.withColumn("source_id", F.regexp_extract("source_id", r"(\d+)\.srt$", 1).cast("long"))
+
+
 def _judged(spark, sf_dir):
     u = utterances(spark, sf_dir).withColumn("raw", F.concat(F.lit("language "), F.when(F.col("role") == "user", "None").otherwise("English"), F.lit(X.TAG), F.col("text")))
     return dedup.segment_verdicts(u)
@@ -437,6 +448,23 @@ def pcm_sizes(spark, sf_dir):
     return sources.pcm_samples(files).select(F.col("source_id").cast("long").alias("doc_id"), F.size("samples").cast("long").alias("n_samples"))
 
 
+@_query(
+    """select label, row_number() over (partition by label order by vec_id, i) - 1 as at, v::double as value
+from (select vec_id, label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)"""
+)
+def pcm_values(spark, sf_dir):
+    """Sample files, one for each label with some bytes behind its last sample, read in ranges that cut samples."""
+    e = table(spark, sf_dir, "embeddings")
+    name = F.format_string("%d.pcm", "label").alias("name")
+    rows = files.pcm_bytes(e.select(name, "vec_id", F.col("embedding").alias("samples")))
+    rest = e.groupBy(name).agg(F.lit(None).cast("long").alias("vec_id"), F.unhex(F.repeat(F.lit("ff"), F.any_value("label") % 4)).alias("content"))
+    path = f"{scratch_dir(spark)}/pcm-{uuid.uuid4().hex}"
+    files.write_named(rows.unionByName(rest).withColumn("last", F.col("vec_id").isNull()), path, ("last", "vec_id"))
+    samples = files.read_pcm(spark, path, 50_001).select("source_id", "first_sample", F.posexplode("samples").alias("at", "value"))
+    label = F.regexp_extract("source_id", r"(-?\d+)\.pcm$", 1).cast("int")
+    return samples.select(label.alias("label"), (F.col("first_sample") + F.col("at")).alias("at"), F.col("value").cast("double").alias("value"))
+
+
 @_query("""select lang, '{"lang":"' || lang || '","n":' || count(*) || ',"longest":' || max(n_chars) || ',"none":null}' as json from documents group by 1""")
 def report_json(spark, sf_dir):
     m = _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"), F.lit(None).cast("string").alias("none"))

@@ -111,10 +111,6 @@ def channel_mean(rows: DataFrame) -> DataFrame:
     return rows.select("source_id", "samples", "channels").mapInPandas(run, "source_id string, samples array<float>")
 
 
-def read_pcm(spark: SparkSession, path: str) -> DataFrame:
-    return pcm_samples(spark.read.format("binaryFile").load(path))
-
-
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
     """``source_id, line``; bytes that are not UTF-8 become replacement characters."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("line"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
+from cuewright.sources.files import file_stem, write_named
 
 
 def block(index: Column, start_ms: Column, end_ms: Column, text: Column) -> Column:
@@ -23,21 +22,13 @@ def render(cues: DataFrame, order: tuple[str, ...] = ("start_ms",)) -> DataFrame
 
 
 def write(cues: DataFrame, path: str, order: tuple[str, ...] = ("start_ms",)) -> None:
-    """``<source>.srt`` for each source under ``path``; overwrites. A source is one file, as the format has it, so
-    the driver renames as many files as there are sources; it reads none."""
-    spark = cues.sparkSession
-    home = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = home.getFileSystem(spark._jsc.hadoopConfiguration())
-    # The writer adds the last line's end itself.
-    texts = render(cues, order).withColumn("srt", F.expr("left(srt, length(srt) - 1)"))
-    texts.write.mode("overwrite").partitionBy("source_id").option("lineSep", "\n").text(path)
-    for folder in fs.listStatus(home):
-        name = folder.getPath().getName()
-        if name.startswith("source_id="):
-            (part,) = [x.getPath() for x in fs.listStatus(folder.getPath()) if x.getPath().getName().startswith("part-")]
-            stem = unquote(name.removeprefix("source_id="))
-            fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(home, f"{stem.replace('/', '_')}.srt"))
-            fs.delete(folder.getPath(), True)
+    """``<source>.srt`` for each source under ``path``, which is replaced once all files are whole.
+
+    A source is one file, as the format has it: its cues are written one after another by one task, which holds none."""
+    n = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
+    name = F.concat(file_stem(F.col("source_id")), F.lit(".srt")).alias("name")
+    text = block(F.col("n"), F.col("start_ms"), F.col("end_ms"), F.col("text")).alias("content")
+    write_named(cues.withColumn("n", n).select(name, "n", text), path, ("n",))
 
 
 def output_name(path: Column, raw: bool = False, folder: str | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import twister
 from cuewright.operators import corpus, quality
 from cuewright.sources import corpus as sources
+from cuewright.sources import files
 
 
 def test_lookup(spark):
@@ -83,7 +84,8 @@ def test_readers(spark, tmp_path):
     sources.write_records(sources.read_records(spark, str(tmp_path / "r.jsonl")), str(tmp_path / "out"))
     assert "é" in "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
     (tmp_path / "a.pcm").write_bytes(b"\0\0\x80?\0\0\0@\1\2")
-    assert sources.read_pcm(spark, str(tmp_path / "a.pcm")).first()["samples"] == [1.0, 2.0]
+    assert files.read_pcm(spark, str(tmp_path / "a.pcm")).first()["samples"] == [1.0, 2.0]
+    assert sources.pcm_samples(spark.createDataFrame([("a", b"\0\0\x80?\0\0\0@\1\2")], "path string, content binary")).first()["samples"] == [1.0, 2.0]
     layout = spark.createDataFrame([("w", 0, 10, [2, 5]), ("b", 40, 5, [5])], "name string, offset long, len long, shape array<int>")
     assert [r["ok"] for r in sources.weight_layout(layout, 15, ("w",)).orderBy("offset").collect()] == [True, True]
     with pytest.raises(ValueError, match="b"):
