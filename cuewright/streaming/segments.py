@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from cuewright.operators.segment import Limits, Span, follow, left_at, streaks_of
+from cuewright.operators.segment import FRAME_SAMPLES, Limits, Span, follow, left_at, streaks_of
 
 FRAME_MS = 32
 
@@ -94,3 +95,85 @@ def tracked_segments(frames: DataFrame, limits: Limits, idle_ms: int = 60_000) -
     return frames.groupBy("source_id").applyInPandasWithState(
         step, f"source_id {kind}, start_frame long, end_frame long", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_HELD = _STATE + ", kept long"  # the first frame whose samples are held
+
+
+class _Cutter(StatefulProcessor):
+    """The tracker of a source with the samples of the frames that a segment may still need, a map entry for each frame.
+
+    After each batch the frames before ``oldest_needed`` are dropped; where nothing is open, all but the padding of a segment
+    that may begin next."""
+
+    def __init__(self, limits: Limits, idle_ms: int | None, frame_samples: int):
+        self.limits, self.idle_ms, self.frame_samples = limits, idle_ms, frame_samples
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", _HELD)
+        self.samples = handle.getMapState("samples", "frame long", "samples array<float>")
+
+    def _state(self) -> tuple[State, int]:
+        if not self.held.exists():
+            return (0, -1, -1, []), 0
+        seen, a, e, waiting, kept = self.held.get()
+        return (seen, a, e, [(int(x), int(y)) for x, y in waiting]), kept
+
+    def _cut(self, key: tuple, spans: list[Span]) -> pd.DataFrame:
+        rows = []
+        for start, end in spans:
+            frames = [np.asarray(self.samples.getValue((k,))[0], "float32") for k in range(start, end) if self.samples.containsKey((k,))]
+            rows.append((*key, start, end, start * self.frame_samples, np.concatenate(frames).tolist() if frames else []))
+        return pd.DataFrame(rows, columns=["source_id", "start_frame", "end_frame", "start_sample", "samples"])
+
+    def _end(self, key: tuple, state: State) -> pd.DataFrame:
+        out = self._cut(key, finish(state, self.limits))
+        self.held.clear()
+        self.samples.clear()
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.idle_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+        state, kept = self._state()
+        arrived = pd.concat(list(rows)).sort_values("frame_idx")
+        speech = arrived[arrived["prob"].notna()]
+        for frame, samples in zip(speech["frame_idx"], speech["samples"], strict=True):
+            self.samples.updateValue((int(frame),), ([float(x) for x in samples],))
+        found, state = advance(state, (speech["prob"] >= self.limits.threshold).to_numpy(), self.limits)
+        yield self._cut(key, found)
+        if len(speech) < len(arrived):
+            yield self._end(key, state)
+            return
+        seen, a, e, waiting = state
+        need = oldest_needed(state, self.limits)
+        need = max(0, seen - self.limits.pad) if need is None else need
+        for frame in range(kept, need):
+            self.samples.removeKey((frame,))
+        self.held.update((seen, a, e, [list(w) for w in waiting], max(kept, need)))
+        if self.idle_ms is not None:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._end(key, self._state()[0])
+
+    def close(self) -> None:
+        pass
+
+
+def cut_stream(frames: DataFrame, limits: Limits, idle_ms: int | None = None, frame_samples: int = FRAME_SAMPLES) -> DataFrame:
+    """The segments of a stream with their samples, as ``cut_samples`` gives them for a table, each once its padding has been seen.
+
+    ``frames(source_id, frame_idx, prob, samples array<float>)``, those of a source in order. A row without ``prob`` says that its
+    source is at its end; so is one without frames for ``idle_ms``, if that is given: such a stream never ends by itself, since
+    timers keep it going. The session's state store must be ``STATE_STORE``."""
+    kind = frames.schema["source_id"].dataType.simpleString()
+    return frames.groupBy("source_id").transformWithStateInPandas(
+        statefulProcessor=_Cutter(limits, idle_ms, frame_samples),
+        outputStructType=f"source_id {kind}, start_frame long, end_frame long, start_sample long, samples array<float>",
+        outputMode="Append",
+        timeMode="None" if idle_ms is None else "ProcessingTime",
+    )

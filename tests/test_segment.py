@@ -173,3 +173,52 @@ def test_stream(spark, tmp_path):
     closed = collected(spark.table("plain"))
     # In a stream the last run ends at its last speech frame, as if silence went on.
     assert closed and all(s in streamed(lists[k] + [0.01] * 60, Limits()) for k, v in closed.items() for s in v)
+
+
+@pytest.mark.parametrize("piece", [7, 40, 1000])
+def test_samples_of_a_stream(spark, tmp_path, piece):
+    """The segments' samples are those of the table's form for any size of batch; what no segment needs is dropped."""
+    from cuewright.streaming.segments import STATE_STORE, cut_stream
+
+    limits = Limits(min_speech=3, min_silence=5, merge_gap=8, pad=2, max_seg=12)
+    lists = [p[:70] for p in sequences(12, 3)]
+    samples = lambda k, i: [float(1000 * k + 2 * i), float(1000 * k + 2 * i + 1)]
+    schema = "source_id long, frame_idx long, prob double, samples array<float>"
+    rows = [(k, i, p, samples(k, i)) for k, probs in enumerate(lists) for i, p in enumerate(probs)]
+    ends = [(k, len(probs), None, None) for k, probs in enumerate(lists)]
+    for n, at in enumerate(range(0, 71, piece)):
+        part = [r for r in rows + ends if at <= r[1] < at + piece]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        assert n < 100
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        name = f"cut_{piece}"
+        q = cut_stream(read, limits, frame_samples=2).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(240)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    audio = spark.createDataFrame([(k, b, [x for i in range(16 * b, min(16 * b + 16, len(p))) for x in samples(k, i)]) for k, p in enumerate(lists) for b in range(-(-len(p) // 16))], "source_id long, block long, samples array<float>")
+    frames = as_frames(spark, lists)
+    want = sorted(map(tuple, cut_samples(track_capped(frames, limits), audio, 2, 32).collect()))
+    got = sorted(map(tuple, spark.table(name).collect()))
+    assert got == want and len(want) > 5
+    held = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    most = limits.max_seg + limits.min_silence + limits.merge_gap + 2 * limits.pad + 1
+    assert held[-1] == 0 and (piece == 1000 or max(held) <= len(lists) * (most + 4))  # frames, and a few rows for a source
+
+
+def test_a_long_run_is_linear(spark):
+    """A million frames without a break in one source; and the plan reads its input as often as the frames are numbered."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from cuewright.plans import registry
+
+    f = spark.range(1_000_000).select(F.lit(1).alias("source_id"), F.col("id").alias("frame_idx"), F.when(F.col("id") % 4 < 3, 0.9).otherwise(0.1).alias("prob"))
+    began = time.perf_counter()
+    assert track_capped(f, Limits(max_seg=8)).count() > 90_000 and time.perf_counter() - began < 20
+    for name in ("vad_capped", "vad_segments", "vad_batch", "vad_cut"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[0].count("FileScan") <= 4
