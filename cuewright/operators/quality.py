@@ -140,6 +140,39 @@ def buckets(cues: DataFrame, seconds: int = 20) -> DataFrame:
     return cues.groupBy("source_id", b.alias("bucket")).agg(F.count("*").alias("n_cues"), F.sum(F.length("text")).alias("n_chars"))
 
 
+def overlaps(left: DataFrame, right: DataFrame, seconds: int = 20) -> DataFrame:
+    """The pairs of cues of two tracks that are on screen together: both bounds and texts, and ``overlap_ms``.
+
+    A cue is put into all buckets of ``seconds`` that it touches. Cues meet in equal buckets, and a pair counts in the first that they
+    share, so no cue is compared with another one far from it and no pair comes twice."""
+    span = seconds * 1000
+
+    def dealt(cues: DataFrame, side: str) -> DataFrame:
+        first, last = F.expr(f"start_ms div {span}"), F.expr(f"greatest(end_ms - 1, start_ms) div {span}")
+        own = cues.select("source_id", *(F.col(c).alias(f"{side}_{c}") for c in ("start_ms", "end_ms", "text")), first.alias(f"{side}_first"), F.sequence(first, last).alias("x"))
+        return own.withColumn("bucket", F.explode("x")).drop("x")
+
+    met = dealt(left, "left").join(dealt(right, "right"), ["source_id", "bucket"])
+    shared = F.least("left_end_ms", "right_end_ms") - F.greatest("left_start_ms", "right_start_ms")
+    pairs = met.withColumn("overlap_ms", shared).where((F.col("overlap_ms") > 0) & (F.col("bucket") == F.greatest("left_first", "right_first")))
+    return pairs.drop("bucket", "left_first", "right_first")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, seconds: int = 20) -> DataFrame:
+    """Two tracks of the same sources beside one another: for each bucket of ``seconds`` in which a cue of either begins, both sides' texts
+    in order and how long cues of both are on screen together from the left cues that begin there."""
+    span = seconds * 1000
+    bucket = F.expr(f"start_ms div {span}").alias("bucket")
+
+    def told(cues: DataFrame, side: str) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]), " / ")
+        return cues.groupBy("source_id", bucket).agg(F.count("*").alias(f"n_{side}"), text.alias(side))
+
+    together = overlaps(left, right, seconds).groupBy("source_id", F.expr(f"left_start_ms div {span}").alias("bucket")).agg(F.sum("overlap_ms").alias("overlap_ms"))
+    both = told(left, "left").join(told(right, "right"), ["source_id", "bucket"], "full").join(together, ["source_id", "bucket"], "left")
+    return both.select("source_id", "bucket", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_left", "n_right", "overlap_ms")), *(F.coalesce(c, F.lit("")).alias(c) for c in ("left", "right")))
+
+
 def adjacency(cues: DataFrame) -> DataFrame:
     """Per source: cues that end before they start or with it, and cues that overlap the next by over a millisecond."""
     following = F.lead("start_ms").over(Window.partitionBy("source_id").orderBy("start_ms", "end_ms"))

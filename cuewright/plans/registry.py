@@ -9,18 +9,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import kernels
 from cuewright.functions import text as X
-from cuewright.operators import corpus, dedup, layout, quality, segment
+from cuewright.operators import corpus, dedup, layout, quality, recurrent, segment
 from cuewright.plans import statements
 from cuewright.plans.inputs import FRAMES, UTTERANCES, frames, pairs, utterances
 from cuewright.scratch import scratch_dir
 from cuewright.session import table
 from cuewright.sources import corpus as sources
-from cuewright.sources import files, srt
+from cuewright.sources import files, models, srt
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -269,6 +270,42 @@ def srt_written(spark, sf_dir):
     return back.withColumn("source_id", F.regexp_extract("source_id", r"(\d+)\.srt$", 1).cast("long"))
 
 
+@_query(
+    f"""select source_id, case when source_id % 9 < 2 then 0 else count_if({_utrim('text')} <> '') end::bigint as n_cues,
+case source_id % 9 when 0 then 'not UTF-8' when 1 then 'no time line' end as error from {UTTERANCES} group by source_id"""
+)
+def files_with_errors(spark, sf_dir):
+    """Subtitle files of which some are none: those are rows of their own, and the rest is read."""
+    u = utterances(spark, sf_dir)
+    rows = u.select(F.format_string("%d.srt", "source_id").alias("name"), "source_id", "seq", srt.block(F.col("seq"), F.col("start_ms"), F.col("end_ms"), F.col("text")).cast("binary").alias("content"))
+    broken = F.when(F.col("source_id") % 9 == 0, F.unhex(F.lit("C328"))).when(F.col("source_id") % 9 == 1, F.lit("no cues").cast("binary")).otherwise(F.col("content"))
+    path = f"{scratch_dir(spark)}/each-{uuid.uuid4().hex}"
+    files.write_named(rows.withColumn("content", broken), path, ("seq",))
+    each = srt.read_each(spark, path)
+    n = srt.parse(each.where("error is null")).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
+    read = each.join(n, F.col("source_id") == F.col("id"), "left")
+    return read.select(F.regexp_extract("source_id", r"(\d+)\.srt$", 1).cast("long").alias("source_id"), F.coalesce("n", F.lit(0).cast("long")).alias("n_cues"), "error")
+
+
+_MODEL_FILES = """(select p_brand as brand, p_size as rank, 'at/' || p_size as folder, case p_partkey % 4 when 0 then 'model.gguf' when 1 then 'mmproj-' || p_partkey || '.gguf' when 2 then p_partkey || '.gguf' else p_partkey || '.bin' end as name from part)"""
+
+
+@_query(
+    f"""with f as (select brand, rank, folder, max(name) filter (name = 'model.gguf') as best, count_if(g and not m) as n, min(name) filter (g and not m) as one, max(name) filter (name = 'mmproj.gguf') as best_a,
+count_if(g and m) as n_a, min(name) filter (g and m) as one_a from (select *, ends_with(name, '.gguf') as g, starts_with(name, 'mmproj') as m from {_MODEL_FILES}) group by 1, 2, 3),
+e as (select *, case when best is null and n > 1 then 'more than one language model' when best_a is null and n_a > 1 then 'more than one audio model' end as wrong from f),
+c as (select brand, rank, folder, wrong, case when wrong is null then coalesce(best, case when n = 1 then one end) end as language, case when wrong is null then coalesce(best_a, case when n_a = 1 then one_a end) end as audio from e),
+w as (select brand, arg_min(folder, rank) filter (ok) as folder, arg_min(language, rank) filter (ok) as language, arg_min(audio, rank) filter (ok) as audio, arg_min(wrong, rank) filter (wrong is not null) as wrong
+from (select *, language is not null and audio is not null as ok from c) group by 1)
+select brand, folder, language, audio, case when folder is null then coalesce(wrong, 'no model') end as error from w"""
+)
+def model_choice(spark, sf_dir):
+    key = F.col("p_partkey")
+    name = F.when(key % 4 == 0, "model.gguf").when(key % 4 == 1, F.format_string("mmproj-%d.gguf", key)).when(key % 4 == 2, F.format_string("%d.gguf", key)).otherwise(F.format_string("%d.bin", key))
+    listed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("rank"), F.format_string("at/%d", "p_size").alias("folder"), name.alias("name"))
+    return models.choose(listed, "brand")
+
+
 def _judged(spark, sf_dir):
     u = utterances(spark, sf_dir).withColumn("raw", F.concat(F.lit("language "), F.when(F.col("role") == "user", "None").otherwise("English"), F.lit(X.TAG), F.col("text")))
     return dedup.segment_verdicts(u)
@@ -616,9 +653,44 @@ def drop_rate(spark, sf_dir):
     return quality.drop_rate(c, F.length("text") < 40)
 
 
-@_query(f"select source_id, 0::bigint as n_backward, (count(*) filter (end_ms > nxt + 1))::bigint as n_overlap from (select *, lead(start_ms) over (partition by source_id order by start_ms, end_ms) as nxt from {UTTERANCES}) group by 1")
+# Some cues end early, some late, so that both faults are there.
+_UNEVEN = f"(select source_id, start_ms, end_ms - case when length(text) % 5 = 0 then 10 * length(text) + 60000 when length(text) % 7 = 0 then -900 else 0 end as end_ms, text from {UTTERANCES})"
+
+
+@_query(f"select source_id, count_if(end_ms <= start_ms)::bigint as n_backward, count_if(end_ms > nxt + 1)::bigint as n_overlap from (select *, lead(start_ms) over (partition by source_id order by start_ms, end_ms) as nxt from {_UNEVEN}) group by 1")
 def cue_adjacency(spark, sf_dir):
-    return quality.adjacency(utterances(spark, sf_dir))
+    n = F.length("text")
+    off = F.when(n % 5 == 0, 10 * n + 60_000).when(n % 7 == 0, -900).otherwise(0)
+    return quality.adjacency(utterances(spark, sf_dir).withColumn("end_ms", F.col("end_ms") - off))
+
+
+_TRACKS = f"l as (select source_id, start_ms, end_ms, text from {UTTERANCES}), r as (select source_id - 1 as source_id, start_ms, end_ms, text from {UTTERANCES})"
+_TOGETHER = "least(l.end_ms, r.end_ms) - greatest(l.start_ms, r.start_ms)"
+
+
+def _tracks(spark, sf_dir):
+    """A conversation and the next one as two tracks of one source."""
+    u = utterances(spark, sf_dir).select("source_id", "start_ms", "end_ms", "text")
+    return u, u.withColumn("source_id", F.col("source_id") - 1)
+
+
+@_query(
+    f"""with {_TRACKS} select source_id, l.start_ms as left_start_ms, l.end_ms as left_end_ms, l.text as left_text, r.start_ms as right_start_ms, r.end_ms as right_end_ms,
+r.text as right_text, {_TOGETHER} as overlap_ms from l join r using (source_id) where {_TOGETHER} > 0"""
+)
+def track_overlaps(spark, sf_dir):
+    return quality.overlaps(*_tracks(spark, sf_dir))
+
+
+@_query(
+    f"""with {_TRACKS}, a as (select source_id, start_ms // 20000 as bucket, count(*) as n, string_agg(text, ' / ' order by start_ms, end_ms, text) as t from l group by 1, 2),
+b as (select source_id, start_ms // 20000 as bucket, count(*) as n, string_agg(text, ' / ' order by start_ms, end_ms, text) as t from r group by 1, 2),
+o as (select source_id, l.start_ms // 20000 as bucket, sum({_TOGETHER})::bigint as ms from l join r using (source_id) where {_TOGETHER} > 0 group by 1, 2)
+select source_id, bucket, coalesce(a.n, 0) as n_left, coalesce(b.n, 0) as n_right, coalesce(ms, 0) as overlap_ms, coalesce(a.t, '') as left, coalesce(b.t, '') as right
+from a full join b using (source_id, bucket) left join o using (source_id, bucket)""".replace(" as left, ", ' as "left", ').replace(" as right\n", ' as "right"\n')
+)
+def tracks_side_by_side(spark, sf_dir):
+    return quality.side_by_side(*_tracks(spark, sf_dir))
 
 
 @_query("select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 6) as norm, round(list_sum(embedding::double[]) * 0.5 + 1, 6) as unit from embeddings")
@@ -629,10 +701,51 @@ def embedding_kernels(spark, sf_dir):
     return e.select("vec_id", F.round(kernels.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm"), F.round(unit, 6).alias("unit"))
 
 
-@_query("select source_id, round(max(end_ms) / 2000.0 / (max(end_ms) / 1000.0), 3) as rtf from (select *, 1 from " + UTTERANCES + ") group by 1")
+@_query("select source_id, case when max(end_ms) > 0 then round(sum(length(text) * length(role)) / 16.0 / (max(end_ms) / 1000.0), 3) end as rtf from " + UTTERANCES + " group by 1")
 def real_time_factors(spark, sf_dir):
-    u = utterances(spark, sf_dir).groupBy("source_id").agg((F.max("end_ms") / 1000.0).alias("audio"))
-    return u.select("source_id", kernels.real_time_factor(F.col("audio") / 2, F.col("audio")).alias("rtf"))
+    """As if a sixteenth of a second went to each character, by the letters of the role."""
+    u = utterances(spark, sf_dir).groupBy("source_id").agg((F.max("end_ms") / 1000.0).alias("audio"), (F.sum(F.length("text") * F.length("role")) / 16.0).alias("spent"))
+    return u.select("source_id", kernels.real_time_factor(F.col("spent"), F.col("audio")).alias("rtf"))
+
+
+# The vectors of a label, by number, are frames of four channels. The first twelve vectors of all hold the weights.
+_FRAMES_OF_4 = """m as (select row_number() over (order by vec_id) - 1 as k, embedding::double[] as e from embeddings order by vec_id limit 12),
+x as (select label, row_number() over (partition by label order by vec_id) - 1 as frame, embedding[1:4]::double[] as x from embeddings)"""
+
+
+def _frames_of_4(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    x = e.select(F.col("label").alias("source_id"), place.cast("long").alias("frame"), F.slice("e", 1, 4).alias("x"))
+    return x, recurrent.matrix(e.orderBy("vec_id").limit(12), "vec_id", "e")
+
+
+@_query(
+    f"""with {_FRAMES_OF_4}, w as (select k as c, e[15:19] as w, e[21] as b from m where k < 4),
+t as (select x.label, x.frame, c, any_value(b) + sum(y.x[c + 1] * w[y.frame - x.frame + 3]) as v from x join x y on y.label = x.label and abs(y.frame - x.frame) <= 2, w group by 1, 2, 3)
+select label, frame, c as channel, round(v, 6) + 0.0 as value from t"""
+)
+def depthwise_kernel(spark, sf_dir):
+    x, m = _frames_of_4(spark, sf_dir)
+    y = recurrent.depthwise(x, m[:4, 14:19], m[:4, 20]).select(F.col("source_id").alias("label"), "frame", F.posexplode("y").alias("channel", "value"))
+    return y.select("label", "frame", F.col("channel").cast("long").alias("channel"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+_GATE = "e.g[{0}] + list_dot_product(w[{0}], x) + list_dot_product(r[{0}], h)"
+
+
+@_query(
+    f"""with recursive {_FRAMES_OF_4}, p as (select list(e[5:8] order by k) as w, list(e[9:11] order by k) as r, list(e[12] + e[13] order by k) as g from m),
+s as (select label, -1::bigint as frame, [0.0, 0.0, 0.0]::double[] as h, [0.0, 0.0, 0.0]::double[] as c from (select distinct label from x)
+  union all select label, frame, list_transform(range(1, 4), lambda n: 1 / (1 + exp(-z[3 + n])) * ((exp(2 * c1[n]) - 1) / (exp(2 * c1[n]) + 1))), c1
+  from (select *, list_transform(range(1, 4), lambda n: c[n] / (1 + exp(-z[6 + n])) + 1 / (1 + exp(-z[n])) * ((exp(2 * z[9 + n]) - 1) / (exp(2 * z[9 + n]) + 1))) as c1
+    from (select s.label, x.frame, h, c, list_transform(range(1, 13), lambda n: {_GATE.format('n').replace('e.g', 'p.g')}) as z from s join x on x.label = s.label and x.frame = s.frame + 1, p)))
+select label, frame, i - 1 as unit, round(h[i], 6) + 0.0 as value from (select *, unnest([1, 2, 3]::bigint[]) as i from s where frame >= 0)"""
+)
+def memory_kernel(spark, sf_dir):
+    x, m = _frames_of_4(spark, sf_dir)
+    h = recurrent.lstm(x, m[:, 4:8], m[:, 8:11], np.concatenate([m[:, 11], m[:, 12]])).select(F.col("source_id").alias("label"), "frame", F.posexplode("h").alias("unit", "value"))
+    return h.select("label", "frame", F.col("unit").cast("long").alias("unit"), (F.round("value", 6) + 0.0).alias("value"))
 
 
 def queries() -> dict[str, Query]:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -48,6 +46,18 @@ def read_records(spark: SparkSession, path: str, required: bool = True) -> DataF
     return out
 
 
+def read_each_record(spark: SparkSession, path: str) -> DataFrame:
+    """``audio, text, prompt, error`` of JSONL: a line that is no record is a row with itself as the ``error``."""
+    rows = spark.read.schema(f"{RECORD}, error string").option("columnNameOfCorruptRecord", "error").json(path)
+    return rows.select("audio", "text", "prompt", "error")
+
+
+def watched(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``rows`` with an ``error`` column, and what will be known when they have been read: ``n_rows`` and ``n_errors``."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_errors")), seen
+
+
 def write_records(rows: DataFrame, path: str) -> None:
     rows.select("audio", "text", "prompt").write.mode("overwrite").json(path)
 
@@ -116,39 +126,6 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("line"))
 
 
-@dataclass(frozen=True)
-class Model:
-    language: str
-    audio: str
-
-
-def resolve_model(folder: str) -> Model | None:
-    """The model pair in a folder: ``model.gguf``, else the only other ``.gguf``; and the only ``mmproj*.gguf``.
-    None if the folder is not complete, an error if it is ambiguous."""
-    names = sorted(n for n in (os.listdir(folder) if os.path.isdir(folder) else []) if n.endswith(".gguf"))
-    audio = [n for n in names if n.startswith("mmproj")]
-    language = [n for n in names if n == "model.gguf"] or [n for n in names if not n.startswith("mmproj")]
-    if len(language) > 1 or len(audio) > 1:
-        raise ValueError(f"more than one model in {folder}: {language if len(language) > 1 else audio}")
-    if not language or not audio:
-        return None
-    return Model(os.path.join(folder, language[0]), os.path.join(folder, audio[0]))
-
-
-def first_model(folders: list[str]) -> Model:
-    """The first complete folder; a folder's error only counts if none is complete."""
-    first_error: ValueError | None = None
-    for folder in folders:
-        try:
-            found = resolve_model(folder)
-        except ValueError as error:
-            first_error = first_error or error
-            continue
-        if found:
-            return found
-    raise first_error or ValueError(f"no model in {folders}")
-
-
 def untaken(candidates: DataFrame, taken: DataFrame, key: str, rank: str, most: int) -> DataFrame:
     """The next ``most`` candidates by rank that are not taken yet."""
     return candidates.join(taken.select(key).distinct(), key, "left_anti").orderBy(rank, key).limit(most)

@@ -75,3 +75,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """``source_id, srt`` of SRT files; raw variants are left out. Files are the unit, so one is one row."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("srt"))
     return files.where(~F.endswith("source_id", F.lit(".raw.srt")))
+
+
+def read_each(spark: SparkSession, path: str) -> DataFrame:
+    """``source_id, srt, error``: a file that is no subtitle file is a row with an ``error`` and no text, and does not keep the
+    others from being read. Raw variants are left out; a file without bytes has no row."""
+    files = spark.read.format("binaryFile").load(path).where(~F.endswith("path", F.lit(".raw.srt")))
+    text = F.col("content").cast("string")
+    error = F.when(~F.is_valid_utf8(text), "not UTF-8").when(~F.contains(text, F.lit("-->")), "no time line")
+    return files.select(F.col("path").alias("source_id"), F.when(error.isNull(), text).alias("srt"), error.alias("error"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cuewright.functions import twister
 from cuewright.operators import corpus, quality
 from cuewright.sources import corpus as sources
-from cuewright.sources import files
+from cuewright.sources import files, models, srt
 
 
 def test_lookup(spark):
@@ -94,19 +94,43 @@ def test_readers(spark, tmp_path):
     assert [r["id"] for r in sources.untaken(spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "id string, r int"), taken, "id", "r", 1).collect()] == ["y"]
 
 
-def test_models(tmp_path):
-    full, half = tmp_path / "full", tmp_path / "half"
+def test_models(spark, tmp_path):
+    folders = full, half, gone = [tmp_path / n for n in ("full", "half", "gone")]
     full.mkdir(), half.mkdir()
-    (half / "a.gguf").touch()
-    assert sources.resolve_model(str(half)) is None
-    for n in ("q.gguf", "mmproj-q.gguf"):
-        (full / n).touch()
-    assert sources.first_model([str(half), str(full)]).language.endswith("q.gguf")
-    (full / "z.gguf").touch()
-    with pytest.raises(ValueError):
-        sources.first_model([str(half), str(full)])
-    (full / "model.gguf").touch()
-    assert sources.resolve_model(str(full)).language.endswith("model.gguf")
+    make = lambda p: p.write_bytes(b"x")
+    find = lambda *f, **more: models.resolve(spark, [str(x) for x in f], **more)
+    make(half / "a.gguf")
+    with pytest.raises(ValueError, match="no model"):
+        find(half, gone)
+    for n in ("q.gguf", "mmproj-q.gguf", "notes.txt"):
+        make(full / n)
+    assert find(gone, half, full).language.endswith("full/q.gguf") and find(full).audio.endswith("full/mmproj-q.gguf")
+    assert find(half, language=str(full / "own.bin")) == models.Model(str(full / "own.bin"), find(full).audio)
+    assert find(gone, audio=str(half / "x")).language.endswith("half/a.gguf") and find(audio="x", language="y") == models.Model("y", "x")
+    make(full / "z.gguf")
+    with pytest.raises(ValueError, match="more than one language model"):
+        find(*folders)
+    make(half / "mmproj.gguf")
+    make(half / "mmproj-2.gguf")
+    assert find(full, half).audio.endswith("half/mmproj.gguf")  # a folder's error counts only if none is complete
+    make(full / "model.gguf")
+    assert find(full).language.endswith("full/model.gguf")
+    make(full / "mmproj-z.gguf")
+    with pytest.raises(ValueError, match="more than one audio model"):
+        find(full, gone)
+
+
+def test_bad_files_and_lines_are_rows(spark, tmp_path):
+    good = b"1\n00:00:00,000 --> 00:00:01,000\nx\n\n"
+    for name, raw in {"a.srt": good, "b.srt": b"\xc3\x28", "c.srt": b"\n", "d.srt": good, "d.raw.srt": good}.items():
+        (tmp_path / name).write_bytes(raw)
+    rows, seen = sources.watched(srt.read_each(spark, str(tmp_path)), "files")
+    got = {r["source_id"][-5:]: (r["srt"], r["error"]) for r in rows.collect()}
+    assert got == {"a.srt": (good.decode(), None), "b.srt": (None, "not UTF-8"), "c.srt": (None, "no time line"), "d.srt": (good.decode(), None)}
+    assert seen.get == {"n_rows": 4, "n_errors": 2}
+    (tmp_path / "r.jsonl").write_text('{"audio": "f", "text": "t", "prompt": ""}\nnot json\n{"audio": 1}\n')
+    got = [tuple(r) for r in sources.read_each_record(spark, str(tmp_path / "r.jsonl")).collect()]
+    assert got == [("f", "t", "", None), (None, None, None, "not json"), ("1", None, None, None)]
 
 
 def test_metrics(spark):
