@@ -20,7 +20,7 @@ import html
 import math
 import re
 from collections import ChainMap, Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -46,6 +46,14 @@ HOLE_WORDS = frozenset(
     related recommended recommendations trending popular comment comments commentlist
     replies reply respond disqus discussion respond search searchbox skip skiplink tags tagcloud""".split()
 )
+# Those of the words that name nothing else, wherever they stand; the others may name a part of an article as well.
+SURE_WORDS = frozenset(
+    """ad ads adv advert adverts advertisement advertising adbox sponsor sponsored newsletter paywall consent gdpr
+    comment comments commentlist disqus""".split()
+)
+CONTROLS = frozenset("form input button select textarea fieldset option label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAST_PROSE = 15
 DEAD = frozenset("script style noscript template svg math iframe object embed canvas head title textarea audio video map".split())
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -121,12 +129,15 @@ class Weights:
     holes: frozenset[str] = frozenset()
     lists: bool = True
 
-    def is_hole(self, name: str, words: tuple[str, ...], inside: bool, around: bool) -> bool:
-        """``inside``: the element lies in the page's own content element; ``around``: it holds one, or a title."""
+    def is_hole(self, name: str, words: tuple[str, ...], inside: bool, around: bool, prose: bool = False) -> bool:
+        """``inside``: the element lies in the page's own content element; ``around``: it holds one, or a title; ``prose``: it reads
+        as a part of an article. Inside the content element a listed word does not decide against prose, unless it is a sure one."""
         if name in HOLES and self.lists:
             return not (name == "header" and inside)
         if around or not words or name in ("html", "body", "article", "main"):
             return False
+        if inside and prose and SURE_WORDS.isdisjoint(words):
+            return False
         return (self.lists and not HOLE_WORDS.isdisjoint(words)) or not self.holes.isdisjoint(features(name, words)[1:])
 
     def cost(self, name: str, words: tuple[str, ...]) -> float:
@@ -141,17 +152,39 @@ def _masked(page: list[Token], ends: dict[int, int], weights: Weights) -> bytear
     titles = [0]
     for kind, name, _ in page:
         titles.append(titles[-1] + (kind == "o" and name in ("article", "main", "h1")))
+    prose = _prose(page, ends) if spans else None
     i = 0
     while i < len(page):
         kind, name, words = page[i]
         if kind == "o" and (end := ends.get(i)):
-            if name in DEAD or weights.is_hole(name, words, any(a < i < b for a, b in spans), titles[end] > titles[i]):
+            inside = any(a < i < b for a, b in spans)
+            if name in DEAD or weights.is_hole(name, words, inside, titles[end] > titles[i], bool(inside and words and prose and prose(i, end))):
                 mask[i : end + 1] = b"\1" * (end + 1 - i)
                 i = end
         i += 1
     return mask
 
 
+def _prose(page: list[Token], ends: dict[int, int]) -> Callable[[int, int], bool]:
+    """Whether an element, from its opening to its closing tag, reads as a part of an article: no controls, few words in links, and
+    ``LEAST_PROSE`` words or a heading with a paragraph."""
+    sums = [(0, 0, 0, 0, 0)]  # words, those in links, controls, headings, paragraphs
+    linked = -1
+    for i, (kind, name, _) in enumerate(page):
+        n = len(name.split()) if kind == "t" else 0
+        opens = kind == "o"
+        if opens and name == "a":
+            linked = max(linked, ends.get(i, i))
+        a, b, c, d, e = sums[-1]
+        sums.append((a + n, b + n * (i <= linked), c + (opens and name in CONTROLS), d + (opens and name in HEADINGS), e + (opens and name == "p")))
+
+    def reads(start: int, end: int) -> bool:
+        words, links, controls, headings, paragraphs = (z - a for a, z in zip(sums[start], sums[end], strict=True))
+        return not controls and 3 * links <= words and (words >= LEAST_PROSE or (headings > 0 and paragraphs > 0))
+
+    return reads
+
+
 def _labelled(page: list[Token], ends: dict[int, int]) -> tuple[int, int] | None:
     """The content that the page's own markup delimits, if it does so once."""
     for name in ("article", "main"):

@@ -40,6 +40,29 @@ def test_holes_inside_the_article():
     assert H.main_text(comments, w) == f"Title 0 & more\n{TEXT}"
 
 
+PROSE = "The results agree with what earlier studies of the same river have found, although the floods of the last decade were not part of them."
+
+
+def test_listed_words_do_not_decide_against_prose():
+    w = weights()
+    names = "discussion legal notice alert promotion rail menu tags post-header reply search cookie banner related-work social-history market-share popular-culture".split()
+    for name in names:
+        for block in (f"<section class='{name}'><p>{PROSE}</p></section>", f"<div id=section-{name}><h2>On it</h2><p>Short here.</p></div>"):
+            text = H.main_text(page(BODY).replace("</article>", f"{block}</article>"), w)
+            assert text.startswith(f"Title 0 & more\n{TEXT}\n") and ("same river" in text or "On it\nShort here." in text), name
+    bare = f"Title 0 & more\n{TEXT}"
+    for block in (
+        f"<div class='advert'><p>{PROSE}</p></div>", f"<section id='comments'><h3>Two comments</h3><p>{PROSE}</p></section>", "<div class='tags'><a href=x>one</a> <a href=y>two three</a></div>",
+        f"<div class='cookie notice'><p>{PROSE}</p><button>accept</button></div>", "<div class=share-bar>send this on</div>", f"<nav><p>{PROSE}</p></nav>", f"<form><p>{PROSE}</p></form>",
+        "<ul class=menu>" + "<li><a href=x>many words in a link of a long menu</a></li>" * 9 + "</ul>", "<div class=notice>Closed on Monday.</div>",
+    ):
+        assert H.main_text(page(BODY).replace("</article>", f"{block}</article>"), w) == bare, block
+    # Outside the content element the words still decide, and deep pages take no longer than their length.
+    assert "river" not in H.main_text(page(BODY).replace("<aside>", f"<div class=notice><p>{PROSE}</p></div><aside>"), w)
+    deep = "<div class=menu>" * 300 + f"<p>{PROSE}</p>" + "</div>" * 300
+    assert H.main_text(page(BODY).replace("</article>", f"{deep}</article>"), w) == f"{bare}\n{PROSE}"
+
+
 def test_odd_pages():
     w = weights()
     for odd in ["", " ", "<p", "<!--", "<script>x", "</div></p>", "<html><body></body></html>"]:
