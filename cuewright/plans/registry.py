@@ -468,6 +468,17 @@ def next_untaken(spark, sf_dir):
     return sources.untaken(_docs(spark, sf_dir).select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id", "n_chars", 30)
 
 
+@_query(
+    """select doc_id, pass from (select doc_id, case when n_chars between 500 and 900 then 1 when lang = 'de' then 2 end as pass from documents) where pass is not null
+order by pass, doc_id desc limit (select count(*) // 4 from documents)"""
+)
+def two_passes(spark, sf_dir):
+    """Candidates from the last one on until a quarter of their number is there, by a first way and then by another."""
+    docs = _docs(spark, sf_dir).withColumn("rank", -F.col("doc_id"))
+    found = sources.in_passes(docs, [F.col("n_chars").between(500, 900), F.col("lang") == "de"], "rank", docs.count() // 4)
+    return found.select("doc_id", F.col("pass").cast("long").alias("pass"))
+
+
 @_query("select lang, arg_min(source, doc_id) filter (n_chars > 5000) as first from documents group by 1")
 def first_complete(spark, sf_dir):
     return corpus.first_match(_docs(spark, sf_dir), "lang", "source", "doc_id", F.col("n_chars") > 5000)
@@ -592,11 +603,20 @@ def eval_metrics(spark, sf_dir):
     return quality.eval_checks(quality.eval_metrics(rows, ["source"]))
 
 
-@_query(f"select source, avg(kana) filter (lang = 'en')::double as kana, (count(*) filter (lang <> 'en' and kana < 0.05))::bigint as leaks from (select source, lang, {_RATIO.format(_sub('s', X.KANA, True))} as kana from (select *, {_sub('text', _WS)} as s from documents)) group by 1")
+# Vowels are shown as kana and some letters as ideographs, so that shares are not nought and roundings matter.
+_SHOWN = "translate(text, 'aeioutn', 'あいうえお字文')"
+
+
+@_query(
+    f"""with r as (select source, lang, round_even({_RATIO.format(_sub('s', X.KANA, True))}, 4) as kana, round_even({_RATIO.format(_sub('s', X.CJK, True))}, 4) as cjk from (select source, lang, {_sub(_SHOWN, _WS)} as s from documents))
+select source, round_even(avg(kana) filter (lang = 'en'), 4) as kana, round_even(avg(cjk) filter (lang = 'en'), 4) as cjk, round_even(avg(kana) filter (lang <> 'en'), 4) as transcribed, count_if(lang <> 'en' and kana < 0.05)::bigint as leaks from r group by 1"""
+)
 def eval_report(spark, sf_dir):
-    """The report's rounded form; the tables hold no kana, so that it shows as the statement's unrounded."""
-    rows = _docs(spark, sf_dir).select("source", F.when(F.col("lang") == "en", "p").otherwise("").alias("prompt"), F.col("text").alias("out"))
-    return quality.eval_metrics(rows, ["source"], report=True).select("source", F.col("translated_kana").alias("kana"), "leaks")
+    """The report's rounded form."""
+    shown = F.translate("text", "aeioutn", "あいうえお字文")
+    rows = _docs(spark, sf_dir).select("source", F.when(F.col("lang") == "en", "p").otherwise("").alias("prompt"), shown.alias("out"))
+    found = quality.eval_metrics(rows, ["source"], report=True)
+    return found.select("source", F.col("translated_kana").alias("kana"), F.col("translated_cjk").alias("cjk"), F.col("transcribed_kana").alias("transcribed"), "leaks")
 
 
 @_query(f"select bool_and(length({_utrim('text')}) <= 2) as silence_is_empty from conversations")

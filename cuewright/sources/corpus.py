@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as X
@@ -129,3 +129,12 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 def untaken(candidates: DataFrame, taken: DataFrame, key: str, rank: str, most: int) -> DataFrame:
     """The next ``most`` candidates by rank that are not taken yet."""
     return candidates.join(taken.select(key).distinct(), key, "left_anti").orderBy(rank, key).limit(most)
+
+
+def in_passes(candidates: DataFrame, ways: list[Column], rank: str, most: int) -> DataFrame:
+    """The ``most`` candidates that are had first, with their ``pass``: all are tried by the first way in order of ``rank``, then, if
+    there are too few, those that were not had by the next one."""
+    tried = F.lit(None).cast("int")
+    for k in range(len(ways), 0, -1):
+        tried = F.when(ways[k - 1], F.lit(k)).otherwise(tried)
+    return candidates.withColumn("pass", tried).where("pass is not null").orderBy("pass", rank).limit(most)
