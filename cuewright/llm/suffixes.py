@@ -6,9 +6,9 @@ of equals. Equal windows have equal anchors, so windows that follow each other u
 a segment, and only segments of one anchor need comparing:
 
 * an anchor that occurs once is dropped, which leaves little of a clean corpus;
-* byte-identical segments of one anchor are counted before any byte moves; all their windows repeat.
-  Segments count as identical if anchor, length and a 128-bit hash of their bytes are the same;
-* the distinct segments of one anchor are laid end to end (many anchors a block) and suffix sorted
+* of segments of one anchor that are the same by length and a 128-bit hash of their bytes two are kept, wherever there
+  are more: what the order finds of those two holds for all;
+* the segments of one anchor are laid end to end (many anchors a block) and suffix sorted
   in two stages: suffixes smaller than their successors are sorted directly, all others are induced
   from them by scanning the buckets of first bytes in order. Neighbours in that order that share
   ``length`` bytes are repeats;
@@ -303,27 +303,30 @@ def _spans(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     # a hot key's partition can be split.
     often = written(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     shared = written(found.join(often.hint("merge"), "key", "left_semi"), "shared")
-    distinct = shared.groupBy(*SAME).agg(F.count("*").alias("n"), F.min(F.struct("id", "rid", "start")).alias("one"))
+    place = F.struct("id", "rid", "start")
+    distinct = shared.groupBy(*SAME).agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other"))
     distinct = written(distinct, "distinct")
-    crowds = written(distinct.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "crowds")
-    compared = distinct.join(crowds.hint("merge"), "key").select(*SAME, "one.*", (F.col("kinds") > crowd).alias("crowded"))
+    crowds = written(distinct.groupBy("key").agg(F.count("*").alias("kinds")), "crowds")
+    both = F.when(F.col("n") > 1, F.array("one", "other")).otherwise(F.array("one"))
+    compared = distinct.join(crowds.hint("merge"), "key").select(*SAME, "n", F.posexplode(both).alias("copy", "at"), (F.col("kinds") > crowd).alias("crowded"))
+    compared = compared.where("copy = 0 or not crowded").select(*SAME, "n", F.col("copy").cast("long").alias("copy"), "at.*", "crowded")
 
-    asked = compared.groupBy("id", "rid").agg(F.collect_list(F.struct(*SAME, "start", "crowded")).alias("asked"))
+    asked = compared.groupBy("id", "rid").agg(F.collect_list(F.struct(*SAME, "copy", "n", "start", "crowded")).alias("asked"))
     asked = asked.withColumnsRenamed({"id": "a_id", "rid": "a_rid"})
     # One row for each asking id and text: of repeated rows any one serves.
     texts = docs.join(asked, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("rid") == F.col("a_rid"))).select("text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*SAME, "crowded", "bytes"]
+        names = [*SAME, "copy", "n", "crowded", "bytes"]
         for batch in batches:
             rows = []
             for text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(*(w[c] for c in SAME), w["crowded"], text[w["start"] : w["start"] + w["run"] + length - 1]) for w in wants]
-            kinds = [pa.int64()] * len(SAME) + [pa.bool_(), pa.binary()]
+                rows += [(*(w[c] for c in (*SAME, "copy", "n")), w["crowded"], text[w["start"] : w["start"] + w["run"] + length - 1]) for w in wants]
+            kinds = [pa.int64()] * (len(SAME) + 2) + [pa.bool_(), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    pieces = written(texts.mapInArrow(cut, f"{_SAME_TYPES}, crowded boolean, bytes binary"), "pieces")
+    pieces = written(texts.mapInArrow(cut, f"{_SAME_TYPES}, copy long, n long, crowded boolean, bytes binary"), "pieces")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, ...], bytes] = {}
@@ -343,26 +346,28 @@ def _spans(docs: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
             yield marked(held)
 
     def marked(held: dict[tuple[int, ...], bytes]) -> pa.RecordBatch:
-        return _marks_batch(list(held), repeated_windows(list(held.values()), [r for *_, r in held], length))
+        found = repeated_windows(list(held.values()), [run for *_, run, _ in held], length)
+        own = {segment: marks for segment, marks in zip(held, found, strict=True) if not segment[-1]}
+        return _marks_batch(list(own), list(own.values()))
 
-    calm = pieces.where("not crowded").select(*SAME, "bytes").repartition("key").sortWithinPartitions("key")
+    calm = pieces.where("not crowded").select(*SAME, "copy", "bytes").repartition("key").sortWithinPartitions("key")
     sorted_marks = calm.mapInArrow(compare, _MARKS)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *own, run, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *own, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                run = own[len(SAME) - 1]
                 data = np.frombuffer(raw, dtype=np.uint8)
                 ends = [_roller(s).all(_roller(s).sums(data), length).view(np.int64) for s in (3, 4)]
-                columns = [pa.array(np.full(run, x), pa.int64()) for x in (*own, run)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(run), pa.int64()), *(pa.array(e, pa.int64()) for e in ends)], names=[*SAME, "at", "h", "g"])
+                columns = [pa.array(np.full(run, x), pa.int64()) for x in own]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(run), pa.int64()), *(pa.array(e, pa.int64()) for e in ends)], names=[*SAME, "n", "at", "h", "g"])
 
-    windows = pieces.where("crowded").select(*SAME, "bytes").dropDuplicates(SAME).mapInArrow(hashed, f"{_SAME_TYPES}, at long, h long, g long")
-    repeated = windows.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    windows = pieces.where("crowded").select(*SAME, "n", "bytes").dropDuplicates(SAME).mapInArrow(hashed, f"{_SAME_TYPES}, n long, at long, h long, g long")
+    repeated = windows.groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g")
     crowd_marks = windows.join(repeated, ["h", "g"], "left_semi").groupBy(*SAME).agg(F.array_sort(F.collect_list("at")).alias("at"))
     crowd_marks = crowd_marks.select(*SAME, F.transform("at", lambda x: F.struct(x.alias("a"), (x + 1).alias("b"))).alias("marks"))
 
-    copies = distinct.where("n > 1").select(*SAME, F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("run").alias("b"))).alias("marks"))
-    marks = written(sorted_marks.unionByName(crowd_marks).where("size(marks) > 0").unionByName(copies), "marks")
+    marks = written(sorted_marks.unionByName(crowd_marks).where("size(marks) > 0"), "marks")
     own = shared.join(marks, SAME).select("id", "rid", "start", F.explode("marks").alias("m"))
     own = own.select("id", "rid", F.struct((F.col("start") + F.col("m.a")).alias("a"), (F.col("start") + F.col("m.b") + (length - 1)).alias("b")).alias("span"))
     return own.groupBy("id", "rid").agg(F.collect_list("span").alias("spans"))

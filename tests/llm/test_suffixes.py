@@ -50,6 +50,26 @@ def test_against_brute_force(spark, length, gram, crowd):
     assert sorted(key(r["doc_id"], r[1:5]) for r in got) == sorted(key(r[0], w) for r, w in zip(rows, want, strict=True))
 
 
+def test_copies_are_found_by_the_order():
+    """A segment repeats because the order puts its two copies beside one another; alone it does not."""
+    rng = random.Random(8)
+    pieces = [bytes(rng.choice(b"abcd") for _ in range(60)) for _ in range(5)]
+    runs = [41] * 5
+    assert S.repeated_windows(pieces, runs, 20) == [[]] * 5
+    assert S.repeated_windows(pieces + pieces[1:3], runs + [41, 41], 20) == [[], [(0, 41)], [(0, 41)], [], [], [(0, 41)], [(0, 41)]]
+
+
+def test_many_copies_of_one_text(spark):
+    """A third of all rows are one text; a row of its own id holds the same; copies may be rows repeated."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(40)]
+    rows = [(i, words[0]) for i in range(40)] + [(100 + i, w) for i, w in enumerate(words)] + [(7, words[0])] * 2 + [(500, words[3]), (500, words[3]), (None, words[5])]
+    for crowd in (64, 1):
+        got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), length=20, gram=8, crowd=crowd).collect()
+        want = brute([t.encode() for _, t in rows], 20)
+        assert sorted((str(r["doc_id"]), *r[1:5]) for r in got) == sorted((str(i), *w) for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_empty_table(spark):
     assert S.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
