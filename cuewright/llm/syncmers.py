@@ -1,7 +1,7 @@
 """Document fingerprints from closed syncmers, in DataFrame operations only.
 
-A text is read as tokens: runs of characters that are not white space, cut every 12 characters so
-that scripts without spaces have tokens too. A k-mer is K tokens in a row, its inner substrings are
+A text is read as tokens: runs of characters that are not white space, cut every 12 characters; in scripts that
+are written without spaces every character is a token, so one character more does not shift the others. A k-mer is K tokens in a row, its inner substrings are
 the S tokens in a row within it. A k-mer is a closed syncmer if the inner substring of least hash
 stands at its left or right edge. Whether it does depends on the k-mer alone, so the same passage
 gives the same anchors in any surroundings, and their positions match it across documents.
@@ -12,13 +12,17 @@ of two fingerprints estimates the share of common syncmers among all of both (Ja
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
 S = 2
 SKETCH = 128
-TOKEN = r"\S{1,12}"
+# Fixed value: blocks of scripts without spaces: Thai and Lao, Myanmar, Khmer, from the CJK radicals to the ideographs.
+SPACELESS = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+TOKEN = rf"[^\s{SPACELESS}]{{1,12}}|[{SPACELESS}]"
 BUCKET_ROWS = 512
 MOST_BUCKETS = 1 << 16
 
@@ -96,15 +100,15 @@ def spelled(sketch: str) -> Column:
 
 
 def _bucketed(df: DataFrame, bounds: list[int]) -> DataFrame:
-    """``df`` with ``__cw_b``: how many ``bounds`` its ``__cw_key`` has reached, by binary search."""
-    steps = max(1, len(bounds)).bit_length()
-    padded = F.lit(sorted(bounds) + [(1 << 63) - 1] * ((1 << steps) - 1 - len(bounds))).cast("array<bigint>")
-    df = df.withColumn("__cw_b", F.lit(0))
-    for step in reversed(range(steps)):
-        jump = 1 << step
-        reached = F.get(padded, F.col("__cw_b") + (jump - 1)) <= F.col("__cw_key")
-        df = df.withColumn("__cw_b", F.col("__cw_b") + F.when(reached, jump).otherwise(0))
-    return df
+    """``df`` with ``__cw_b``: how many ``bounds`` its ``__cw_key`` has reached. Every 256th bound is looked through first, then the
+    256 from there on; the bounds are one array of numbers, whose value is bound once for each row."""
+    step = 256
+    key = F.col("__cw_key")
+    lists = [sorted(bounds)[i : i + step] for i in range(0, len(bounds), step)] or [[]]
+    held = F.from_json(F.lit(json.dumps(lists)), "array<array<bigint>>")
+    coarse = F.size(F.filter(held, lambda x: F.get(x, F.lit(0)) <= key))
+    row = F.greatest(coarse - 1, F.lit(0))
+    return df.withColumn("__cw_row", row).withColumn("__cw_b", F.col("__cw_row") * step + F.size(F.filter(F.get(held, F.col("__cw_row")), lambda x: x <= key))).drop("__cw_row")
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:

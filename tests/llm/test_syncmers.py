@@ -1,6 +1,8 @@
 """Fingerprints against plain Python; closed syncmers are context-free."""
 
+import bisect
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -54,6 +56,29 @@ def test_anchors_are_closed_and_context_free(spark):
     assert len(got[3]) == 1 and got[4] == []
 
 
+def test_scripts_without_spaces(spark):
+    """One character in front shifts the anchors' places, not the anchors; other scripts keep their tokens."""
+    rng = random.Random(2)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2000))
+    mixed = "abc" + text[:3] + "de-f " + "x" * 15 + "ไทย"
+    df = spark.createDataFrame([(1, text), (2, "文" + text), (3, mixed)], "i int, text string")
+    got = {r["i"]: {(a["place"], a["hash"]) for a in r["a"]} for r in S.with_anchors(df, "text", "a").collect()}
+    moved = {(p + 1, x) for p, x in got[1]}
+    assert len(got[1]) > 500 and len(moved & got[2]) > 0.99 * len(moved)
+    tokens = df.where("i = 3").select(S._tokens(F.col("text"))).first()[0]
+    assert tokens == ["abc", *text[:3], "de-f", "x" * 12, "x" * 3, *"ไทย"]
+
+
+def test_bounds(spark):
+    """As many bounds as there may be, found in two steps, by expressions of a few nodes."""
+    rng = random.Random(3)
+    for n in (0, 1, 2, 255, 256, 257, 5000, 65_535):
+        bounds = sorted(rng.sample(range(-(10**12), 10**12), n))
+        keys = [rng.choice(bounds) + rng.randint(-1, 1) if bounds else 5 for _ in range(30)] + [-(1 << 63), (1 << 63) - 1]
+        df = S._bucketed(spark.createDataFrame([(k,) for k in keys], "__cw_key long"), bounds)
+        assert all(r["__cw_b"] == bisect.bisect_right(bounds, r["__cw_key"]) for r in df.collect())
+
+
 def test_plan_has_no_python(spark):
     plan = S.edited_fingerprints(spark.createDataFrame(rows(), SCHEMA))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
