@@ -1,10 +1,14 @@
 """Quality rules: base counts against plain Python, distances, verdicts."""
 
+import math
+import os
 import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from cuewright.llm import quality as Q
 
@@ -105,3 +109,39 @@ def test_joined_references_give_the_same(spark):
     for keep in (False, True):
         whole = sorted(map(str, Q.assess(df, keep_rows=keep).collect()))
         assert whole and sorted(map(str, Q.assess(df, keep_rows=keep, most_langs=2).collect())) == whole
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_verdicts_by_brute_force(spark):
+    """The verdict on every document of a table, from counts and distances worked out one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+    limits = Q.Limits()
+    plain = lambda t: "".join(" " if c in string.punctuation else c.lower() if c in string.ascii_uppercase else c for c in t)
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+    words, classes = {}, {}
+    for _, text, lang in rows:
+        words.setdefault(lang, Counter()).update(split(plain(text)))
+        classes[lang] = classes.get(lang, 0) + Q.class_counts(text)
+
+    def distance(p, q):
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        part = lambda x, m: x * math.log2(x / m) if x else 0.0
+        return math.sqrt(max(0.0, sum(part(a, (a + b) / 2) + part(b, (a + b) / 2) for a, b in zip(p, q, strict=True)) / 2))
+
+    want = {}
+    for i, text, lang in rows:
+        own = split(text)
+        windows = Counter(tuple(own[k : k + 8]) for k in range(len(own) - 7))
+        again = {k + j for k in range(len(own) - 7) if windows[tuple(own[k : k + 8])] > 1 for j in range(8)}
+        failed = len(own) < 20 or 100 * len(again) > 30 * len(own)
+        kept = not failed
+        if len(text) >= limits.min_chars and len(own) >= limits.min_words:
+            top = sorted(words[lang], key=lambda w: (-words[lang][w], w.encode()))[: limits.common_words]
+            mine = Counter(split(plain(text)))
+            hist = lambda c: [c[w] for w in top] + [sum(c.values()) - sum(c[w] for w in top)]  # noqa: E731, B023
+            a, b = distance(Q.class_counts(text).tolist(), classes[lang].tolist()), distance(hist(mine), hist(words[lang]))
+            kept = kept and a <= limits.class_base + limits.class_slack / len(own) ** 0.5 and b <= limits.word_base + limits.word_slack / len(own) ** 0.5
+        want[i] = (len(own), len(again), failed, kept)
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in Q.assess(docs).collect()}
+    assert got == want and {v[3] for v in want.values()} == {True, False}
