@@ -280,7 +280,8 @@ def files_with_errors(spark, sf_dir):
     rows = u.select(F.format_string("%d.srt", "source_id").alias("name"), "source_id", "seq", srt.block(F.col("seq"), F.col("start_ms"), F.col("end_ms"), F.col("text")).cast("binary").alias("content"))
     broken = F.when(F.col("source_id") % 9 == 0, F.unhex(F.lit("C328"))).when(F.col("source_id") % 9 == 1, F.lit("no cues").cast("binary")).otherwise(F.col("content"))
     path = f"{scratch_dir(spark)}/each-{uuid.uuid4().hex}"
-    files.write_named(rows.withColumn("content", broken), path, ("seq",))
+    raw = rows.where("source_id % 2 = 0").withColumn("name", F.format_string("%d.raw.srt", "source_id"))  # variants that are left out
+    files.write_named(rows.withColumn("content", broken).unionByName(raw), path, ("seq",))
     each = srt.read_each(spark, path)
     n = srt.parse(each.where("error is null")).groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
     read = each.join(n, F.col("source_id") == F.col("id"), "left")
@@ -484,6 +485,27 @@ def first_complete(spark, sf_dir):
     return corpus.first_match(_docs(spark, sf_dir), "lang", "source", "doc_id", F.col("n_chars") > 5000)
 
 
+@_query("select 'd' || doc_id || '.wav' as audio, 'language ' || lang || '<asr_text>' || text as text, case when doc_id % 2 = 0 then 'to zh' else '' end as prompt from documents")
+def records_written(spark, sf_dir):
+    """Training records, written as JSON lines and read again."""
+    text = F.concat(F.lit("language "), "lang", F.lit(X.TAG), "text").alias("text")
+    rows = _docs(spark, sf_dir).select(F.format_string("d%d.wav", "doc_id").alias("audio"), text, F.when(F.col("doc_id") % 2 == 0, "to zh").otherwise("").alias("prompt"))
+    path = f"{scratch_dir(spark)}/records-{uuid.uuid4().hex}"
+    sources.write_records(rows, path)
+    return sources.read_records(spark, path)
+
+
+_FLAT = "replace(text, chr(10), ' ')"
+
+
+@_query(f"select {_utrim(_FLAT)} as line, count(*) as n from documents group by 1")
+def transcripts_dumped(spark, sf_dir):
+    """One line a document, before any filter, written as text and read again as a log is."""
+    path = f"{scratch_dir(spark)}/lines-{uuid.uuid4().hex}"
+    sources.dump_transcripts(_docs(spark, sf_dir), path)
+    return sources.log_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
+
+
 @_query("select p_partkey as name, p_partkey // 1 as start, p_partkey + p_size <= 1000 as ok from part")
 def weight_layout(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") * 4).alias("offset"), F.col("p_size").alias("len"))
