@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline as P
 import public_tokenizers
-from cuewright.llm import bpe, licenses, mixing, quality, secrets, sharding, simhash, suffixes, syncmers
+from cuewright.llm import bpe, fim, licenses, line_dedup, mixing, quality, secrets, sharding, simhash, suffixes, syncmers
 
 NAMES = "id spans size node ka kb fp ref total lang_ text_ key digest more run matches shard tier target taken kept rank"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES.split())
@@ -34,6 +34,8 @@ OPERATORS = {
     "suffixes": suffixes.dedup,
     "sharding": sharding.shard_documents,
     "secrets": secrets.scan,
+    "lines": line_dedup.dedup,
+    "fim": fim.transform,
 }
 
 
@@ -53,6 +55,11 @@ def test_operator(spark, edges, name):
         # All but the end that differs stands in both; the two agree for as long as the first 700,000 bytes do, and the next by chance.
         assert by[1]["n_bytes"] == len(text) and 700_000 <= by[1]["n_removed"] < 700_020 and by[1]["kept"] == text[by[1]["n_removed"] :]
         assert by[2]["n_spans"] == 1 and by[4]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+    if name == "lines":  # of the rows that hold the same line, those without an id come first
+        few = rows()[4][1]
+        assert by[5]["kept"] == few + " more" and by[1]["kept"] == rows()[0][1] and by[3]["n_lines"] == by[4]["n_lines"] == 1
+    if name == "fim":
+        assert by[1]["n"] == 1 and by[3]["form"] == by[4]["form"] == "plain" and len(by[2]["output"]) == len(rows()[1][1]) + 9
     if name == "quality":
         assert by[1]["n_words"] == 220_000 and by[3]["base_failed"] and by[4]["base_failed"]
     if name == "mixing":
