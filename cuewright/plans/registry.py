@@ -22,6 +22,7 @@ from cuewright.scratch import scratch_dir
 from cuewright.session import table
 from cuewright.sources import corpus as sources
 from cuewright.sources import files, models, srt
+from cuewright.streaming import segments as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -196,6 +197,29 @@ def vad_cut(spark, sf_dir):
     return cut.select("source_id", "start_sample", F.array_join(F.col("samples").cast("array<string>"), " ").alias("samples"))
 
 
+@_query(
+    f"""with recursive seg as ({statements.capped_sql(FRAMES, _CAPPED)}), p as (select source_id, list(cast(round(prob * 50000) as bigint) order by frame_idx) as p from {FRAMES} group by 1)
+select source_id, start_frame as start_sample, array_to_string(p[start_frame + 1:end_frame], ' ') as samples from seg join p using (source_id)"""
+)
+def stream_cuts(spark, sf_dir):
+    """The capped tracker's segments with their samples, from a stream of frames: one sample a frame, and a row at each source's end."""
+    f = frames(spark, sf_dir).withColumn("samples", F.array(F.round(F.col("prob") * 50_000).cast("float")))
+    ends = f.groupBy("source_id").agg((F.max("frame_idx") + 1).alias("frame_idx"), F.lit(None).cast("double").alias("prob"), F.lit(None).cast("array<float>").alias("samples"))
+    home = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    f.unionByName(ends).write.parquet(f"{home}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, streams.STATE_STORE)
+    try:
+        arriving = spark.readStream.schema(f.select("source_id", "frame_idx", "prob", "samples").schema).parquet(f"{home}/in")
+        cut = streams.cut_stream(arriving, _CAPPED, frame_samples=1)
+        cut.writeStream.format("parquet").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(cut.schema).parquet(f"{home}/out")
+    return out.select("source_id", "start_sample", F.array_join(F.transform("samples", lambda x: x.cast("long").cast("string")), " ").alias("samples"))
+
+
 @_query(
     """with s as (select *, case when lag(ts) over w is null or ts - lag(ts) over w > interval 12 hour then 1 else 0 end as o from events window w as (partition by user_id order by ts)),
 i as (select *, sum(o) over (partition by user_id order by ts) as g from s)
