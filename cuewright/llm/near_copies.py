@@ -1,14 +1,16 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates come from min-hashes: a text has ``BANDS`` keys of ``ROWS`` least values each, and texts
-that share a key are compared. A pair at the least similarity shares none with probability
-(1 - 0.8**6)**32 = 0.00006; every candidate is verified on the sets themselves.
-
-The members of a key are first compared with its least member only. Components of the pairs found
-tell which keys still hold more than one component, and there the members outside the first component
-meet all of other components. Each text has a bitmap of its shingles, ``BITS`` wide, which bounds from above
-how many shingles two texts share; only pairs that the bound lets reach the similarity are brought
-together and verified. No key is cut short and no pair that could be similar is left out.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by SimHash.
+
+A set's fingerprint is a SimHash of 40 words of 64 bits. Two sets at the least similarity differ in 15 % of the bits, which no
+single segment bears, so the fingerprint is cut into 80 segments of 32 bits, and each is indexed under its four
+deletion variants: the segment without one of its bytes. Sets that share a variant are candidates. A pair
+at the least similarity shares one with probability 1 - 0.938**80 = 0.994, at 0.85 with 0.9999. Candidates are those of
+which the fingerprints are within ``MOST_BITS``, six standard deviations above the expected distance; every one is
+verified on the sets themselves.
+
+The members of a variant with at most ``DENSE`` sets are compared in pairs. Larger ones are first compared with a hub each: its least
+member, then the least of those outside the hub's component, ``ROUNDS`` times. Components of the pairs found tell which
+variants still hold more than one component, and there the members outside the last hub's component meet
+all of other components. No variant is cut short.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewright.llm._shared import small_batches, written
@@ -28,14 +30,18 @@ from cuewright.llm.components import components
 SEED = 42
 WIDTH = 5
 SIMILAR = (4, 5)  # as a fraction, so that the limit itself is met exactly
-BANDS, ROWS = 32, 6
-BITS = 1024
-CHUNK = 2048
+WORDS = 40
+MOST_BITS = 512  # of all
+MOST_IN_WORD = 24  # of the first word, which goes along with the variants: five standard deviations
+DENSE = 48
+ROUNDS = 3
+CHUNK = 255  # counters of a byte hold so many
 PAIRS_PER_BATCH = 64
 CACHED = 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_DRAW = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_DRAW = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, WORDS), dtype=np.uint64)
 _TIMES, _PLUS = _DRAW[0] | np.uint64(1), _DRAW[1]
+_LOWEST = np.uint64(0x0101010101010101)  # of each byte
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -47,32 +53,34 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """The keys of one set of shingles, as signed 64-bit numbers; none for the empty set."""
-    if not len(found):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def fingerprint(found: np.ndarray) -> list[int]:
+    """The SimHash of one set of shingles, as signed 64-bit numbers: a bit is 1 if it is set in over half the hashes."""
+    ones = np.zeros((WORDS, 64), dtype=np.int64)
     for at in range(0, len(found), CHUNK):
-        least = np.minimum(least, (found[at : at + CHUNK] * _TIMES + _PLUS).min(axis=1))
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+        x = found[at : at + CHUNK, None] * _TIMES + _PLUS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        for bit in range(8):
+            counts = ((x >> np.uint64(bit)) & _LOWEST).sum(axis=0, dtype="<u8")
+            ones[:, bit::8] += counts.view(np.uint8).reshape(WORDS, 8)
+    return np.packbits(2 * ones > len(found), axis=1, bitorder="little").view("<i8").ravel().tolist()
+
 
+def _variants(nodes: DataFrame) -> DataFrame:
+    """``(k, node)``: 2 segments of each word times 4 left-out bytes; k packs the place and the remaining bits."""
+    words = nodes.select("node", F.posexplode("fp").alias("w", "x")).select("node", "w", "x", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("d"))
+    return words.select(F.expr("(shiftright(x, 32 * (d div 4)) & 4294967295L & ~shiftleft(255L, 8 * (d % 4))) | shiftleft(cast(8 * w + d as long), 32)").alias("k"), "node")
 
-def bitmap(found: np.ndarray) -> list[int]:
-    """Which of ``BITS`` bits the shingles of a set fall on, as signed 64-bit numbers."""
-    on = np.zeros(BITS, dtype=np.uint8)
-    on[(found % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(on, bitorder="little").view(np.int64).tolist()
 
+def _close(a: str, b: str) -> Column:
+    """Whether two fingerprints are within ``MOST_BITS``."""
+    return F.expr(" + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(WORDS)) + f" <= {MOST_BITS}")
 
-def may_be_similar(a: str, a_n: str, b: str, b_n: str) -> str:
-    """Whether two sets with bitmaps ``a`` and ``b`` can reach the similarity: they share no more shingles than
-    they have bits in common and the lesser number of those that fell on a bit already taken."""
-    each = range(BITS // 64)
-    common = " + ".join(f"bit_count({a}[{i}] & {b}[{i}])" for i in each)
-    extra = lambda x, n: f"({n} - (" + " + ".join(f"bit_count({x}[{i}])" for i in each) + "))"
-    above, below = SIMILAR
-    return f"{above + below} * ({common} + least({extra(a, a_n)}, {extra(b, b_n)})) >= {above}L * ({a_n} + {b_n})"
+
+def _possible(a_n: str, a: str, b_n: str, b: str) -> Column:
+    """What sizes and first words tell: sizes that differ more cannot be similar."""
+    return F.expr(f"{SIMILAR[1]}L * least({a_n}, {b_n}) >= {SIMILAR[0]}L * greatest({a_n}, {b_n}) and bit_count({a} ^ {b}) <= {MOST_IN_WORD}")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -82,19 +90,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, keys: list) -> DataFrame:
-    """``(id, ka, kb, node, n, bands, bits)`` for every row: ``node`` stands for the set of shingles, 0 for the empty one."""
+    """``(id, ka, kb, node, n, fp)`` for every row: ``node`` stands for the set of shingles, 0 for the empty one."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(3).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
-            columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "ka", "kb", "node", "n", "bands", "bits"])
+            columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "ka", "kb", "node", "n", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), *keys, F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, ka long, kb int, node long, n int, bands array<long>, bits array<long>").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(run, f"id {kind}, ka long, kb int, node long, n int, fp array<long>").withColumnRenamed("id", id_col)
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -132,37 +140,49 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, keys: list) -> tupl
     """``(id_col, ka, kb, node)`` of the rows, and ``(node, root)`` of every node; ``keys`` are the two
     hashes ka and kb that tell rows apart by id and text."""
     each = written(_marked(docs, id_col, text_col, keys), "marked")
-    place = F.min(F.struct("ka", "kb", "n", "bands", "bits")).alias("p")
+    place = F.min(F.struct("ka", "kb", "n", "fp")).alias("p")
     nodes = written(each.where("n > 0").groupBy("node").agg(place).select("node", "p.*"), "nodes")
-    spread = nodes.select("node", "n", F.explode("bands").alias("k"))
-    hubs = spread.groupBy("k").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("h")).where("m > 1")
-    hubs = hubs.select("k", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    members = written(spread.join(hubs.hint("merge"), "k"), "members")
+    sharers = F.count("*").over(Window.partitionBy("k"))
+    shared = written(_variants(nodes).withColumn("m", sharers).where("m > 1"), "variants")
+    first_word = nodes.select("node", "n", F.col("fp")[0].alias("w"))
+    members = written(shared.join(first_word.hint("merge"), "node"), "members")
 
-    shared = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("ka", "kb", "node")
+    needed = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("ka", "kb", "node")
     texts = docs.select(*keys, F.col(text_col).cast("binary").alias("text"))
-    bodies = written(texts.join(shared.hint("merge"), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("node", "text"), "bodies")
-
-    def near(a: str, b: str) -> str:  # sizes that differ more cannot be similar
-        return f"{SIMILAR[1]}L * least({a}, {b}) >= {SIMILAR[0]}L * greatest({a}, {b})"
-
-    first = members.where("hub <> node").where(near("hub_n", "n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    links = _verified(first, bodies)
-    roots = written(components(links), "roots")
-
-    # Keys of more than one component: whoever is outside the hub's is compared with all of other components.
-    own = roots.select("node", F.col("root").alias("c"))
-    theirs = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_c"))
-    placed = members.join(own.hint("merge"), "node", "left").join(theirs.hint("merge"), "hub", "left")
-    placed = written(placed.selectExpr("k", "node", "n", "hub", "coalesce(c, node) c", "coalesce(hub_c, hub) hub_c"), "placed")
-    apart = placed.where("c <> hub_c").selectExpr("k", "node x", "n x_n", "c x_c")
-    others = placed.where("node <> hub").join(apart.select("k").distinct().hint("merge"), "k", "left_semi")
-    bits = nodes.select("node", "bits")
-    others = others.join(bits.hint("merge"), "node")
-    apart = apart.join(bits.withColumnsRenamed({"node": "x", "bits": "x_bits"}).hint("merge"), "x")
-    possible = F.expr(f"c <> x_c and {near('n', 'x_n')} and {may_be_similar('bits', 'n', 'x_bits', 'x_n')}")
-    across = others.withColumnRenamed("k", "o_k").join(apart.hint("merge"), (F.col("o_k") == F.col("k")) & possible)
-    more = _verified(across.select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct(), bodies)
-    joined = components(links.unionAll(more))
-    return each.drop("n", "bands", "bits"), each.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
+    prints = nodes.select("node", "fp")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs(u, v)`` that are near copies."""
+        u, v = (prints.withColumnsRenamed({"node": c, "fp": f"{c}_fp"}).hint("merge") for c in "uv")
+        close = written(pairs.distinct().join(u, "u").join(v, "v").where(_close("u_fp", "v_fp")).select("u", "v"), "close")
+        ends = close.select(F.col("u").alias("node")).unionAll(close.select(F.col("v").alias("node"))).distinct()
+        some = needed.join(ends.hint("merge"), "node", "left_semi")
+        bodies = written(texts.join(some.hint("merge"), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("node", "text"), "bodies")
+        return _verified(close, bodies)
+
+    few, many = members.where(f"m <= {DENSE}").drop("m"), members.where(f"m > {DENSE}").drop("m")
+    ordered = F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")
+    other = few.select(F.col("k").alias("o_k"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("w").alias("x_w"))
+    possible = _possible("n", "w", "x_n", "x_w")
+    links = verified(few.join(other, (F.col("k") == F.col("o_k")) & F.expr("node < x") & possible).select(*ordered))
+    apart = many.select("k", "node", "n", "w", F.col("node").alias("c"))
+    placed = apart
+    for _ in range(ROUNDS):
+        if apart.isEmpty():
+            break
+        hubs = apart.groupBy("k").agg(F.min(F.struct("node", "n", "w", "c")).alias("h")).select("k", F.col("h.node").alias("x"), F.col("h.n").alias("x_n"), F.col("h.w").alias("x_w"), F.col("h.c").alias("x_c"))
+        found = placed.join(hubs.hint("merge"), "k").where("c <> x_c").where(possible).select(*ordered)
+        links = written(links.unionAll(verified(found)), "links")
+        own = written(components(links), "roots").select("node", F.col("root").alias("c"))
+        placed = written(many.join(own.hint("merge"), "node", "left").select("k", "node", "n", "w", F.coalesce("c", "node").alias("c")), "placed")
+        hub_c = hubs.select("k", "x").join(own.select(F.col("node").alias("x"), "c").hint("merge"), "x", "left").select("k", F.coalesce("c", "x").alias("hub_c"))
+        apart = written(placed.join(hub_c.hint("merge"), "k").where("c <> hub_c").drop("hub_c"), "apart")
+
+    if not apart.isEmpty():  # variants of more than one component: whoever is outside the hub's is compared with all of other components
+        bits = prints.hint("merge")
+        others = placed.join(apart.select("k").distinct().hint("merge"), "k", "left_semi").join(bits, "node")
+        outside = apart.join(bits, "node").toDF("x", "o_k", "x_n", "x_w", "x_c", "x_fp")
+        across = others.join(outside.hint("merge"), (F.col("o_k") == F.col("k")) & F.expr("c <> x_c") & possible & _close("fp", "x_fp"))
+        links = links.unionAll(verified(across.select(*ordered)))
+    joined = components(links)
+    return each.drop("n", "fp"), each.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near copies (five-word shingles, Jaccard 0.8 or more),
-    the one of the smallest id, all columns as they are. Fingerprints play no part: at this similarity
-    they differ in up to 14 of 64 bits, which no index of variants reaches.
+    the one of the smallest id, all columns as they are. The fingerprints are wider than those of ``near_duplicates``: at
+    this similarity 64 bits differ in up to 14, which no index of their variants reaches.
 
     Null ids come after all others; of rows with one id the smallest hash of id and text stays, and of
     repeated rows one. Null texts count as empty in comparing and stay null.
