@@ -99,13 +99,14 @@ def tracked_segments(frames: DataFrame, limits: Limits, idle_ms: int = 60_000) -
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _HELD = _STATE + ", kept long"  # the first frame whose samples are held
+STRETCH = 256  # frames in a map entry, at most
 
 
 class _Cutter(StatefulProcessor):
-    """The tracker of a source with the samples of the frames that a segment may still need, a map entry for each frame.
+    """The tracker of a source with the samples of the frames that a segment may still need, a map entry for each stretch of them.
 
-    After each batch the frames before ``oldest_needed`` are dropped; where nothing is open, all but the padding of a segment
-    that may begin next."""
+    A batch's samples stay with the batch; of these, only the frames from ``oldest_needed`` on are held after it, and of the stretches held
+    before, those that lie wholly before are dropped. Where nothing is open, the padding of a segment that may begin next is held."""
 
     def __init__(self, limits: Limits, idle_ms: int | None, frame_samples: int):
         self.limits, self.idle_ms, self.frame_samples = limits, idle_ms, frame_samples
@@ -113,7 +114,7 @@ class _Cutter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getValueState("held", _HELD)
-        self.samples = handle.getMapState("samples", "frame long", "samples array<float>")
+        self.samples = handle.getMapState("samples", "frame long", "samples array<array<float>>")
 
     def _state(self) -> tuple[State, int]:
         if not self.held.exists():
@@ -121,17 +122,22 @@ class _Cutter(StatefulProcessor):
         seen, a, e, waiting, kept = self.held.get()
         return (seen, a, e, [(int(x), int(y)) for x, y in waiting]), kept
 
-    def _cut(self, key: tuple, spans: list[Span]) -> pd.DataFrame:
+    def _stretches(self) -> dict[int, list[list[float]]]:
+        """The samples held, by the first frame of their stretch."""
+        return {int(k[0]): v[0] for k, v in self.samples.iterator()}
+
+    def _cut(self, key: tuple, spans: list[Span], frames: dict[int, list[float]]) -> pd.DataFrame:
         rows = []
         for start, end in spans:
-            frames = [np.asarray(self.samples.getValue((k,))[0], "float32") for k in range(start, end) if self.samples.containsKey((k,))]
-            rows.append((*key, start, end, start * self.frame_samples, np.concatenate(frames).tolist() if frames else []))
+            own = [np.asarray(frames[k], "float32") for k in range(start, end) if k in frames]
+            rows.append((*key, start, end, start * self.frame_samples, np.concatenate(own).tolist() if own else []))
         return pd.DataFrame(rows, columns=["source_id", "start_frame", "end_frame", "start_sample", "samples"])
 
-    def _end(self, key: tuple, state: State) -> pd.DataFrame:
-        out = self._cut(key, finish(state, self.limits))
-        self.held.clear()
-        self.samples.clear()
+    def _end(self, key: tuple, state: State, frames: dict[int, list[float]]) -> pd.DataFrame:
+        out = self._cut(key, finish(state, self.limits), frames)
+        if self.held.exists():
+            self.held.clear()
+            self.samples.clear()
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -139,26 +145,39 @@ class _Cutter(StatefulProcessor):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
         state, kept = self._state()
+        stretches = self._stretches() if state[0] else {}
         arrived = pd.concat(list(rows)).sort_values("frame_idx")
         speech = arrived[arrived["prob"].notna()]
-        for frame, samples in zip(speech["frame_idx"], speech["samples"], strict=True):
-            self.samples.updateValue((int(frame),), ([float(x) for x in samples],))
+        new = dict(zip(speech["frame_idx"].tolist(), speech["samples"], strict=True))
+        frames = {first + i: x for first, held in stretches.items() for i, x in enumerate(held)} | new
         found, state = advance(state, (speech["prob"] >= self.limits.threshold).to_numpy(), self.limits)
-        yield self._cut(key, found)
+        yield self._cut(key, found, frames)
         if len(speech) < len(arrived):
-            yield self._end(key, state)
+            yield self._end(key, state, frames)
             return
         seen, a, e, waiting = state
         need = oldest_needed(state, self.limits)
-        need = max(0, seen - self.limits.pad) if need is None else need
-        for frame in range(kept, need):
-            self.samples.removeKey((frame,))
-        self.held.update((seen, a, e, [list(w) for w in waiting], max(kept, need)))
+        need = max(kept, max(0, seen - self.limits.pad) if need is None else need)
+        for first, held in stretches.items():
+            if first + len(held) <= need:
+                self.samples.removeKey((first,))
+        stretch: list[list[float]] = []
+        for frame in sorted(k for k in new if k >= need):
+            if stretch and (frame != first + len(stretch) or len(stretch) >= STRETCH):
+                self.samples.updateValue((first,), (stretch,))
+                stretch = []
+            if not stretch:
+                first = frame
+            stretch.append([float(x) for x in new[frame]])
+        if stretch:
+            self.samples.updateValue((first,), (stretch,))
+        self.held.update((seen, a, e, [list(w) for w in waiting], need))
         if self.idle_ms is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._end(key, self._state()[0])
+        frames = {first + i: x for first, held in self._stretches().items() for i, x in enumerate(held)}
+        yield self._end(key, self._state()[0], frames)
 
     def close(self) -> None:
         pass
