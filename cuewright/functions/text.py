@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -76,10 +76,21 @@ def _collapsed(texts: pd.Series) -> pd.Series:
 def collapse_repeats(x: Column | str) -> Column:
     """Echo removal: a unit of three characters or more that repeats stays once, a shorter unit that
     comes three times or more stays twice; the smallest unit wins, units have 128 characters at most.
-    In Arrow batches: the regular expression for it takes over twice as long."""
+    In Arrow batches, bounded in rows and bytes: the regular expression for it takes over twice as long."""
+    small_batches()
     return _collapsed(_c(x))
 
 
+def small_batches(rows: int = 512, size: int = 4 << 20) -> None:
+    """Bound the rows and bytes that one Arrow batch hands to Python, but for a single longer row.
+
+    Spark reads these settings when the query runs, so they stay set in the caller's session."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def strip_punct(x: Column | str) -> Column:
     """Without white space and punctuation."""
     return F.regexp_replace(_c(x), f"[{WHITE}{PUNCT}]", "")
