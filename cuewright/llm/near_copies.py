@@ -7,10 +7,12 @@ at the least similarity shares one with probability 1 - 0.938**80 = 0.994, at 0.
 which the fingerprints are within ``MOST_BITS``, six standard deviations above the expected distance; every one is
 verified on the sets themselves.
 
-The members of a variant with at most ``DENSE`` sets are compared in pairs. Larger ones are first compared with a hub each: its least
-member, then the least of those outside the hub's component, ``ROUNDS`` times. Components of the pairs found tell which
-variants still hold more than one component, and there the members outside the last hub's component meet
-all of other components. No variant is cut short.
+The members of a variant with at most ``DENSE`` sets are compared in pairs. Sets that meet in larger ones are compared with one
+another not by variant, which would be quadratic, but by their rare shingles: ordered from the rarest among them on, two similar sets have
+their first common shingle so early in both that what is left suffices for the similarity. So each set has its first fifth
+stand for it, and no similar pair of these sets is lost. Under each shingle the sets first meet a hub: the one that has the fewest shingles of its own, then the
+same among those outside the hub's component, ``ROUNDS`` times. What is then outside the first hub's component meets all of other
+components. No variant and no shingle is cut short. Texts are read once more for all that is to be verified, as sets.
 """
 
 from __future__ import annotations
@@ -33,11 +35,10 @@ SIMILAR = (4, 5)  # as a fraction, so that the limit itself is met exactly
 WORDS = 40
 MOST_BITS = 512  # of all
 MOST_IN_WORD = 24  # of the first word, which goes along with the variants: five standard deviations
-DENSE = 48
+DENSE = 16
 ROUNDS = 3
 CHUNK = 255  # counters of a byte hold so many
 PAIRS_PER_BATCH = 64
-CACHED = 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _DRAW = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, WORDS), dtype=np.uint64)
 _TIMES, _PLUS = _DRAW[0] | np.uint64(1), _DRAW[1]
@@ -105,37 +106,91 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keys: list) -> DataFram
     return slim.mapInArrow(run, f"id {kind}, ka long, kb int, node long, n int, fp array<long>").withColumnRenamed("id", id_col)
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` that reach the similarity; ``bodies(node, text)``."""
-    small_batches(pairs.sparkSession, PAIRS_PER_BATCH)
+def _sets(bodies: DataFrame) -> DataFrame:
+    """``(node, n, found)`` of ``bodies(node, text)``: the hashes of the shingles, rising."""
+    small_batches(bodies.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = 0
-
-        def of(node: int, text: bytes | None) -> np.ndarray:
-            nonlocal size
-            if node not in held:
-                if size > CACHED:
-                    held.clear()
-                    size = 0
-                held[node] = shingles(text)
-                size += len(held[node])
-            return held[node]
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["node", "n", "found"])
+
+    return bodies.mapInArrow(run, "node long, n int, found array<long>")
+
 
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` that reach the similarity; ``sets(node, found)``."""
+    small_batches(pairs.sparkSession, PAIRS_PER_BATCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, a, b = (c.to_pylist() for c in batch.columns)
-            good = [similar(of(p, x), of(q, y)) for p, q, x, y in zip(u, v, a, b, strict=True)]
+            good = [similar(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    left = bodies.select(F.col("node").alias("u"), F.col("text").alias("a"))
-    right = bodies.select(F.col("node").alias("v"), F.col("text").alias("b"))
+    left = sets.select(F.col("node").alias("u"), F.col("found").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("found").alias("b"))
     joined = pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "a", "b")
     found = written(joined.mapInArrow(run, "u long, v long"), "verified")
     small_batches(pairs.sparkSession)
     return found
 
 
+def _enough(n: str, i: str, x_n: str, x_i: str) -> Column:
+    """Whether sets of sizes ``n`` and ``x_n`` can be similar if the first shingle that they share is the ``i``-th of one and the
+    ``x_i``-th of the other, counted from 0."""
+    a, b = SIMILAR
+    return F.expr(f"{a + b}L * least({n} - {i}, {x_n} - {x_i}) >= {a}L * ({n} + {x_n})")
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """``(t, node, n, i, s)``: the shingles ``t`` of each set that can be its first one in common with a similar set, rarest first, with
+    their places ``i``, and in how many sets its rarest is."""
+    a, b = SIMILAR
+    own = Window.partitionBy("node")
+    each = sets.select("node", "n", F.explode("found").alias("t")).withColumn("f", F.count("*").over(Window.partitionBy("t")))
+    ranked = each.withColumn("i", F.row_number().over(own.orderBy("f", "t")) - 1).withColumn("s", F.min("f").over(own))
+    first = ranked.where(f"f > 1 and {b}L * i <= {b - a}L * n")
+    least = first.withColumn("least", F.min("n").over(Window.partitionBy("t")))  # or, if more, the least similar size
+    useful = least.where(f"{a + b}L * {b} * (n - i) >= {a}L * ({b}L * n + greatest({b}L * least, {a}L * n))")
+    return written(useful.select("t", "node", "n", "i", "s"), "rare")
+
+
+def _across(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """``links(u, v)`` and enough of the similar pairs of ``sets`` to give the same components as all of them."""
+    rare = _rare(sets)
+    ordered = F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")
+    different, enough = F.expr("c <> x_c"), _enough("n", "i", "x_n", "x_i")
+
+    def by_component() -> DataFrame:
+        own = written(components(links), "roots").select("node", F.col("root").alias("c"))
+        return written(rare.join(own.hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node")), "placed")
+
+    def outside(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Those of ``rows`` that are in other components than their shingle's hub."""
+        hub_c = hubs.select("t", F.col("x").alias("node")).join(placed.select("t", "node", F.col("c").alias("hub_c")).hint("merge"), ["t", "node"]).drop("node")
+        return written(rows.join(hub_c.hint("merge"), "t").where("c <> hub_c").drop("hub_c"), "apart")
+
+    placed = apart = by_component()
+    first = None
+    for _ in range(ROUNDS):
+        if apart.isEmpty():
+            break
+        hubs = apart.groupBy("t").agg(F.min(F.struct(-F.col("s"), "node", "n", "i", "c")).alias("h"))
+        hubs = written(hubs.select("t", F.col("h.node").alias("x"), F.col("h.n").alias("x_n"), F.col("h.i").alias("x_i"), F.col("h.c").alias("x_c")), "hubs")
+        first = hubs if first is None else first
+        met = placed.join(hubs.hint("merge"), "t").where(different & enough).select(*ordered).distinct()
+        links = written(links.unionAll(_verified(met, sets)), "links")
+        placed = by_component()
+        apart = outside(apart.drop("c").join(placed.select("t", "node", "c").hint("merge"), ["t", "node"]), hubs)
+    if first is None:
+        return links
+    others = outside(placed, first)  # two that the first hub's component holds are linked
+    others = others.select("t", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("i").alias("x_i"), F.col("c").alias("x_c"))
+    met = placed.join(others.hint("merge"), "t").where(different & enough).select(*ordered).distinct()
+    return links.unionAll(_verified(met, sets))
+
+
 def near_copies(docs: DataFrame, id_col: str, text_col: str, keys: list) -> tuple[DataFrame, DataFrame]:
     """``(id_col, ka, kb, node)`` of the rows, and ``(node, root)`` of every node; ``keys`` are the two
     hashes ka and kb that tell rows apart by id and text."""
@@ -144,45 +199,21 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str, keys: list) -> tupl
     nodes = written(each.where("n > 0").groupBy("node").agg(place).select("node", "p.*"), "nodes")
     sharers = F.count("*").over(Window.partitionBy("k"))
     shared = written(_variants(nodes).withColumn("m", sharers).where("m > 1"), "variants")
-    first_word = nodes.select("node", "n", F.col("fp")[0].alias("w"))
-    members = written(shared.join(first_word.hint("merge"), "node"), "members")
-
-    needed = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("ka", "kb", "node")
+    dense = written(shared.where(f"m > {DENSE}").select("node").distinct(), "dense")
+    first_word = nodes.select("node", "n", F.col("fp")[0].alias("w")).join(dense.withColumn("z", F.lit(True)).hint("merge"), "node", "left")
+    few = written(shared.where(f"m <= {DENSE}").drop("m").join(first_word.hint("merge"), "node").withColumn("z", F.coalesce("z", F.lit(False))), "members")
+
+    other = few.select(F.col("k").alias("o_k"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("w").alias("x_w"), F.col("z").alias("x_z"))
+    possible = F.expr("node < x and not (z and x_z)") & _possible("n", "w", "x_n", "x_w")
+    met = few.join(other, (F.col("k") == F.col("o_k")) & possible).select(F.col("node").alias("u"), F.col("x").alias("v")).distinct()
+    u, v = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"{c}_fp")).hint("merge") for c in "uv")
+    close = written(met.join(u, "u").join(v, "v").where(_close("u_fp", "v_fp")).select("u", "v"), "close")
+
+    ends = dense.unionAll(close.select("u")).unionAll(close.select("v")).distinct()
+    some = nodes.select("ka", "kb", "node").join(ends.hint("merge"), "node", "left_semi")
     texts = docs.select(*keys, F.col(text_col).cast("binary").alias("text"))
-    prints = nodes.select("node", "fp")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(u, v)`` that are near copies."""
-        u, v = (prints.withColumnsRenamed({"node": c, "fp": f"{c}_fp"}).hint("merge") for c in "uv")
-        close = written(pairs.distinct().join(u, "u").join(v, "v").where(_close("u_fp", "v_fp")).select("u", "v"), "close")
-        ends = close.select(F.col("u").alias("node")).unionAll(close.select(F.col("v").alias("node"))).distinct()
-        some = needed.join(ends.hint("merge"), "node", "left_semi")
-        bodies = written(texts.join(some.hint("merge"), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("node", "text"), "bodies")
-        return _verified(close, bodies)
-
-    few, many = members.where(f"m <= {DENSE}").drop("m"), members.where(f"m > {DENSE}").drop("m")
-    ordered = F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")
-    other = few.select(F.col("k").alias("o_k"), F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("w").alias("x_w"))
-    possible = _possible("n", "w", "x_n", "x_w")
-    links = verified(few.join(other, (F.col("k") == F.col("o_k")) & F.expr("node < x") & possible).select(*ordered))
-    apart = many.select("k", "node", "n", "w", F.col("node").alias("c"))
-    placed = apart
-    for _ in range(ROUNDS):
-        if apart.isEmpty():
-            break
-        hubs = apart.groupBy("k").agg(F.min(F.struct("node", "n", "w", "c")).alias("h")).select("k", F.col("h.node").alias("x"), F.col("h.n").alias("x_n"), F.col("h.w").alias("x_w"), F.col("h.c").alias("x_c"))
-        found = placed.join(hubs.hint("merge"), "k").where("c <> x_c").where(possible).select(*ordered)
-        links = written(links.unionAll(verified(found)), "links")
-        own = written(components(links), "roots").select("node", F.col("root").alias("c"))
-        placed = written(many.join(own.hint("merge"), "node", "left").select("k", "node", "n", "w", F.coalesce("c", "node").alias("c")), "placed")
-        hub_c = hubs.select("k", "x").join(own.select(F.col("node").alias("x"), "c").hint("merge"), "x", "left").select("k", F.coalesce("c", "x").alias("hub_c"))
-        apart = written(placed.join(hub_c.hint("merge"), "k").where("c <> hub_c").drop("hub_c"), "apart")
-
-    if not apart.isEmpty():  # variants of more than one component: whoever is outside the hub's is compared with all of other components
-        bits = prints.hint("merge")
-        others = placed.join(apart.select("k").distinct().hint("merge"), "k", "left_semi").join(bits, "node")
-        outside = apart.join(bits, "node").toDF("x", "o_k", "x_n", "x_w", "x_c", "x_fp")
-        across = others.join(outside.hint("merge"), (F.col("o_k") == F.col("k")) & F.expr("c <> x_c") & possible & _close("fp", "x_fp"))
-        links = links.unionAll(verified(across.select(*ordered)))
+    bodies = texts.join(some.hint("merge"), ["ka", "kb"]).dropDuplicates(["ka", "kb"]).select("node", "text")
+    sets = written(_sets(bodies), "sets")
+    links = _across(sets.join(dense.hint("merge"), "node", "left_semi"), _verified(close, sets))
     joined = components(links)
     return each.drop("n", "fp"), each.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -79,3 +79,54 @@ def test_dense_groups_in_rounds(spark, monkeypatch):
     for rounds in (1, 3):
         monkeypatch.setattr(N, "ROUNDS", rounds)
         assert {r["doc_id"] for r in S.keep_one(df).collect()} == set(low)
+
+
+def edited(rng, base, most):
+    own = list(base)
+    for at in rng.sample(range(len(own)), rng.randint(0, most)):
+        own[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(own)
+
+
+def brute_links(texts):
+    sets = [N.shingles(t.encode()) for t in texts]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if N.similar(sets[i], sets[j])}
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Copies with many edits, most of them not near copies of one another: what is verified stays in proportion."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(150)]
+    texts = [edited(rng, base, 8) for _ in range(300)]
+    seen = []
+    plain = N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low = list(range(len(texts)))
+    links, changed = brute_links(texts), True
+    while changed:
+        changed = False
+        for i, j in links:
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                changed = True
+    assert {r["doc_id"] for r in S.keep_one(df).collect()} == set(low)
+    assert len(links) > 5000 and sum(seen) < 10 * len(texts)
+
+
+def test_first_common_rare_shingles_meet(spark):
+    """Every similar pair shares a rare shingle at places that leave enough, whatever the sizes."""
+    rng = random.Random(7)
+    texts = []
+    for n in (9, 10, 30, 100):
+        base = [f"v{i}" for i in range(n)]
+        texts += [edited(rng, base[: rng.randint(n * 8 // 10, n)], max(1, n // 50)) for _ in range(50)]
+    texts = sorted({*texts, "v0 v1 v2 v3 v4"})
+    rows = [(i, len(s := N.shingles(t.encode())), s.view(np.int64).tolist()) for i, t in enumerate(texts)]
+    rare = N._rare(spark.createDataFrame(rows, "node long, n int, found array<long>")).collect()
+    under = {}
+    for r in rare:
+        under.setdefault(r["t"], []).append(r)
+    met = {(max(a["node"], b["node"]), min(a["node"], b["node"])) for own in under.values() for a in own for b in own if a["node"] != b["node"] and 9 * min(a["n"] - a["i"], b["n"] - b["i"]) >= 4 * (a["n"] + b["n"])}
+    want = brute_links(texts)
+    assert len(want) > 200 and want <= met
